@@ -1,0 +1 @@
+"""No streaming operators: none of the supported statistics is defined on an unbounded stream."""
