@@ -37,10 +37,11 @@ def with_theta(df: DataFrame, thetas: dict[tuple, np.ndarray], by: Sequence[str]
 
 def newton(df: DataFrame, by: Sequence[str], start: Callable[[dict], np.ndarray],
            terms: Callable[[list[Column]], tuple[Column, list[Column], dict]], size: int,
-           prepare: dict[str, Column] | None = None, max_iter: int = 60,
-           tol: float = 1e-10) -> dict[tuple, Fit]:
+           prepare: dict[str, Column] | None = None, max_iter: int = 60, tol: float = 1e-10,
+           totals: Callable[[DataFrame, list[Column]], DataFrame] | None = None) -> dict[tuple, Fit]:
     """``terms(theta) -> (loglik, gradient list, {(i, j): hessian})`` per row; ``prepare`` adds
-    per-stratum summaries handed to ``start``."""
+    per-stratum summaries handed to ``start``.  Likelihoods that are not sums over rows give
+    ``totals(rows with _theta, theta)`` instead: columns ll, g<i>, h<i>_<j> per stratum."""
     by = list(by)
     df = df.withColumns({c: F.col(c).cast("string") for c in by}).persist(StorageLevel.MEMORY_AND_DISK)
     try:
@@ -60,10 +61,16 @@ def newton(df: DataFrame, by: Sequence[str], start: Callable[[dict], np.ndarray]
             if not live:
                 break
             th = [F.element_at("_theta", i + 1) for i in range(size)]
-            ll, grad, hess = terms(th)
-            agg = [F.sum(ll).alias("ll"), *[F.sum(g).alias(f"g{i}") for i, g in enumerate(grad)],
-                   *[F.sum(h).alias(f"h{i}_{j}") for (i, j), h in hess.items()]]
-            for r in with_theta(df, live, by).groupBy(*by).agg(*agg).collect():
+            rows = with_theta(df, live, by)
+            if totals is not None:
+                table = totals(rows, th)
+                hess = {(i, j): None for i in range(size) for j in range(i, size)}
+            else:
+                ll, grad, hess = terms(th)
+                table = rows.groupBy(*by).agg(
+                    F.sum(ll).alias("ll"), *[F.sum(g).alias(f"g{i}") for i, g in enumerate(grad)],
+                    *[F.sum(h).alias(f"h{i}_{j}") for (i, j), h in hess.items()])
+            for r in table.collect():
                 k = key(r)
                 now = r["ll"] if r["ll"] is not None and np.isfinite(r["ll"]) else -np.inf
                 if k in best and now < best[k] - 1e-9 * max(1.0, abs(best[k])):

@@ -92,7 +92,7 @@ def _(t):
     regr_sxx(value, epoch(ts)/86400.0) sxx, regr_syy(value, epoch(ts)/86400.0) syy, count(*) n from events where value is not null)
   select round(b/sqrt(syy*(1-r2)/((n-2)*sxx)), 5) statistic, round(b, 6) effect, round(r2, 7) r2 from s""")
 def _(t):
-    ev = t.events.select("value", (F.col("ts").cast("double") / 86400.0).alias("day"))
+    ev = t.events.select("value", (F.col("ts").cast("timestamp").cast("double") / 86400.0).alias("day"))
     r = A.trend_ols(ev, "value", "day")
     return r.select(F.round("statistic", 5).alias("statistic"), F.round("effect.value", 6).alias("effect"),
                     F.round(F.col("numbers")["r2"], 7).alias("r2"))
