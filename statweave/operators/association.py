@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from statweave.functions import distributions as D
 from statweave.plans.common import fisher_z_ci, num, ratio, result, sq
-from statweave.plans.cumulate import cumulate, ranked
+from statweave.plans.cumulate import cumulate, quantiles, ranked
 from statweave.plans.dominance import concordance, tree
 from statweave.plans.gram import design, gram, per_row, unpack
 from statweave.plans.resample import bootstrap_sums, percentile_ci
@@ -214,9 +214,10 @@ def bicor(df, y, x, by=(), alternative="two-sided") -> DataFrame:
         r = stats.first()
         return frame.withColumns({k: F.lit(r[k]) for k in stats.columns})
 
-    p = attach(p, p.groupBy(*by).agg(F.median("y").alias("my"), F.median("x").alias("mx")))
-    p = attach(p, p.groupBy(*by).agg(F.median(F.abs(c("y") - c("my"))).alias("dy"),
-                                     F.median(F.abs(c("x") - c("mx"))).alias("dx")))
+    for v in ("y", "x"):
+        p = attach(p, quantiles(p, v, [0.5], by).select(*by, c("q0").alias(f"m{v}")))
+        dev = p.select(*by, F.abs(c(v) - c(f"m{v}")).alias("_d"))
+        p = attach(p, quantiles(dev, "_d", [0.5], by).select(*by, c("q0").alias(f"d{v}")))
 
     def weighted(v, m, d):
         u = (c(v) - c(m)) / (9 * F.when(c(d) == 0, 1e-12).otherwise(c(d)))

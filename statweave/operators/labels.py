@@ -57,9 +57,12 @@ def palette_match(df: DataFrame, col: str, palette: DataFrame) -> DataFrame:
                .agg(F.count(F.lit(1)).alias("n")).withColumn("_t", normalise_label(c("label")))
     if not lengths:
         return labels.select("label", "n", F.lit(None).cast("string").alias("category"), F.lit(False).alias("ambiguous"))
-    pieces = F.flatten(F.array(*[
-        F.transform(F.when(F.length("_t") >= k, F.sequence(F.lit(1), F.length("_t") - (k - 1))).otherwise(F.array().cast("array<int>")),
-                    lambda i, k=k: F.substring(c("_t"), i, F.lit(k))) for k in lengths]))
+
+    def windows(k: int) -> Column:
+        starts = F.when(F.length("_t") >= k, F.sequence(F.lit(1), F.length("_t") - (k - 1))).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.substring(c("_t"), i, F.lit(k)))
+
+    pieces = F.flatten(F.array(*[windows(k) for k in lengths]))
     keyed = labels.select("label", "n", F.explode_outer(F.array_distinct(pieces)).alias("_w"))
     hit = keyed.join(words, "_w", "left")
     per = hit.groupBy("label", "n", "category").agg(F.max(F.length("_w")).alias("_len")).where("category is not null")

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from statweave.functions import distributions as D
 from statweave.plans.common import levels_of, num, natural_key, ratio, result, sq
+from statweave.plans.cumulate import quantiles
 from statweave.plans.gram import complete_cases, design, gram, least_squares, per_row, unpack
 from statweave.plans.newton import Fit, linear, newton, outer
 
@@ -385,7 +386,8 @@ def huber(df, y, x, tuning: float = 1.345, max_iter: int = 50, tol: float = 1e-8
 
         def scale_of(b):
             r = resid(b)
-            return (data.agg(F.median(F.abs(r))).first()[0] or 0.0) / 0.6744897501960817   # normal quartile
+            med = quantiles(data.select(F.abs(r).alias("_r")), "_r", [0.5], total=n).first()
+            return (med["q0"] or 0.0) / 0.6744897501960817       # normal quartile
 
         scale = scale_of(beta)
         for _ in range(max_iter):

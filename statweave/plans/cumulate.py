@@ -25,15 +25,16 @@ def rows_per_bucket(df: DataFrame) -> int:
 
 
 def value_cuts(df: DataFrame, value: str) -> list[float]:
-    """Bucket borders for ``value``: one sketch pass, at most GRID-1 numbers to the driver."""
-    grid = ",".join(f"{i / GRID!r}D" for i in range(1, GRID))
-    row = df.select(F.col(value).cast("double").alias("v")).agg(
-        F.count("v").alias("n"), F.expr(f"percentile_approx(v, array({grid}), 20000)").alias("q")).first()
-    want = math.ceil((row["n"] or 0) / rows_per_bucket(df))
-    if want <= 1 or not row["q"]:
+    """Bucket borders for ``value``: none while the rows fit one bucket, else one sketch pass and
+    at most GRID-1 numbers to the driver."""
+    v = df.select(F.col(value).cast("double").alias("v")).where("v is not null")
+    want = math.ceil(v.count() / rows_per_bucket(df))
+    if want <= 1:
         return []
-    step = max(1, GRID // want)
-    return sorted({q for q in row["q"][step - 1::step] if math.isfinite(q)})
+    want = min(want, GRID)
+    grid = ",".join(f"{i / want!r}D" for i in range(1, want))
+    row = v.agg(F.expr(f"percentile_approx(v, array({grid}), 20000)").alias("q")).first()
+    return sorted({q for q in row["q"] or [] if math.isfinite(q)})
 
 
 def add_bucket(df: DataFrame, value: str, cuts: Sequence[float], out: str = "_bucket") -> DataFrame:
@@ -44,16 +45,21 @@ def add_bucket(df: DataFrame, value: str, cuts: Sequence[float], out: str = "_bu
 
 
 def cumulate(df: DataFrame, value: str, sums: dict[str, Column], by: Sequence[str] = (),
-             cuts: Sequence[float] | None = None, lead: bool = False) -> DataFrame:
+             cuts: Sequence[float] | None = None, lead: bool = False,
+             bucket: str | None = None) -> DataFrame:
     """One row per (by, distinct value): each sum, its exclusive running total ``cum_*`` and the
-    stratum total ``tot_*``; ``next_value`` too when ``lead`` is set."""
+    stratum total ``tot_*``; ``next_value`` too when ``lead`` is set.  ``bucket`` names a column
+    that is already a monotone function of the value inside each stratum."""
     by = list(by)
     src = df.where(F.col(value).isNotNull())
-    if cuts is None:
+    if cuts is None and bucket is None:
         cuts = value_cuts(src, value)
     src = src.withColumn(value, F.col(value).cast("double") + F.lit(0.0))   # -0.0 joins 0.0
-    table = src.groupBy(*by, value).agg(*[c.alias(k) for k, c in sums.items()])
-    table = add_bucket(table, value, cuts)
+    if bucket:
+        cuts = [0.0]
+        table = src.groupBy(*by, F.col(bucket).alias("_bucket"), value).agg(*[c.alias(k) for k, c in sums.items()])
+    else:
+        table = add_bucket(src.groupBy(*by, value).agg(*[c.alias(k) for k, c in sums.items()]), value, cuts)
     names = list(sums)
     inner = Window.partitionBy(*by, "_bucket").orderBy(value)
     before = inner.rowsBetween(Window.unboundedPreceding, -1)
@@ -102,3 +108,76 @@ def ranked(df: DataFrame, value: str, out: str = "rank", by: Sequence[str] = ())
                          mid_rank().alias(out), F.col("tot_n").alias(f"{out}_n"))
     cond = [src[c].eqNullSafe(ranks[f"_r_{c}"]) for c in by] + [src["_v"] == ranks["_rv"]]
     return src.join(ranks, cond, "left").drop("_v", "_rv", *[f"_r_{c}" for c in by])
+
+
+def _quantiles_one_bucket(src: DataFrame, probs: Sequence[float], by: list[str]) -> DataFrame:
+    """Quantiles read off the ordered distinct values of a table that fits one bucket."""
+    t = cumulate(src, "_v", {"n": F.count(F.lit(1))}, by, cuts=[])
+    picks = []
+    for i, p in enumerate(probs):
+        h = (F.col("tot_n") - 1) * float(p)
+        for tag, r in (("lo", F.floor(h)), ("hi", F.ceil(h))):
+            hit = (F.col("cum_n") <= r) & (r < F.col("cum_n") + F.col("n"))
+            picks.append(F.max(F.when(hit, F.col("_v"))).alias(f"_{tag}{i}"))
+    s = t.groupBy(*by).agg(F.max("tot_n").alias("n"), *picks)
+    out = []
+    for i, p in enumerate(probs):
+        h = (F.col("n") - 1) * float(p)
+        out.append((F.col(f"_lo{i}") + (h - F.floor(h)) * (F.col(f"_hi{i}") - F.col(f"_lo{i}"))).alias(f"q{i}"))
+    return s.select(*by, "n", *out)
+
+
+def quantiles(df: DataFrame, value: str, probs: Sequence[float], by: Sequence[str] = (),
+              total: int | None = None) -> DataFrame:
+    """(by) -> n, q0, q1, ...: exact linear-interpolation quantiles.
+
+    Beyond one bucket of rows (``total`` saves the count), a sketch brackets each wanted rank far wider than its error; only rows inside a bracket are
+    shuffled and ordered, everything below is counted.  No task holds a whole column (the built-in
+    exact percentile keeps every distinct value of a group in one buffer).  A rank outside its
+    bracket raises instead of returning a neighbour."""
+    by = list(by)
+    v = F.col(value).cast("double")
+    src = df.select(*by, v.alias("_v")).where("_v is not null")
+    if (src.count() if total is None else total) <= rows_per_bucket(df):
+        return _quantiles_one_bucket(src, probs, by)
+    slack = 5e-4
+    ends = [x for p in probs for x in (max(0.0, p - slack), min(1.0, p + slack))]
+    grid = ",".join(f"{x!r}D" for x in ends)
+    head = src.groupBy(*by).agg(F.count("_v").alias("n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"),
+                                F.expr(f"percentile_approx(_v, array({grid}), 20000)").alias("_q"))
+    few = F.col("n") < 10_000
+    spans = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(float(p)).alias("p"),
+                               F.when(few, F.col("_lo")).otherwise(F.col("_q")[2 * i]).alias("lo"),
+                               F.when(few, F.col("_hi")).otherwise(F.col("_q")[2 * i + 1]).alias("hi"))
+                      for i, p in enumerate(probs)])
+    head = head.select(*by, F.struct("n", spans.alias("s")).alias("_b"))
+    if by:
+        h = head.select(*[F.col(x).alias(f"_h_{x}") for x in by], "_b")
+        rows = src.join(h, [src[x].eqNullSafe(h[f"_h_{x}"]) for x in by]).select(*by, "_v", "_b")
+    else:
+        rows = src.withColumn("_b", head.scalar())
+    n, sp = F.col("_b.n"), F.col("_b.s")
+    below = rows.groupBy(*by).agg(F.first(n).alias("n"), F.first("_b").alias("_b"), *[
+        F.sum((F.col("_v") < sp[i]["lo"]).cast("long")).alias(f"_k{i}") for i in range(len(probs))])
+    inside = rows.select(*by, "_v", F.explode(F.filter(sp, lambda s: F.col("_v").between(s["lo"], s["hi"]))).alias("s"))
+    width = F.col("s.hi") - F.col("s.lo")
+    inside = inside.select(*by, "_v", F.col("s.i").alias("_i"),
+                           F.coalesce(F.floor(F.try_divide(F.col("_v") - F.col("s.lo"), width) * 64), F.lit(0)).alias("_sub"))
+    t = cumulate(inside, "_v", {"m": F.count(F.lit(1))}, [*by, "_i"], bucket="_sub")
+    k = below.select(*[F.col(x).alias(f"_k_{x}") for x in by], "n", F.array(*[f"_k{i}" for i in range(len(probs))]).alias("_below"))
+    j = t.join(k, [t[x].eqNullSafe(k[f"_k_{x}"]) for x in by]) if by else \
+        t.withColumn("_x", k.select(F.struct("n", "_below")).scalar()).select("*", "_x.n", "_x._below")
+    pos = F.col("_below")[F.col("_i")] + F.col("cum_m")
+    p_of = F.array(*[F.lit(float(p)) for p in probs])[F.col("_i")]
+    hh = (F.col("n") - 1) * p_of
+    on = lambda r: (pos <= r) & (r < pos + F.col("m"))
+    j = j.select(*by, "n", "_i", "_v", on(F.floor(hh)).alias("_a"), on(F.ceil(hh)).alias("_z"), hh.alias("_h"))
+    picks = []
+    for i in range(len(probs)):
+        me = F.col("_i") == i
+        lo, hi = F.max(F.when(me & F.col("_a"), F.col("_v"))), F.max(F.when(me & F.col("_z"), F.col("_v")))
+        frac = F.max(F.when(me, F.col("_h") - F.floor("_h")))
+        got = lo + frac * (hi - lo)
+        picks.append(F.when(got.isNotNull(), got).otherwise(
+            F.raise_error(F.lit("quantile rank fell outside its bracket")).cast("double")).alias(f"q{i}"))
+    return j.groupBy(*by).agg(F.max("n").alias("n"), *picks)

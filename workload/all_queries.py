@@ -1,2 +1,2 @@
 """Imports every query module so that the registry is complete."""
-from workload import flagship, group_queries, model_queries, pair_queries, table_queries  # noqa: F401
+from workload import flagship, group_queries, model_queries, pair_queries, prep_queries, table_queries  # noqa: F401
