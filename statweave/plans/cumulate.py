@@ -181,3 +181,25 @@ def quantiles(df: DataFrame, value: str, probs: Sequence[float], by: Sequence[st
         picks.append(F.when(got.isNotNull(), got).otherwise(
             F.raise_error(F.lit("quantile rank fell outside its bracket")).cast("double")).alias(f"q{i}"))
     return j.groupBy(*by).agg(F.max("n").alias("n"), *picks)
+
+
+def running_extreme(table: DataFrame, value: str, col: str, how: str, by: Sequence[str] = (),
+                    cuts: Sequence[float] = ()) -> DataFrame:
+    """Adds ``run``: the largest ``col`` at or below each value (``prefix_max``) or the smallest at
+    or above it (``suffix_min``), bucket by bucket with the buckets' own extremes as offsets."""
+    by = list(by)
+    t = add_bucket(table, value, list(cuts))
+    prefix = how == "prefix_max"
+    pick, join2 = (F.max, F.greatest) if prefix else (F.min, F.least)
+    order = F.col(value).asc() if prefix else F.col(value).desc()
+    inner = Window.partitionBy(*by, "_bucket").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    t = t.withColumn("_in", pick(col).over(inner))
+    if not cuts:
+        return t.withColumn("run", F.col("_in")).drop("_in", "_bucket")
+    part = Window.partitionBy(*(by or [F.lit(0)]))
+    b_order = F.col("_bucket").asc() if prefix else F.col("_bucket").desc()
+    edge = t.groupBy(*by, "_bucket").agg(pick(col).alias("_x")).withColumn(
+        "_off", pick("_x").over(part.orderBy(b_order).rowsBetween(Window.unboundedPreceding, -1)))
+    e = edge.select(*[F.col(c).alias(f"_e_{c}") for c in by + ["_bucket"]], "_off")
+    out = t.join(e, [t[c].eqNullSafe(e[f"_e_{c}"]) for c in by + ["_bucket"]])
+    return out.withColumn("run", join2("_in", F.coalesce("_off", "_in"))).drop("_in", "_off", "_bucket", *[f"_e_{c}" for c in by + ["_bucket"]])
