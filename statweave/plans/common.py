@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 import re
+import tempfile
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -80,11 +81,18 @@ def flat(res: DataFrame, numbers: Sequence[str] = (), by: Sequence[str] = (),
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Checkpoint into the shared folder the cluster names; plain plan if there is none."""
-    spark = df.sparkSession
-    if spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir():
-        return df.checkpoint()
-    return df
+    """Checkpoint into the shared folder the cluster names in ``spark.checkpoint.dir``.  Only a
+    local session without that setting (tests) falls back to a folder of its own."""
+    sc = df.sparkSession.sparkContext
+    if not sc.getCheckpointDir():
+        named = sc.getConf().get("spark.checkpoint.dir") or df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if named:
+            sc.setCheckpointDir(named)
+        elif sc.master.startswith("local"):
+            sc.setCheckpointDir(tempfile.mkdtemp(prefix="statweave-checkpoint-"))
+        else:
+            raise RuntimeError("iterative fits need spark.checkpoint.dir to name a shared folder")
+    return df.checkpoint()
 
 
 def fisher_z_ci(r: Column, n: Column) -> tuple[Column, Column]:
