@@ -45,9 +45,15 @@ def cosine_similarity(a, b) -> Column:
     return ratio(dot(a, b), norm2(a) * norm2(b))
 
 
+def _per_element(a: Column, stat: Column, fn) -> Column:
+    """fn(element, stat) with ``stat`` evaluated once per row: bound as a lambda variable, not
+    re-derived for every element."""
+    bound = F.array(F.struct(a.alias("a"), stat.alias("t")))
+    return F.transform(bound, lambda s: F.transform(s["a"], lambda x: fn(x, s["t"])))[0]
+
+
 def _centred(a: Column) -> Column:
-    m = total(a) / F.size(a)
-    return F.transform(a, lambda x: x - m)
+    return _per_element(a, total(a) / F.size(a), lambda x, m: x - m)
 
 
 def pearson_distance(a, b) -> Column:
@@ -69,8 +75,7 @@ def hamming(a, b) -> Column:
 
 def closure(a) -> Column:
     """Scaled to sum one."""
-    t = total(vec(a))
-    return F.transform(vec(a), lambda x: F.try_divide(x, t))
+    return _per_element(vec(a), total(vec(a)), lambda x, t: F.try_divide(x, t))
 
 
 def clr_vector(a) -> Column:
@@ -86,16 +91,20 @@ def hellinger(a, b) -> Column:
     return F.sqrt(_zip_sum(closure(a), closure(b), lambda x, y: (F.sqrt(x) - F.sqrt(y)) * (F.sqrt(x) - F.sqrt(y)))) / F.sqrt(F.lit(2.0))
 
 
+def _kl(p, q) -> Column:
+    return _zip_sum(p, q, lambda x, y: F.when(x <= 0, 0.0).when(y <= 0, float("inf")).otherwise(x * F.ln(x / y)))
+
+
 def kl_divergence(a, b) -> Column:
     """Natural-log KL(a || b) of the closed vectors; infinite where b lacks mass a has."""
-    return _zip_sum(closure(a), closure(b), lambda x, y: F.when(x <= 0, 0.0).when(y <= 0, float("inf")).otherwise(x * F.ln(x / y)))
+    return _kl(closure(a), closure(b))
 
 
 def jensen_shannon(a, b) -> Column:
-    """Distance: root of the mean KL to the midpoint."""
-    p, q = closure(a), closure(b)
-    m = F.zip_with(p, q, lambda x, y: (x + y) / 2)
-    return F.sqrt(F.greatest(F.lit(0.0), (kl_divergence(p, m) + kl_divergence(q, m)) / 2))
+    """Distance: root of the mean KL to the midpoint (both sides closed once per row)."""
+    bound = F.array(F.struct(closure(a).alias("p"), closure(b).alias("q")))
+    mid = F.transform(bound, lambda s: F.struct(s["p"].alias("p"), s["q"].alias("q"), F.zip_with(s["p"], s["q"], lambda x, y: (x + y) / 2).alias("m")))
+    return F.transform(mid, lambda s: F.sqrt(F.greatest(F.lit(0.0), (_kl(s["p"], s["m"]) + _kl(s["q"], s["m"])) / 2)))[0]
 
 
 def total_variation(a, b) -> Column:

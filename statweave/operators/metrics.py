@@ -265,7 +265,7 @@ def dirichlet_entropy(df: DataFrame, members: Sequence[str], steps: int = 1000)
             break
     s = a.sum()
     h = sum(math.lgamma(v) for v in a) - math.lgamma(s) + (s - k) * float(D.digamma(s)) - float(np.sum((a - 1) * D.digamma(a)))
-    return df.sparkSession.createDataFrame([(r["n"], [float(v) for v in a], h)], "n bigint, alpha array<double>, entropy double")
+    return df.sparkSession.createDataFrame([(r["n"], [float(v) for v in a], float(h))], "n bigint, alpha array<double>, entropy double")
 
 
 def spacing_entropy(df: DataFrame, value, by: Sequence[str] = ()) -> DataFrame:

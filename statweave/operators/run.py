@@ -5,10 +5,23 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from statweave.operators import association as A, group_tests as G, rank_tests as R, table_tests as T
+from statweave.operators import (association as A, composition as C, group_tests as G, interaction as I, rank_tests as R,
+                                 regression as L, repeated as W, survival as S, table_tests as T)
 from statweave.plans.common import num
 from statweave.spec import Spec
 
+def _paired(fn):
+    return lambda df, s, by: fn(df, s.y, s.group, s.subject, s.levels, by, s.direction)
+
+
+def _surv(fn, **kw):
+    return lambda df, s, by: fn(df, s.y, s.group, s.event, by, **kw)
+
+
+def _comp(fn):
+    return lambda df, s, by: fn(df, s.y, s.group, list(s.members), s.levels, by, s.direction)
+
+
 Runner = Callable[[DataFrame, Spec, list[str]], DataFrame]
 
 
@@ -42,10 +55,30 @@ RUNNERS: dict[str, Runner] = {
     "T-1006": _plain(T.marginal_vs_conditional), "T-1101": _weighted(G.planned_contrast),
     "T-1104": _weighted(R.pooled_contrast),
     "T-1103": lambda df, s, by: G.helmert(df, s.y, s.group, s.levels, by, s.direction),
+    "T-105": lambda df, s, by: G.permutation_t(df, s.y, s.group, s.options["key"], s.levels, s.direction),
+    "T-124": lambda df, s, by: G.permutation_f(df, s.y, s.group, s.options["key"]),
+    "T-111": _paired(W.paired_t), "T-112": _paired(W.wilcoxon), "T-113": _paired(W.sign_test),
+    "T-131": _paired(W.rm_anova), "T-132": _paired(W.friedman), "T-133": _paired(W.mixed_repeated), "T-212": _paired(W.cochran_q),
+    "T-311": lambda df, s, by: A.partial_correlation(df, s.y, s.group, s.by, alternative=s.direction),
+    "T-401": lambda df, s, by: I.two_way_anova(df, s.y, s.group, s.by),
+    "T-402": lambda df, s, by: I.aligned_rank_anova(df, s.y, s.group, s.by),
+    "T-403": lambda df, s, by: L.interaction_regression(df, s.y, s.group, s.by),
+    "T-404": lambda df, s, by: W.mixed_interaction(df, s.y, s.group, s.by, s.subject),
+    "T-503": lambda df, s, by: A.mann_kendall(df, s.y, s.group, s.direction),
+    "T-702": lambda df, s, by: R.anderson_darling(df, s.y, s.group, s.levels, by, s.options.get("key"), s.options.get("permutations", 0)),
+    "T-703": lambda df, s, by: R.energy_distance(df, s.y, s.group, s.levels, by, s.options.get("key"), s.options.get("permutations", 0)),
+    "T-801": _plain(L.logistic), "T-802": _plain(L.ols), "T-803": _plain(L.poisson), "T-804": _plain(L.ordinal), "T-805": _plain(L.beta_regression),
+    "T-806": lambda df, s, by: L.huber(df, s.y, s.group),
+    "T-807": lambda df, s, by: S.cox(df, s.y, s.group, s.event, by), "T-904": lambda df, s, by: S.cox(df, s.y, s.group, s.event, by, test_id="T-904"),
+    "T-901": _surv(S.logrank), "T-902": _surv(S.gehan), "T-903": _surv(S.rmst),
+    "T-1001": _comp(C.clr_compare), "T-1002": _comp(C.alr_compare), "T-1004": _comp(C.bias_corrected), "T-1005": _plain(C.proportionality_of_parts),
+    "T-1003": lambda df, s, by: C.dirichlet_compare(df, s.y, s.group, list(s.members), s.options["key"], s.levels, s.direction),
     "T-1102": lambda df, s, by: G.dunnett(df, s.y, s.group, s.control, s.levels, by, s.direction),
 }
 #: tests whose ``by`` is part of the design, not a stratum
-DESIGN_BY: set[str] = set()
+DESIGN_BY = {"T-311", "T-401", "T-402", "T-403", "T-404"}
+#: tests that run once over the whole table (relabelling, robust and exact-slope fits)
+WHOLE_TABLE = {"T-105", "T-124", "T-503", "T-806", "T-1003"}
 
 
 def null_value(effect_name: Column) -> Column:
@@ -66,7 +99,7 @@ def run_test(df: DataFrame, spec: Spec, test_id: str, label_maps: dict[str, dict
     overall = fn(df, spec, [])
     extra = [c for c in overall.columns if c in ("comparison", "contrast")]
     overall = overall.withColumn("stratum", F.lit("overall"))
-    if spec.by and test_id not in DESIGN_BY:
+    if spec.by and test_id not in DESIGN_BY | WHOLE_TABLE:
         strata = fn(df.where(F.col(spec.by).isNotNull()), spec, [spec.by]) \
             .withColumn("stratum", F.col(spec.by).cast("string")).drop(spec.by)
         overall = overall.unionByName(strata)

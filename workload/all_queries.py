@@ -1,2 +1,2 @@
 """Imports every query module so that the registry is complete."""
-from workload import audit_queries, flagship, group_queries, metric_queries, model_queries, pair_queries, prep_queries, table_queries  # noqa: F401
+from workload import advice_queries, audit_queries, flagship, group_queries, metric_queries, model_queries, pair_queries, prep_queries, table_queries  # noqa: F401

@@ -346,3 +346,11 @@ def _(t):
 @query("repeat_candidates", """select 'o_custkey' as column, count(*) n, count(distinct o_custkey) n_unique, count(*)-count(distinct o_custkey) repeats from orders""")
 def _(t):
     return P.repeat_candidates(t.orders, ["o_orderkey", "o_custkey"])
+
+
+@query("impute_knn")
+def _(t):
+    s = t.supplier.select("s_suppkey", F.when(c("s_suppkey") % 6 != 0, c("s_acctbal")).alias("a"), c("s_nationkey").cast("double").alias("b"),
+                          F.when(c("s_suppkey") % 4 != 0, c("s_acctbal") * 2).alias("d"))
+    f = M.impute(s, "knn", ["a", "b", "d"], key="s_suppkey")
+    return f.agg(F.count("a").alias("a"), F.count("d").alias("d"), F.avg("a").alias("mean_a"))
