@@ -14,7 +14,7 @@ from pyspark.sql.types import NumericType
 from statweave.functions import distributions as D
 from statweave.operators.profile import kind_of
 from statweave.plans.common import num, ratio, sq, two_levels
-from statweave.plans.cumulate import quantiles
+from statweave.plans.cumulate import chunked_agg, column_quantiles
 from statweave.plans.moments import pair_moments
 
 c = F.col
@@ -40,19 +40,22 @@ def _union(parts: Sequence[DataFrame]) -> DataFrame:
 
 # ------------------------------------------------------------------ GR-01
 def out_of_range(df: DataFrame, types: dict[str, str], tail: float = LIMITS["tail_quantile"]) -> DataFrame:
-    """Impossible values (gate), boundary values and the far tail (diagnostic); all columns unpivot
-    into one keyed aggregation."""
+    """Impossible values (gate), boundary values and the far tail (diagnostic); columns are
+    measured side by side."""
     cols = [v for v in types if types[v] in DOMAIN]
-    parts = [F.struct(F.lit(v).alias("column"), F.lit(DOMAIN[types[v]][0]).alias("lo"), F.lit(DOMAIN[types[v]][1]).cast("double").alias("hi"),
-                      F.lit(types[v] in ("probability", "proportion")).alias("unit"), num(v).alias("v")) for v in cols]
-    long = df.select(F.explode(F.array(*parts)).alias("r")).select("r.*").where("v is not null")
-    q = quantiles(long, "v", [0.5, tail], ["column"]).select("column", c("q0").alias("med"), c("q1").alias("cut"))
-    j = long.join(q, "column")
-    bad = (c("v") < c("lo")) | F.coalesce(c("v") > c("hi"), F.lit(False))
-    s = j.groupBy("column").agg(
-        F.count("v").alias("n"), F.sum(bad.cast("long")).alias("bad"), F.sum((c("unit") & c("v").isin(0.0, 1.0)).cast("long")).alias("edge"),
-        F.sum((c("v") > c("cut")).cast("long")).alias("tail"), F.first("cut").alias("cut"), F.first("med").alias("med"),
-        F.min("v").alias("min"), F.max("v").alias("max"), F.approx_count_distinct("v").alias("u"))
+    q = column_quantiles(df, {v: num(v) for v in cols}, [0.5, tail])
+    per: dict[str, list[Column]] = {}
+    for i, v in enumerate(cols):
+        (lo, hi), x = DOMAIN[types[v]], num(v)
+        bad = (x < lo) if hi is None else (x < lo) | (x > hi)
+        edge = x.isin(0.0, 1.0) if types[v] in ("probability", "proportion") else F.lit(False)
+        cut = q[v][1][1]
+        per[v] = [F.sum(bad.cast("long")).alias(f"bad{i}"), F.sum(edge.cast("long")).alias(f"edge{i}"), F.sum((x > F.lit(cut)).cast("long")).alias(f"tail{i}"),
+                  F.min(x).alias(f"lo{i}"), F.max(x).alias(f"hi{i}"), F.approx_count_distinct(x).alias(f"u{i}")]
+    r = chunked_agg(df, per)
+    s = df.sparkSession.createDataFrame(
+        [(v, q[v][0], r[f"bad{i}"], r[f"edge{i}"], r[f"tail{i}"], q[v][1][1], q[v][1][0], r[f"lo{i}"], r[f"hi{i}"], r[f"u{i}"]) for i, v in enumerate(cols) if q[v][0]],
+        "column string, n bigint, bad bigint, edge bigint, tail bigint, cut double, med double, min double, max double, u bigint")
     return _union([
         signals(s, "GR-01", "impossible", c("bad") > 0, "gate", {"n": c("bad"), "ratio": c("bad") / c("n"), "min": c("min"), "max": c("max")}, c("column")),
         signals(s, "GR-01", "boundary", c("edge") > 0, "diagnostic", {"n": c("edge"), "ratio": c("edge") / c("n")}, c("column")),

@@ -14,7 +14,7 @@ from pyspark.sql.types import BooleanType, DateType, FractionalType, NumericType
 
 from statweave.operators.missing import is_missing
 from statweave.plans.common import num, ratio
-from statweave.plans.cumulate import quantiles
+from statweave.plans.cumulate import chunked_agg, column_quantiles
 
 c = F.col
 MAX_LEVELS = 12
@@ -81,44 +81,65 @@ def adjusted_skew(n: Column, g1: Column) -> Column:
 
 
 def numeric_summary(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Per column: moments, quartiles, fences, outlier shares by IQR and by (unscaled) MAD."""
-    long = _long(df, columns, cast="double")
-    base = long.groupBy("column").agg(
-        F.avg("value").alias("mean"), F.coalesce(F.stddev_samp("value"), F.lit(0.0)).alias("sd"), F.skewness("value").alias("g1"),
-        F.avg((c("value") == 0).cast("double")).alias("zeros_rate"), (F.min("value") < 0).alias("negative"),
-        F.min("value").alias("min"), F.max("value").alias("max"))
-    q = quantiles(long, "value", [0.25, 0.5, 0.75], ["column"]).select("column", "n", c("q0").alias("q1"), c("q1").alias("median"), c("q2").alias("q3"))
-    dev = long.join(q.select("column", "median"), "column").select("column", F.abs(c("value") - c("median")).alias("dev"))
-    mad = quantiles(dev, "dev", [0.5], ["column"]).select("column", c("q0").alias("mad"))
-    s = base.join(q, "column").join(mad, "column")
-    iqr = c("q3") - c("q1")
-    s = s.withColumn("iqr", iqr).withColumn("fence_lo", c("q1") - 1.5 * iqr).withColumn("fence_hi", c("q3") + 1.5 * iqr)
-    lim = s.select("column", "median", "mad", "iqr", "fence_lo", "fence_hi")
-    out = long.join(lim, "column").groupBy("column").agg(
-        F.avg(((c("iqr") > 0) & ((c("value") < c("fence_lo")) | (c("value") > c("fence_hi")))).cast("double")).alias("outlier_rate_iqr"),
-        F.avg(((c("mad") > 0) & (F.abs(c("value") - c("median")) > 3 * c("mad"))).cast("double")).alias("outlier_rate_mad"))
-    return s.join(out, "column").select("column", "n", "mean", "sd", adjusted_skew(c("n"), c("g1")).alias("skewness"), "min", "q1", "median", "q3", "max",
-                                        "iqr", "fence_lo", "fence_hi", "outlier_rate_iqr", "outlier_rate_mad", "zeros_rate", "negative")
-
-
-def bin_count(n: Column, most: int = 20) -> Column:
-    return F.least(F.lit(most), F.greatest(F.lit(5), F.floor(F.sqrt(n)).cast("int")))
-
-
-def histogram(df: DataFrame, columns: Sequence[str], most: int = 20) -> DataFrame:
-    """Equal-width bins per column (between 5 and ``most``, about sqrt n), last bin closed."""
-    long = _long(df, columns, cast="double")
-    r = long.groupBy("column").agg(F.count("value").alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi"))
-    r = r.withColumn("bins", bin_count(c("n"), most))
-    # a constant column gets a unit-wide range around it
-    r = r.withColumn("a", F.when(c("hi") > c("lo"), c("lo")).otherwise(c("lo") - 0.5)).withColumn("b", F.when(c("hi") > c("lo"), c("hi")).otherwise(c("hi") + 0.5))
-    w = (c("b") - c("a")) / c("bins")
-    i = F.least(c("bins") - 1, F.floor((c("value") - c("a")) / (c("b") - c("a")) * c("bins")).cast("int"))
-    counts = long.join(r, "column").groupBy("column", i.alias("bin")).agg(F.count(F.lit(1)).alias("count"))
-    grid = r.select("column", "a", w.alias("w"), F.explode(F.sequence(F.lit(0), c("bins") - 1)).alias("bin"))
-    return grid.join(counts, ["column", "bin"], "left").select(
-        "column", "bin", (c("a") + c("bin") * c("w")).alias("left"), (c("a") + (c("bin") + 1) * c("w")).alias("right"),
-        F.coalesce("count", F.lit(0)).alias("count"))
+    """Per column: moments, quartiles, fences, outlier shares by IQR and by (unscaled) MAD.  Columns
+    stay side by side through every pass; only their summaries reach the driver."""
+    cols = list(columns)
+    x = {v: num(v) for v in cols}
+    m = chunked_agg(df, {v: [F.count(x[v]).alias(f"n{i}"), F.avg(x[v]).alias(f"mean{i}"), F.stddev_samp(x[v]).alias(f"sd{i}"), F.skewness(x[v]).alias(f"g{i}"),
+                             F.avg((x[v] == 0).cast("double")).alias(f"z{i}"), F.min(x[v]).alias(f"lo{i}"), F.max(x[v]).alias(f"hi{i}")] for i, v in enumerate(cols)})
+    q = column_quantiles(df, x, [0.25, 0.5, 0.75])
+    full = [v for v in cols if q[v][0]]
+    mad = column_quantiles(df, {v: F.abs(x[v] - q[v][1][1]) for v in full}, [0.5]) if full else {}
+    out: dict = {}
+    if full:
+        def shares(i, v):
+            q1, med, q3 = q[v][1]
+            iqr, d = q3 - q1, mad[v][1][0]
+            far = (x[v] < q1 - 1.5 * iqr) | (x[v] > q3 + 1.5 * iqr) if iqr > 0 else F.lit(False)
+            off = F.abs(x[v] - med) > 3 * d if d > 0 else F.lit(False)
+            known = x[v].isNotNull()
+            return [F.avg(F.when(known, far.cast("double"))).alias(f"oi{i}"), F.avg(F.when(known, off.cast("double"))).alias(f"om{i}")]
+        out = chunked_agg(df, {v: shares(i, v) for i, v in enumerate(cols) if v in full})
+    rows = []
+    for i, v in enumerate(cols):
+        n = m[f"n{i}"]
+        if not n:
+            rows.append((v, 0, *[None] * 14, None))
+            continue
+        q1, med, q3 = q[v][1]
+        iqr, g = q3 - q1, m[f"g{i}"]
+        skew = g * (n * (n - 1)) ** 0.5 / (n - 2) if n > 2 and g is not None and g == g else 0.0
+        rows.append((v, n, m[f"mean{i}"], m[f"sd{i}"] or 0.0, skew, m[f"lo{i}"], q1, med, q3, m[f"hi{i}"], iqr, q1 - 1.5 * iqr, q3 + 1.5 * iqr,
+                     out[f"oi{i}"], out[f"om{i}"], m[f"z{i}"], m[f"lo{i}"] < 0))
+    return df.sparkSession.createDataFrame(rows, "column string, n bigint, mean double, sd double, skewness double, min double, q1 double, median double, q3 double, "
+                                           "max double, iqr double, fence_lo double, fence_hi double, outlier_rate_iqr double, outlier_rate_mad double, zeros_rate double, negative boolean")
+
+
+def bin_count(n: int, most: int = 20) -> int:
+    return min(most, max(5, int(n ** 0.5)))
+
+
+def histogram(df: DataFrame, columns: Sequence[str], most: int = 20, ranges: dict[str, tuple[int, float, float]] | None = None) -> DataFrame:
+    """Equal-width bins per column (between 5 and ``most``, about sqrt n), last bin closed.  With the
+    ranges known as numbers, all columns share one pass that emits (column, bin) counts."""
+    cols = list(columns)
+    if ranges is None:
+        r = chunked_agg(df, {v: [F.count(num(v)).alias(f"n{i}"), F.min(num(v)).alias(f"a{i}"), F.max(num(v)).alias(f"b{i}")] for i, v in enumerate(cols)})
+        ranges = {v: (r[f"n{i}"], r[f"a{i}"], r[f"b{i}"]) for i, v in enumerate(cols)}
+    edges = {}
+    for v in cols:
+        n, a, b = ranges[v]
+        if n:
+            edges[v] = (bin_count(n, most), a, b) if b > a else (bin_count(n, most), a - 0.5, b + 0.5)   # a constant gets a unit-wide range
+    spark = df.sparkSession
+    if not edges:
+        return spark.createDataFrame([], "column string, bin int, left double, right double, count bigint")
+    cells = [F.struct(F.lit(v).alias("column"), F.least(F.lit(k - 1), F.floor((num(v) - a) / (b - a) * k).cast("int")).alias("bin"))
+             for v, (k, a, b) in edges.items()]
+    counts = df.select(F.explode(F.array(*cells)).alias("r")).groupBy("r.column", "r.bin").agg(F.count(F.lit(1)).alias("count")).where("bin is not null")
+    grid = spark.createDataFrame([(v, i, a + i * (b - a) / k, a + (i + 1) * (b - a) / k) for v, (k, a, b) in edges.items() for i in range(k)],
+                                 "column string, bin int, left double, right double")
+    return grid.join(counts, ["column", "bin"], "left").select("column", "bin", "left", "right", F.coalesce("count", F.lit(0)).alias("count"))
 
 
 def category_summary(df: DataFrame, columns: Sequence[str], top: int = MAX_LEVELS) -> DataFrame:
@@ -162,27 +183,28 @@ def column_facts(df: DataFrame, columns: Sequence[str] | None = None) -> dict[st
     cols = list(columns or df.columns)
     kinds = {v: kind_of(df, v) for v in cols}
     nums = [v for v in cols if kinds[v] == "numeric"]
-    aggs = [F.count(F.lit(1)).alias("_rows")]
+    per: dict[str, list[Column]] = {"": [F.count(F.lit(1)).alias("_rows")]}
     for i, v in enumerate(cols):
         if v in nums:
             x = num(v)
-            aggs += [F.count(x).alias(f"n{i}"), F.min(x).alias(f"lo{i}"), F.max(x).alias(f"hi{i}"), F.avg(x).alias(f"mean{i}"),
-                     F.stddev_pop(x).alias(f"sd{i}"), F.skewness(x).alias(f"g{i}"), F.kurtosis(x).alias(f"k{i}"),
-                     F.sum((x == 0).cast("long")).alias(f"zero{i}"), F.coalesce(F.min((x == F.floor(x)).cast("int")), F.lit(1)).alias(f"int{i}")]
+            per[v] = [F.count(x).alias(f"n{i}"), F.min(x).alias(f"lo{i}"), F.max(x).alias(f"hi{i}"), F.avg(x).alias(f"mean{i}"), F.stddev_pop(x).alias(f"sd{i}"),
+                      F.skewness(x).alias(f"g{i}"), F.sum((x == 0).cast("long")).alias(f"zero{i}"), F.coalesce(F.min((x == F.floor(x)).cast("int")), F.lit(1)).alias(f"int{i}"),
+                      F.hll_sketch_estimate(F.hll_sketch_agg(F.when(x.isNotNull(), F.xxhash64(x)), F.lit(14))).alias(f"u{i}")]
         else:
             txt = c(v).cast("string")
             # a cheap look first: failed timestamp parses are slow
-            date = F.when(txt.rlike(r"^\d{1,4}[-/.]?\d{1,2}[-/.]?\d{1,4}"), F.coalesce(
-                *[F.try_to_timestamp(txt, F.lit(f)) for f in DATE_FORMATS]))
-            aggs += [F.count(txt).alias(f"n{i}"), F.count(date if kinds[v] == "categorical" else txt).alias(f"date{i}")]
-    row = df.agg(*aggs).first()
-    uniq = {r["column"]: r for r in distinct_counts(df, cols).collect()}
+            date = F.when(txt.rlike(r"^\d{1,4}[-/.]?\d{1,2}[-/.]?\d{1,4}"), F.coalesce(*[F.try_to_timestamp(txt, F.lit(f)) for f in DATE_FORMATS]))
+            per[v] = [F.count(txt).alias(f"n{i}"), F.count(date if kinds[v] == "categorical" else txt).alias(f"date{i}"), F.hll_sketch_estimate(F.hll_sketch_agg(txt, F.lit(14))).alias(f"u{i}")]
+    row = chunked_agg(df, per)
+    # the sketch settles large counts; where a rule turns on the exact number it is counted
+    exact = [v for i, v in enumerate(cols) if row[f"n{i}"] and (row[f"u{i}"] <= 1000 or 0.87 <= row[f"u{i}"] / row[f"n{i}"] <= 0.93)]
+    uniq = {r["column"]: r["n_unique"] for r in distinct_counts(df, exact).collect()} if exact else {}
     facts: dict[str, dict] = {}
     for i, v in enumerate(cols):
-        f = {"kind": kinds[v], "rows": row["_rows"], "n": row[f"n{i}"], "distinct": uniq[v]["n_unique"] if v in uniq else 0}
+        f = {"kind": kinds[v], "rows": row["_rows"], "n": row[f"n{i}"], "distinct": uniq.get(v, row[f"u{i}"])}
         if v in nums:
             f |= {"min": row[f"lo{i}"], "max": row[f"hi{i}"], "mean": row[f"mean{i}"], "sd": row[f"sd{i}"], "integer": bool(row[f"int{i}"]),
-                  "g1": row[f"g{i}"], "kurtosis": row[f"k{i}"], "zeros": row[f"zero{i}"]}
+                  "g1": row[f"g{i}"], "zeros": row[f"zero{i}"]}
             n, g1 = f["n"], f["g1"]
             f["skew"] = g1 * (n * (n - 1)) ** 0.5 / (n - 2) if n > 2 and g1 is not None and g1 == g1 else 0.0
         else:
@@ -195,7 +217,7 @@ def column_facts(df: DataFrame, columns: Sequence[str] | None = None) -> dict[st
             hists[r["column"]].append(r["n"])
     rest = [v for v in nums if v not in few and facts[v]["n"] >= 10]
     if rest:
-        for r in histogram(df, rest).orderBy("column", "bin").collect():
+        for r in histogram(df, rest, ranges={v: (facts[v]["n"], facts[v]["min"], facts[v]["max"]) for v in rest}).orderBy("column", "bin").collect():
             hists[r["column"]].append(r["count"])
     for v in cols:
         f = facts[v]

@@ -110,6 +110,78 @@ def ranked(df: DataFrame, value: str, out: str = "rank", by: Sequence[str] = ())
     return src.join(ranks, cond, "left").drop("_v", "_rv", *[f"_r_{c}" for c in by])
 
 
+def chunked_agg(df: DataFrame, exprs: dict[str, list[Column]], size: int = 4) -> dict:
+    """One row of aggregates over many columns, a few columns per aggregation: each reads only its own
+    columns, and the generated code stays small enough to be compiled."""
+    out: dict = {}
+    names = list(exprs)
+    for i in range(0, len(names), size):
+        out |= df.agg(*[e for n in names[i:i + size] for e in exprs[n]]).first().asDict()
+    return out
+
+
+SLACK = 5e-4        # half-width of a rank bracket, ten times the sketch error at accuracy 20000
+
+
+def column_quantiles(df: DataFrame, cols: dict[str, Column], probs: Sequence[float]) -> dict[str, tuple[int, list[float | None]]]:
+    """name -> (n, exact linear-interpolation quantiles) of several columns of one table.
+
+    A sketch brackets each wanted rank, one more pass counts what lies below the brackets, and only
+    values inside a bracket are shuffled and ordered.  Two numbers per quantile reach the driver."""
+    names = list(cols)
+    src = df.select(*[cols[v].cast("double").alias(f"v{i}") for i, v in enumerate(names)])
+    ends = [x for p in probs for x in (max(0.0, p - SLACK), min(1.0, p + SLACK))]
+    grid = ",".join(f"{x!r}D" for x in ends)
+    head = chunked_agg(src, {f"v{i}": [F.count(f"v{i}").alias(f"n{i}"), F.min(f"v{i}").alias(f"lo{i}"), F.max(f"v{i}").alias(f"hi{i}"),
+                                       F.expr(f"percentile_approx(v{i}, array({grid}), 20000)").alias(f"q{i}")] for i in range(len(names))})
+    spans = []
+    for i in range(len(names)):
+        n, q = head[f"n{i}"], head[f"q{i}"]
+        for j in range(len(probs)):
+            if n:
+                spans.append((i, j, head[f"lo{i}"], head[f"hi{i}"]) if n < 10_000 else (i, j, q[2 * j], q[2 * j + 1]))
+    if not spans:
+        return {v: (0, [None] * len(probs)) for v in names}
+    per_col: dict[str, list[Column]] = {}
+    for i, j, lo, _ in spans:
+        per_col.setdefault(f"v{i}", []).append(F.coalesce(F.sum((F.col(f"v{i}") < F.lit(lo)).cast("long")), F.lit(0)).alias(f"b{i}_{j}"))
+    below = chunked_agg(src, per_col)
+
+    def slot(i, lo, hi):                 # 64 equal parts of a bracket, monotone in the value
+        return (F.floor((F.col(f"v{i}") - lo) / (hi - lo) * 64).cast("int") if hi > lo else F.lit(0)).alias("s")
+
+    hit = F.array_compact(F.array(*[F.when(F.col(f"v{i}").between(lo, hi), F.struct(
+        F.lit(i).alias("i"), F.lit(j).alias("j"), F.col(f"v{i}").alias("v"), slot(i, lo, hi))) for i, j, lo, hi in spans]))
+    inside = src.select(F.explode(hit).alias("r")).select("r.*")
+    small = sum(2 * SLACK * head[f"n{i}"] if head[f"n{i}"] >= 10_000 else head[f"n{i}"] for i, *_ in spans) <= rows_per_bucket(df)
+    t = cumulate(inside, "v", {"m": F.count(F.lit(1))}, ["i", "j"], cuts=[] if small else None, bucket=None if small else "s")
+    want = []
+    for i, j, *_ in spans:
+        h = (head[f"n{i}"] - 1) * float(probs[j])
+        want.append((i, j, math.floor(h) - below[f"b{i}_{j}"], math.ceil(h) - below[f"b{i}_{j}"]))
+    ranks = F.create_map(*[x for i, j, a, b in want for x in (F.lit(i * 10_000 + j), F.array(F.lit(a), F.lit(b)))])[F.col("i") * 10_000 + F.col("j")]
+    on = lambda r: (F.col("cum_m") <= r) & (r < F.col("cum_m") + F.col("m"))
+    got: dict[tuple, list] = {}
+    for r in t.withColumn("_w", ranks).where(on(F.col("_w")[0]) | on(F.col("_w")[1])).select("i", "j", "v", on(F.col("_w")[0]).alias("a"), on(F.col("_w")[1]).alias("b")).collect():
+        cell = got.setdefault((r["i"], r["j"]), [None, None])
+        cell[0] = r["v"] if r["a"] else cell[0]
+        cell[1] = r["v"] if r["b"] else cell[1]
+    out: dict[str, tuple[int, list[float | None]]] = {}
+    for i, v in enumerate(names):
+        n, qs = head[f"n{i}"], []
+        for j, p in enumerate(probs):
+            if not n:
+                qs.append(None)
+                continue
+            lo, hi = got.get((i, j), [None, None])
+            if lo is None or hi is None:
+                raise RuntimeError("quantile rank fell outside its bracket")
+            h = (n - 1) * float(p)
+            qs.append(lo + (h - math.floor(h)) * (hi - lo))
+        out[v] = (n, qs)
+    return out
+
+
 def _quantiles_one_bucket(src: DataFrame, probs: Sequence[float], by: list[str]) -> DataFrame:
     """Quantiles read off the ordered distinct values of a table that fits one bucket."""
     t = cumulate(src, "_v", {"n": F.count(F.lit(1))}, by, cuts=[])
@@ -137,10 +209,13 @@ def quantiles(df: DataFrame, value: str, probs: Sequence[float], by: Sequence[st
     bracket raises instead of returning a neighbour."""
     by = list(by)
     v = F.col(value).cast("double")
+    if not by:
+        n, qs = column_quantiles(df, {"v": v}, probs)["v"]
+        return df.sparkSession.createDataFrame([(n, *qs)], ", ".join(["n bigint", *[f"q{i} double" for i in range(len(probs))]]))
     src = df.select(*by, v.alias("_v")).where("_v is not null")
     if (src.count() if total is None else total) <= rows_per_bucket(df):
         return _quantiles_one_bucket(src, probs, by)
-    slack = 5e-4
+    slack = SLACK
     ends = [x for p in probs for x in (max(0.0, p - slack), min(1.0, p + slack))]
     grid = ",".join(f"{x!r}D" for x in ends)
     head = src.groupBy(*by).agg(F.count("_v").alias("n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"),
@@ -151,11 +226,8 @@ def quantiles(df: DataFrame, value: str, probs: Sequence[float], by: Sequence[st
                                F.when(few, F.col("_hi")).otherwise(F.col("_q")[2 * i + 1]).alias("hi"))
                       for i, p in enumerate(probs)])
     head = head.select(*by, F.struct("n", spans.alias("s")).alias("_b"))
-    if by:
-        h = head.select(*[F.col(x).alias(f"_h_{x}") for x in by], "_b")
-        rows = src.join(h, [src[x].eqNullSafe(h[f"_h_{x}"]) for x in by]).select(*by, "_v", "_b")
-    else:
-        rows = src.withColumn("_b", head.scalar())
+    h = head.select(*[F.col(x).alias(f"_h_{x}") for x in by], "_b")
+    rows = src.join(h, [src[x].eqNullSafe(h[f"_h_{x}"]) for x in by]).select(*by, "_v", "_b")
     n, sp = F.col("_b.n"), F.col("_b.s")
     below = rows.groupBy(*by).agg(F.first(n).alias("n"), F.first("_b").alias("_b"), *[
         F.sum((F.col("_v") < sp[i]["lo"]).cast("long")).alias(f"_k{i}") for i in range(len(probs))])
@@ -165,8 +237,7 @@ def quantiles(df: DataFrame, value: str, probs: Sequence[float], by: Sequence[st
                            F.coalesce(F.floor(F.try_divide(F.col("_v") - F.col("s.lo"), width) * 64), F.lit(0)).alias("_sub"))
     t = cumulate(inside, "_v", {"m": F.count(F.lit(1))}, [*by, "_i"], bucket="_sub")
     k = below.select(*[F.col(x).alias(f"_k_{x}") for x in by], "n", F.array(*[f"_k{i}" for i in range(len(probs))]).alias("_below"))
-    j = t.join(k, [t[x].eqNullSafe(k[f"_k_{x}"]) for x in by]) if by else \
-        t.withColumn("_x", k.select(F.struct("n", "_below")).scalar()).select("*", "_x.n", "_x._below")
+    j = t.join(k, [t[x].eqNullSafe(k[f"_k_{x}"]) for x in by])
     pos = F.col("_below")[F.col("_i")] + F.col("cum_m")
     p_of = F.array(*[F.lit(float(p)) for p in probs])[F.col("_i")]
     hh = (F.col("n") - 1) * p_of
