@@ -269,7 +269,8 @@ def run_guard(df: DataFrame, types: dict[str, str], group: str | None = None, me
             parts += [metric_stability(df, group, m, key) for m in metrics]
     else:
         skipped += [("GR-02", "no group column"), ("GR-04", "no group column")]
-    parts.append(coverage(df, list(metrics) or list(types)))
+    if metrics or types:
+        parts.append(coverage(df, list(metrics) or list(types)))
     known = {k: v for k, v in types.items() if v in DOMAIN}
     if known:
         parts.append(out_of_range(df, known))
