@@ -1,9 +1,11 @@
 import os
 import sys
 
-import numpy as np
-import pandas as pd
-import pytest
+os.environ.setdefault("OPENBLAS_NUM_THREADS", "1")       # before numpy loads: threaded BLAS stalls beside the JVM here
+
+import numpy as np  # noqa: E402
+import pandas as pd  # noqa: E402
+import pytest  # noqa: E402
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
