@@ -1,5 +1,6 @@
 """Iterative fits: the reported optimum is checked against the likelihood written out in numpy."""
 import math
+import os
 
 import numpy as np
 import pytest
@@ -8,6 +9,9 @@ from statweave.operators import association as A, group_tests as G, rank_tests a
 from statweave.functions.distributions import lgamma
 
 
+slow = pytest.mark.skipif(not os.environ.get("SLOW_TESTS"), reason="many Spark jobs; set SLOW_TESTS=1")
+
+
 def _is_maximum(fn, theta, step=1e-3):
     best = fn(np.array(theta))
     for i in range(len(theta)):
@@ -160,6 +164,7 @@ def test_permutation_p_agrees_with_welch(table):
     assert G.permutation_f(df, "y", "dose", ["id"], reps=200).first()["p"] > 0.01
 
 
+@slow
 def test_rank_permutation_tests(table):
     _, df = table
     e = R.energy_distance(df.where("dose < 2"), "y", "dose", key=["id"], permutations=60).first()
@@ -178,6 +183,7 @@ def test_one_sided_directions(table):
     assert A.bicor(df, "y", "x", alternative="greater").first()["p"] < 1e-6 < A.bicor(df, "y", "x", alternative="less").first()["p"]
 
 
+@slow
 def test_sen_slope_bisection_matches_listing(table):
     _, df = table
     cut = A.sen_slope(df.where("id < 60"), "y", "x", 60, 0.0, small=10, steps=8)
