@@ -6,8 +6,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from statweave.llm.packing import op1_order_preserving_packing
+from statweave.llm.sharding import op5_lpt_sharding
+from statweave.llm.topk import OP3_SQL, op3_exact_top_k
+from statweave.llm.warc import OP10_SQL, op10_transaction_assembly
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_order_preserving_packing": op1_order_preserving_packing,
+    "op3_exact_top_k": op3_exact_top_k,
+    "op5_lpt_sharding": op5_lpt_sharding,
+    "op10_transaction_assembly": op10_transaction_assembly,
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op3_exact_top_k": OP3_SQL, "op10_transaction_assembly": OP10_SQL}

@@ -1,6 +1,7 @@
 """Helpers of the operators: table access, written intermediate tables, and word hashing of Arrow text columns."""
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 import numpy as np
@@ -8,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-MASK = np.uint64(0xFFFFFFFFFFFFFFFF)
+_LOCAL: dict[str, str] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,10 +17,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir, which driver and executors share."""
+    """A new folder under spark.checkpoint.dir, which driver and executors share. Where it is unset, a local session gets a temporary folder; a cluster must set it."""
     top = spark.conf.get("spark.checkpoint.dir", None)
     if not top:
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        if not spark.sparkContext.master.startswith("local") or "cluster" in spark.sparkContext.master:
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        top = _LOCAL.setdefault("top", "file://" + tempfile.mkdtemp(prefix="statweave-llm-"))
     return f"{top.rstrip('/')}/llm-{uuid.uuid4().hex}"
 
 
