@@ -5,6 +5,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from statweave.llm.lm import op4_brown_class_bigrams
+from statweave.llm.neardup import op6_odd_sketch_near_duplicates
 from statweave.llm.packing import op1_order_preserving_packing
 from statweave.llm.sharding import op5_lpt_sharding
 from statweave.llm.topk import OP3_SQL, op3_exact_top_k
@@ -13,7 +15,9 @@ from statweave.llm.warc import OP10_SQL, op10_transaction_assembly
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_order_preserving_packing": op1_order_preserving_packing,
     "op3_exact_top_k": op3_exact_top_k,
+    "op4_brown_class_bigrams": op4_brown_class_bigrams,
     "op5_lpt_sharding": op5_lpt_sharding,
+    "op6_odd_sketch_near_duplicates": op6_odd_sketch_near_duplicates,
     "op10_transaction_assembly": op10_transaction_assembly,
 }
 SQL: dict[str, str] = {"op3_exact_top_k": OP3_SQL, "op10_transaction_assembly": OP10_SQL}
