@@ -5,6 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from statweave.llm.chat import OP8_SQL, op8_prefix_target_expansion
 from statweave.llm.lm import op4_brown_class_bigrams
 from statweave.llm.neardup import op6_odd_sketch_near_duplicates
 from statweave.llm.packing import op1_order_preserving_packing
@@ -18,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_brown_class_bigrams": op4_brown_class_bigrams,
     "op5_lpt_sharding": op5_lpt_sharding,
     "op6_odd_sketch_near_duplicates": op6_odd_sketch_near_duplicates,
+    "op8_prefix_target_expansion": op8_prefix_target_expansion,
     "op10_transaction_assembly": op10_transaction_assembly,
 }
-SQL: dict[str, str] = {"op3_exact_top_k": OP3_SQL, "op10_transaction_assembly": OP10_SQL}
+SQL: dict[str, str] = {"op3_exact_top_k": OP3_SQL, "op8_prefix_target_expansion": OP8_SQL, "op10_transaction_assembly": OP10_SQL}
