@@ -9,6 +9,7 @@ from statweave.llm.chat import OP8_SQL, op8_prefix_target_expansion
 from statweave.llm.lm import op4_brown_class_bigrams
 from statweave.llm.neardup import op6_odd_sketch_near_duplicates
 from statweave.llm.packing import op1_order_preserving_packing
+from statweave.llm.pii import op9_weak_supervision_pii
 from statweave.llm.sharding import op5_lpt_sharding
 from statweave.llm.topk import OP3_SQL, op3_exact_top_k
 from statweave.llm.warc import OP10_SQL, op10_transaction_assembly
@@ -20,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_lpt_sharding": op5_lpt_sharding,
     "op6_odd_sketch_near_duplicates": op6_odd_sketch_near_duplicates,
     "op8_prefix_target_expansion": op8_prefix_target_expansion,
+    "op9_weak_supervision_pii": op9_weak_supervision_pii,
     "op10_transaction_assembly": op10_transaction_assembly,
 }
 SQL: dict[str, str] = {"op3_exact_top_k": OP3_SQL, "op8_prefix_target_expansion": OP8_SQL, "op10_transaction_assembly": OP10_SQL}
