@@ -12,10 +12,12 @@ from statweave.llm.packing import op1_order_preserving_packing
 from statweave.llm.pii import op9_weak_supervision_pii
 from statweave.llm.sharding import op5_lpt_sharding
 from statweave.llm.topk import OP3_SQL, op3_exact_top_k
+from statweave.llm.toxicity import op2_weak_supervision_toxicity
 from statweave.llm.warc import OP10_SQL, op10_transaction_assembly
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_order_preserving_packing": op1_order_preserving_packing,
+    "op2_weak_supervision_toxicity": op2_weak_supervision_toxicity,
     "op3_exact_top_k": op3_exact_top_k,
     "op4_brown_class_bigrams": op4_brown_class_bigrams,
     "op5_lpt_sharding": op5_lpt_sharding,
