@@ -6,6 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from statweave.llm.chat import OP8_SQL, op8_prefix_target_expansion
+from statweave.llm.decontaminate import op7_cgk_decontamination
 from statweave.llm.lm import op4_brown_class_bigrams
 from statweave.llm.neardup import op6_odd_sketch_near_duplicates
 from statweave.llm.packing import op1_order_preserving_packing
@@ -22,6 +23,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_brown_class_bigrams": op4_brown_class_bigrams,
     "op5_lpt_sharding": op5_lpt_sharding,
     "op6_odd_sketch_near_duplicates": op6_odd_sketch_near_duplicates,
+    "op7_cgk_decontamination": op7_cgk_decontamination,
     "op8_prefix_target_expansion": op8_prefix_target_expansion,
     "op9_weak_supervision_pii": op9_weak_supervision_pii,
     "op10_transaction_assembly": op10_transaction_assembly,
