@@ -12,22 +12,25 @@ from pyspark.sql import functions as F
 
 from statweave.llm.shared import mix, table, word_hashes
 
-#: Doc windows begin at every STRIDE-th word, and an item is indexed from its first STRIDE words on, so a copy meets one window aligned.
-STRIDE = 4
+#: Doc windows begin at every STRIDE-th word, and an item is indexed from its first STRIDE words on, so a copy meets one window aligned. For the first SHORT
+#: sizes of items windows begin at every word.
+STRIDE, SHORT = 4, 5
 #: Steps of a walk, by size of the items; a walk of t steps crosses about t / 2 words.
-STEPS = (4, 8, 16, 32, 64, 96)
+STEPS = (1, 2, 3, 4, 8, 16, 32, 64, 96)
 WALKS, TABLES, SAMPLED = 4, 8, 3
 
 
 def size_class(words: int) -> int:
     """The longest walk that ends within an item about this long."""
+    if words < 5:
+        return words - 1
     return max((k for k, t in enumerate(STEPS) if t <= 2 * words - 6), default=0)
 
 
 def _samples() -> list[list[np.ndarray]]:
     """[walk][class]: TABLES x SAMPLED steps whose symbols make a key."""
     rng = np.random.default_rng(7)
-    return [[np.stack([np.sort(rng.choice(t, SAMPLED, replace=False)) for _ in range(TABLES)]) for t in STEPS] for _ in range(WALKS)]
+    return [[np.stack([np.sort(rng.choice(t, min(t, SAMPLED), replace=False)) for _ in range(TABLES)]) for t in STEPS] for _ in range(WALKS)]
 
 
 def window_keys(words: np.ndarray, starts: np.ndarray, classes: list[int]) -> dict[tuple[int, int], np.ndarray]:
@@ -100,7 +103,7 @@ def index_items(ids: list, texts: list[str | None]) -> Index:
         gap = np.zeros(STEPS[-1], np.uint64)
         flat = np.concatenate([x for i in members for x in (words[i], gap)])
         heads = np.cumsum([0] + [len(words[i]) + len(gap) for i in members[:-1]])
-        offsets = [range(max(1, min(STRIDE, len(words[i]) - 3))) for i in members]
+        offsets = [range(1 if c < SHORT else STRIDE) for _ in members]
         starts = np.array([a + o for a, os in zip(heads, offsets) for o in os], dtype=np.int64)
         owner = np.array([i for i, os in zip(members, offsets) for _ in os], dtype=np.int64)
         offset = np.array([o for os in offsets for o in os], dtype=np.int64)
@@ -120,9 +123,11 @@ def matches_in(h: np.ndarray, first: np.ndarray, index: Index, percent: int) ->
         return
     doc = np.repeat(np.arange(n), np.diff(first))
     within = np.arange(len(h)) - first[doc]
-    starts = np.flatnonzero(within % STRIDE == 0)
+    sparse, every = np.flatnonzero(within % STRIDE == 0), np.arange(len(h))
+    short, long = [c for c in index.classes if c < SHORT], [c for c in index.classes if c >= SHORT]
     found: set[tuple[int, int, int]] = set()
-    for (walk, c), table_ in window_keys(h, starts, index.classes).items():
+    tables = [(x, sparse) for x in (window_keys(h, sparse, long).items() if long else ())] + [(x, every) for x in (window_keys(h, every, short).items() if short else ())]
+    for ((walk, c), table_), starts in tables:
         for j, k in enumerate(table_):
             keys, owner, offset, seen = index.keys[walk, c, j]
             some = np.flatnonzero(seen[(k >> np.uint64(48)).astype(np.int64)])

@@ -196,7 +196,7 @@ def score(docs: DataFrame, model: ClassModel, keep: list[str]) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent, counts, emission, clustered, classes, transition = held.value
-        base_of = np.log10((counts + 1) / size)
+        base_of, emission = np.append(np.log10((counts + 1) / size), 0.0), np.append(emission, 0.0)      # the last for words that are not frequent
         for whole in batches:
             for at in range(0, whole.num_rows, 1_000):
                 batch = whole.slice(at, 1_000)
@@ -207,8 +207,8 @@ def score(docs: DataFrame, model: ClassModel, keep: list[str]) -> DataFrame:
                 moves = add(transition[classes[prev], classes[cur]], bounds)
                 f = _ids(h, frequent)
                 hit = f >= 0
-                base = add(np.where(hit, base_of[f], 0.0), first) if len(h) else np.zeros(n)
-                emit = add(np.where(hit, emission[f], 0.0), first) if len(h) else np.zeros(n)
+                base = add(base_of[f], first)
+                emit = add(emission[f], first)
                 known = np.diff(np.concatenate([[0], np.cumsum(hit)])[first])
                 doc = np.repeat(np.arange(n), np.diff(first))[~hit]
                 rest, kind = h[~hit], shape[~hit]

@@ -46,6 +46,8 @@ class ChunkCodec:
             def __missing__(self, chunk: str) -> int:
                 k = len(codec._start) + len(codec._new)
                 codec._new.append(chunk)
+                if " " in chunk:                                    # only where texts are split at safe spaces
+                    codec._spaced.add(k)
                 if not chunk or chunk[0].isspace() or chunk[-1].isspace():
                     codec._odd.add(k)
                 if k < most and len(chunk) <= 48:
@@ -66,13 +68,14 @@ class ChunkCodec:
         self._inner, self._first = Memo(), First()
         self._new: list[str] = []
         self._apart: dict[int, str] = {}                            # entries that begin a text
+        self._spaced: set[int] = set()                              # new entries with a space inside
         self._odd: set[int] = set()                                  # entries with white space at an edge, or empty
         self._flat, self._start, self._length = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def _encode_new(self) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the new entries, and how many each has: those between spaces in one call, the others one by one."""
         first = len(self._start)
-        lone = sorted(x for x in {*self._apart, *self._odd} if x >= first)
+        lone = sorted(x for x in {*self._apart, *self._odd, *self._spaced} if x >= first)
         ids = {x: self._encoding.encode(self._apart[x] if x in self._apart else " " + self._new[x - first], allowed_special="all") for x in lone}
         plain = np.ones(len(self._new), dtype=bool)
         plain[np.array(lone, dtype=np.int64) - first] = False
@@ -111,7 +114,7 @@ class ChunkCodec:
             self._flat, self._start, self._length = flat, start, length
         else:
             self._odd = {x for x in self._odd if x < len(self._start)}
-        self._new, self._apart = [], {}
+        self._new, self._apart, self._spaced = [], {}, set()
         return ids, tokens, np.flatnonzero(ends) + 1
 
 

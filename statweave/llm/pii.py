@@ -179,7 +179,7 @@ def logistic(rows: list[tuple[tuple[int, ...], float, float]], rounds: int = 400
 
 def fit_spans(docs: DataFrame) -> SpanModel:
     """Reliabilities and classifier from the candidates of all documents. Only counts of (votes, features) come to the driver: 3 ** VOTERS patterns a kind times the features' values, a bounded number."""
-    found = candidates(docs).select(*[f"more_{k}" for k in MORE])
+    found = candidates(docs.select("text")).select(*[f"more_{k}" for k in MORE])
     pick = lambda k, x: F.struct(F.array(*voters(k, x)).alias("votes"), F.array(*features(k, x)).alias("features"))
     rows = found.select(F.explode(F.concat(*[F.transform(f"more_{k}", _bound(pick, k)) for k in MORE])).alias("c")).groupBy("c.votes", "c.features").agg(F.count("*").alias("n")).collect()
     votes: dict[tuple[int, ...], int] = {}
@@ -224,25 +224,32 @@ def find_spans(docs: DataFrame, model: SpanModel | None = None) -> DataFrame:
 
 
 def redact(docs: DataFrame, model: SpanModel | None = None) -> DataFrame:
-    """docs with each span of personal data replaced by [KIND]; overlapping spans become one, named after the first. n_chars follows the text where both are there."""
-    found = find_spans(docs, model)
+    """docs with each span of personal data replaced by [KIND]; overlapping spans become one, named after the first. n_chars follows the text where both are there;
+    all other columns stay as they are, whatever their names."""
+    found = find_spans(docs.select(F.struct(*docs.columns).alias("_row"), "text"), model)
     ordered = F.array_sort(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
     empty = F.expr("cast(array() as array<struct<start: int, end: int, kind: int>>)")
 
     def merge(acc: Column, s: Column) -> Column:
-        last = F.element_at(acc, -1)
+        last = F.try_element_at(acc, F.lit(-1))
         longer = F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.struct(last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"), last["kind"].alias("kind"))))
-        return F.when((F.size(acc) > 0) & (F.try_element_at(acc, F.lit(-1))["end"] > s["start"]), longer).otherwise(F.concat(acc, F.array(s)))
+        return F.when((F.size(acc) > 0) & (last["end"] > s["start"]), longer).otherwise(F.concat(acc, F.array(s)))
 
-    row = found.withColumn("_spans", F.aggregate(ordered, empty, merge))
+    row = found.select("_row", "text", F.aggregate(ordered, empty, merge).alias("_spans"))
+    names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
     before = lambda i: F.when(i == 0, F.lit(0)).otherwise(F.try_element_at("_spans", i)["end"])
-    parts = F.transform("_spans", lambda s, i: F.concat(F.substr(F.col("text"), before(i) + 1, s["start"] - before(i)), F.element_at(F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS]), s["kind"] + 1)))
+    parts = F.transform("_spans", lambda s, i: F.concat(F.substr(F.col("text"), before(i) + 1, s["start"] - before(i)), F.element_at(names, s["kind"] + 1)))
     tail = F.substr(F.col("text"), F.try_element_at("_spans", F.lit(-1))["end"] + 1)
-    clean = F.when(F.size("_spans") > 0, F.concat(F.array_join(parts, ""), tail)).otherwise(F.col("text"))
-    out = row.withColumn("text", clean)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.size("_spans") > 0, F.length("text").cast(dict(docs.dtypes)["n_chars"])).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+    some = F.size("_spans") > 0
+    out = row.select("_row", some.alias("_some"), F.when(some, F.concat(F.array_join(parts, ""), tail)).otherwise(F.col("text")).alias("_text"))
+
+    def column(name: str, kind: str) -> Column:
+        if name == "text":
+            return F.col("_text").alias(name)
+        own = F.col("_row").getField(name)
+        return (F.when(F.col("_some"), F.length("_text").cast(kind)).otherwise(own) if name == "n_chars" else own).alias(name)
+
+    return out.select(*[column(c, t) for c, t in docs.dtypes])
 
 
 def op9_weak_supervision_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
