@@ -271,11 +271,14 @@ def label_levels(spec: ModelSpec) -> DataFrame:
 
 def code_direction(spec: ModelSpec, mapping: dict[str, int] | None = None) -> DataFrame:
     """MB-C13: does the positive class carry the largest code (recorded, else alphabetical)?"""
-    lv = sorted(r[0] for r in spec.dev().select(c(spec.label).cast("string").alias("v")).dropna().distinct().limit(1000).collect())
-    codes = mapping or {v: i for i, v in enumerate(lv)}
-    ok = spec.positive is not None and spec.positive in codes and codes[spec.positive] == max(codes.values())
-    return finding(spec.dev().sparkSession.range(1), "MB-C13", F.lit("pass" if ok else "fail"),
-                   {"recorded": F.lit(float(mapping is not None)), "levels": F.lit(len(codes))}, "dev", spec.label)
+    dev = spec.dev().select(c(spec.label).cast("string").alias("v")).dropna()
+    if mapping:
+        ok = spec.positive in mapping and mapping[spec.positive] == max(mapping.values())
+        s, verdict, levels = dev.sparkSession.range(1), F.lit("pass" if ok else "fail"), F.lit(len(mapping))
+    else:
+        s = dev.distinct().agg(F.max("v").alias("last"), F.count("v").alias("k"))
+        verdict, levels = F.when(c("last") == F.lit(spec.positive), "pass").otherwise("fail"), c("k")
+    return finding(s, "MB-C13", verdict, {"recorded": F.lit(float(mapping is not None)), "levels": levels}, "dev", spec.label)
 
 
 # ------------------------------------------------------------------ preparation

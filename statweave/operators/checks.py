@@ -259,14 +259,14 @@ def multiplicity(df: DataFrame, n_tests: int, alpha: float = 0.05) -> DataFrame:
 
 
 # ------------------------------------------------------------------ bundles
-def run_checks(df: DataFrame, spec: Spec, structure: dict[str, str] | None = None) -> DataFrame:
-    """The checks that bear on the question, as one DataFrame."""
+def run_checks(df: DataFrame, spec: Spec, structure: dict[str, str] | None = None, others: Sequence[str] | None = None) -> DataFrame:
+    """The checks that bear on the question, as one DataFrame. others: columns for collinearity, all numeric ones by default."""
     is_num = lambda v: bool(v) and isinstance(df.schema[v].dataType, NumericType)
     pairwise = spec.question in ("Q-03", "Q-08")
     parts = [normality(df, spec.y, None if pairwise else spec.group)]
     if pairwise and is_num(spec.group):
         parts += [normality(df, spec.group), linearity(df, spec.y, spec.group)]
-        extra = [v for v in df.columns if is_num(v) and v not in (spec.y, spec.group)][:4]
+        extra = [v for v in (df.columns if others is None else others) if is_num(v) and v not in (spec.y, spec.group)]
         parts.append(collinearity(df, [spec.y, spec.group, *extra]))
     if spec.group and spec.question != "Q-03":
         parts += [equal_variance(df, spec.y, spec.group), power_check(df, spec.y, spec.group)]

@@ -5,18 +5,23 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from statweave.plans.common import levels_of, ratio
+from statweave.plans.common import levels_of, natural_order, ratio
 
 c = F.col
 
 
 def label_levels(df: DataFrame, col: str) -> DataFrame:
-    """value, n, ratio and a default code by frequency (ties by value)."""
-    counts = df.select(c(col).cast("string").alias("value")).where("value is not null") \
-               .groupBy("value").agg(F.count(F.lit(1)).alias("n"))
-    order = Window.partitionBy(F.lit(0)).orderBy(c("n").desc(), "value")   # one row per level
-    return counts.select("value", "n", ratio(c("n"), F.sum("n").over(Window.partitionBy(F.lit(0)))).alias("ratio"),
-                         (F.row_number().over(order) - 1).alias("code"))
+    """value, n, ratio and a default code by frequency (ties by value).
+
+    Levels are numbered inside frequency classes; a class's offset is the number of levels in larger ones, so no task sees all levels."""
+    counts = df.select(c(col).cast("string").alias("value")).where("value is not null").groupBy("value").agg(F.count(F.lit(1)).alias("n"))
+    sizes = counts.groupBy("n").agg(F.count(F.lit(1)).alias("levels"))                      # about sqrt(2 x rows) classes at most
+    larger = Window.partitionBy(F.lit(0)).orderBy(c("n").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    ahead = sizes.select(c("n").alias("_n"), F.coalesce(F.sum("levels").over(larger), F.lit(0)).alias("_ahead"))
+    total = counts.agg(F.sum("n").alias("t")).scalar()
+    place = F.row_number().over(Window.partitionBy("n").orderBy("value"))
+    return counts.withColumn("_k", place).join(ahead, c("n") == c("_n")).select(
+        "value", "n", ratio(c("n"), total).alias("ratio"), (c("_k") - 1 + c("_ahead")).cast("int").alias("code"))
 
 
 def label_code(col: str, mapping: dict[str, str]) -> Column:
@@ -52,17 +57,17 @@ def palette_match(df: DataFrame, col: str, palette: DataFrame) -> DataFrame:
     Labels meet keywords through the keyword's text: every substring of a label with a length
     that occurs among the keywords is a join key, so no label-by-keyword product is formed."""
     words = palette.select(normalise_label(c("keyword")).alias("_w"), "category").where("_w <> ''").distinct()
-    lengths = [r[0] for r in words.select(F.length("_w")).distinct().limit(200).collect()]
+    lengths = sorted(r[0] for r in words.select(F.length("_w")).distinct().collect())       # at most the longest keyword's length
     labels = df.select(c(col).cast("string").alias("label")).where("label is not null").groupBy("label") \
                .agg(F.count(F.lit(1)).alias("n")).withColumn("_t", normalise_label(c("label")))
     if not lengths:
         return labels.select("label", "n", F.lit(None).cast("string").alias("category"), F.lit(False).alias("ambiguous"))
 
-    def windows(k: int) -> Column:
+    def windows(k: Column) -> Column:
         starts = F.when(F.length("_t") >= k, F.sequence(F.lit(1), F.length("_t") - (k - 1))).otherwise(F.array().cast("array<int>"))
-        return F.transform(starts, lambda i: F.substring(c("_t"), i, F.lit(k)))
+        return F.transform(starts, lambda i: F.substr(c("_t"), i, k))
 
-    pieces = F.flatten(F.array(*[windows(k) for k in lengths]))
+    pieces = F.flatten(F.transform(F.array(*map(F.lit, lengths)), windows))
     keyed = labels.select("label", "n", F.explode_outer(F.array_distinct(pieces)).alias("_w"))
     hit = keyed.join(words, "_w", "left")
     per = hit.groupBy("label", "n", "category").agg(F.max(F.length("_w")).alias("_len")).where("category is not null")
@@ -79,10 +84,8 @@ def ordered_levels(df: DataFrame, col: str, limit: int = 1000) -> list[str]:
 
 
 def order_key(col: Column) -> Column:
-    """Sortable text form of the natural order: digit runs padded to equal width."""
-    txt = col.cast("string")
-    parts = F.regexp_extract_all(txt, F.lit(r"(\d+|\D+)"))
-    return F.array_join(F.transform(parts, lambda p: F.when(p.rlike(r"^\d+$"), F.lpad(p, 20, "0")).otherwise(p)), "")
+    """Sortable form of the natural order."""
+    return natural_order(col)
 
 
 # ------------------------------------------------------------------ cell edits by key

@@ -395,14 +395,24 @@ def power_transform(df: DataFrame, col: str, out: str, method: str = "box-cox",
 
     jac = F.ln(x) if method == "box-cox" else F.signum(x) * F.log1p(F.abs(x))
     src = df.where(x > 0) if method == "box-cox" else df.where(x.isNotNull())
-    lo, hi, best = -3.0, 3.0, 1.0
-    for _ in range(rounds):
-        grid = np.linspace(lo, hi, 25)
+
+    def likelihoods(grid: np.ndarray) -> list[float]:
         r = src.agg(F.count(x).alias("n"), F.sum(jac).alias("j"), *[F.var_pop(f(float(v))).alias(f"v{i}") for i, v in enumerate(grid)]).first()
-        ll = [-0.5 * r["n"] * math.log(max(r[f"v{i}"], 1e-300)) + (v - 1) * r["j"] for i, v in enumerate(grid)]
-        best = float(grid[int(np.argmax(ll))])
-        step = (hi - lo) / 24
-        lo, hi = best - step, best + step
+        if not r["n"]:
+            return [0.0] * len(grid)
+        return [-0.5 * r["n"] * math.log(max(r[f"v{i}"], 1e-300)) + (v - 1) * r["j"] if r[f"v{i}"] is not None and math.isfinite(r[f"v{i}"]) else -math.inf for i, v in enumerate(grid)]
+
+    lo, hi = -3.0, 3.0
+    while True:                                     # twice as wide as long as the best value lies at an end
+        grid = np.linspace(lo, hi, 25)
+        k = int(np.argmax(likelihoods(grid)))
+        if 0 < k < 24 or hi - lo > 1e3:
+            break
+        lo, hi = (2 * lo, hi) if k == 0 else (lo, 2 * hi)
+    best, step = float(grid[k]), (hi - lo) / 24
+    for _ in range(rounds - 1):
+        grid = np.linspace(best - step, best + step, 25)
+        best, step = float(grid[int(np.argmax(likelihoods(grid)))]), step / 12
     return df.withColumn(out, F.when(x > 0, f(best)) if method == "box-cox" else f(best)), best
 
 

@@ -15,6 +15,7 @@ from pyspark.sql.types import BooleanType, DateType, FractionalType, NumericType
 from statweave.operators.missing import is_missing
 from statweave.plans.common import num, ratio
 from statweave.plans.cumulate import chunked_agg, column_quantiles
+from statweave.plans.gram import gram, unpack
 
 c = F.col
 MAX_LEVELS = 12
@@ -157,24 +158,27 @@ def category_summary(df: DataFrame, columns: Sequence[str], top: int = MAX_LEVEL
 
 
 # ------------------------------------------------------------------ shape
-def shape_of(counts: Sequence[int], n: int, skew: float) -> str:
-    """Verdict from a histogram of at most 20 bins."""
-    if n < 10:
-        return "too_few"
-    h = np.asarray(counts, float)
-    if h.max() == 0 or h.std() / max(1e-9, h.mean()) < 0.35:
-        return "flat"
-    share = h / max(1.0, h.sum())
-    if share[0] > 0.15 and share[-1] > 0.15:
-        return "bimodal_ends"
-    tops: list[int] = []
-    for i in range(1, len(h) - 1):
-        rises = h[i] > h[i - 1] and h[i] > h[i + 1] and h[i] > 0.4 * h.max()
-        if rises and (not tops or i - tops[-1] >= 2):
-            tops.append(i)
-    if len(tops) >= 2:
-        return "bimodal"
-    return "skewed" if abs(skew) >= 1 else "unimodal"
+#: fixed values: limits of the shape verdicts (variation of bin heights, share of an end bin, height of a peak against the highest bin, skewness)
+FLAT, END, PEAK, SKEWED, LEAST_ROWS = 0.35, 0.15, 0.4, 1.0, 10
+#: shape verdicts, the first whose condition holds over (n, skew, spread, first, last, peaks)
+SHAPES = (("too_few", f"n < {LEAST_ROWS} OR n IS NULL"), ("flat", f"spread IS NULL OR spread < {FLAT}"), ("bimodal_ends", f"first > {END} AND last > {END}"),
+          ("bimodal", "peaks >= 2"), ("skewed", f"abs(skew) >= {SKEWED}"), ("unimodal", "true"))
+
+
+def shapes(bins: DataFrame, facts: DataFrame) -> DataFrame:
+    """column, shape of every row of facts (column, n, skew) from histogram rows (column, bin, count)."""
+    side = Window.partitionBy("column").orderBy("bin")
+    whole = Window.partitionBy("column")
+    b = bins.withColumns({"before": F.lag("count").over(side), "after": F.lead("count").over(side), "top": F.max("count").over(whole)})
+    peak = (c("count") > c("before")) & (c("count") > c("after")) & (c("count") > PEAK * c("top"))
+    total = F.sum("count")
+    seen = b.groupBy("column").agg(ratio(F.stddev_pop("count"), F.avg("count")).alias("spread"), ratio(F.min_by("count", "bin"), total).alias("first"),
+                                   ratio(F.max_by("count", "bin"), total).alias("last"), F.count_if(peak).alias("peaks"))
+    return facts.select("column", "n", "skew").join(seen, "column", "left").select("column", _first_that_holds(SHAPES).alias("shape"))
+
+
+def _first_that_holds(rules) -> Column:
+    return F.coalesce(*[F.when(F.expr(condition), F.lit(name)) for name, condition in rules])
 
 
 def column_facts(df: DataFrame, columns: Sequence[str] | None = None) -> dict[str, dict]:
@@ -210,22 +214,15 @@ def column_facts(df: DataFrame, columns: Sequence[str] | None = None) -> dict[st
         else:
             f["date_share"] = row[f"date{i}"] / f["n"] if f["n"] else 0.0
         facts[v] = f
-    few = [v for v in nums if facts[v]["integer"] and 0 < facts[v]["distinct"] <= 20]
-    hists: dict[str, list] = {v: [] for v in nums}
+    few = [v for v in nums if facts[v]["integer"] and 0 < facts[v]["distinct"] <= 20]      # a bar per value
+    rest = [v for v in nums if v not in few and facts[v]["n"] >= LEAST_ROWS]
+    bins = histogram(df, rest, ranges={v: (facts[v]["n"], facts[v]["min"], facts[v]["max"]) for v in rest}).select("column", c("bin").cast("double").alias("bin"), "count")
     if few:
-        for r in _long(df, few, cast="double").groupBy("column", "value").agg(F.count(F.lit(1)).alias("n")).orderBy("column", "value").collect():
-            hists[r["column"]].append(r["n"])
-    rest = [v for v in nums if v not in few and facts[v]["n"] >= 10]
-    if rest:
-        for r in histogram(df, rest, ranges={v: (facts[v]["n"], facts[v]["min"], facts[v]["max"]) for v in rest}).orderBy("column", "bin").collect():
-            hists[r["column"]].append(r["count"])
+        bins = bins.unionByName(_long(df, few, cast="double").groupBy("column", c("value").alias("bin")).agg(F.count(F.lit(1)).alias("count")))
+    known = df.sparkSession.createDataFrame([(v, facts[v]["n"], float(facts[v]["skew"])) for v in nums], "column string, n bigint, skew double")
+    found = {r["column"]: r["shape"] for r in shapes(bins, known).collect()} if nums else {}
     for v in cols:
-        f = facts[v]
-        if v not in nums:
-            f["shape"] = "categorical"
-        else:
-            f["hist"] = hists[v]
-            f["shape"] = shape_of(hists[v], f["n"], f["skew"]) if f["n"] >= 10 and hists[v] else "too_few"
+        facts[v]["shape"] = found.get(v, "categorical")
     return facts
 
 
@@ -241,102 +238,71 @@ NAME_HINTS = ((r"\b(prob|p_|pred|score)\b|prob", "probability"), (r"(frac|ratio|
 LABEL_HINT = r"label|group|arm|class|cohort|dx|diagnos|status|grade"
 
 
-def score_types(name: str, f: dict, in_composition: bool = False) -> tuple[dict[str, float], dict[str, list[str]], list[str]]:
-    """Scores, evidence and conflicts for one column from its facts."""
-    score: dict[str, float] = {}
-    why: dict[str, list[str]] = {}
-    conflicts: list[str] = []
-
-    def add(kind, pts, reason):
-        score[kind] = score.get(kind, 0.0) + pts
-        why.setdefault(kind, []).append(reason)
-
-    uniq = f["distinct"] / max(1, f["n"])
-    if f["kind"] != "numeric":
-        if uniq > 0.9:
-            add("id", 3, "almost every value is unique")
-        else:
-            add("nominal code", 3, "few levels")
-            if re.search(LABEL_HINT, name, re.I):
-                add("label", 3.5, "name suggests a label")
-            elif f["distinct"] <= 6:
-                add("label", 2, "six levels or fewer")
-            if f["distinct"] <= 10:
-                add("ordinal code", 1, "few levels could be ordered")
-                conflicts.append("nominal or ordinal")
-        if f.get("date_share", 0) == 1.0 and f["n"]:
-            add("datetime", 2, "parses as a date")
-        return score, why, conflicts
-    if not f["n"]:
-        return {"continuous": 1.0}, {"continuous": ["no values"]}, []
-    lo, hi, whole, levels = f["min"], f["max"], f["integer"], f["distinct"]
-    if lo >= 0 and hi <= 1:
-        if in_composition:
-            add("proportion", 4, "rows sum to one with its siblings")
-        if whole and levels <= 2:
-            add("nominal code", 2.5, "only 0 and 1")
-            add("count", 1, "non-negative integers")
-            conflicts.append("binary code or count")
-        if not whole:
-            if lo == 0 and hi == 1:
-                add("normalized score", 3, "range is exactly 0 to 1")
-            add("probability", 2, "lies in 0..1")
-            add("proportion", 1.5, "lies in 0..1")
-            if f["shape"] in ("bimodal", "bimodal_ends"):
-                add("probability", 1.5, "mass at both ends")
-    if whole and lo >= 0 and hi > 1:
-        add("count", 3, "non-negative integers")
-        if levels <= 10:
-            add("ordinal code", 2, "few integer levels")
-            add("nominal code", 1.5, "few integer levels")
-            conflicts.append("nominal or ordinal")
-    if not whole and lo >= 0 and 1 < hi <= 100:
-        add("percent", 2, "lies in 0..100")
-    if lo < 0:
-        add("continuous", 2, "has negative values")
-        add("expression index", 1.5, "negative values of a log ratio")
-        if abs(f["mean"]) < 0.3 and 0.7 < f["sd"] < 1.4:
-            add("z-score", 3, "mean near 0 and sd near 1")
-        conflicts.append("negative values rule out several scales")
-    if hi > 1 and not whole:
-        add("continuous", 1.5, "real values above one")
-        add("expression index", 1, "relative to a reference of one")
-    if uniq > 0.9 and whole:
-        add("id", 1.5, "almost every value is unique")
-    if not score:
-        add("continuous", 1, "no stronger signal")
-    for pattern, kind in NAME_HINTS:
-        if re.search(pattern, name.lower()):
-            add(kind, 0.5, "name hint")
-    return score, why, conflicts
-
-
-def rank_types(score: dict[str, float]) -> list[tuple[str, int]]:
-    """Competition ranks (1, 1, 3) by falling score."""
-    order = sorted(score, key=lambda k: -score[k])
-    return [(k, 1 + sum(score[o] > score[k] + 1e-9 for o in order)) for k in order]
+_TEXT, _NUMBER = "kind <> 'numeric'", "kind = 'numeric' AND n > 0"
+_UNIT, _REAL, _WHOLE = f"{_NUMBER} AND min >= 0 AND max <= 1", f"{_NUMBER} AND NOT integer", f"{_NUMBER} AND integer"
+#: fixed values: what speaks for a type: condition over a column's facts, type, points, evidence
+SIGNALS = (
+    (f"{_TEXT} AND uniq > 0.9", "id", 3.0, "almost every value is unique"), (f"{_WHOLE} AND uniq > 0.9", "id", 1.5, "almost every value is unique"),
+    (f"{_TEXT} AND uniq <= 0.9", "nominal code", 3.0, "few levels"), (f"{_UNIT} AND integer AND distinct <= 2", "nominal code", 2.5, "only 0 and 1"),
+    (f"{_WHOLE} AND min >= 0 AND max > 1 AND distinct <= 10", "nominal code", 1.5, "few integer levels"),
+    (f"{_TEXT} AND uniq <= 0.9 AND labelled", "label", 3.5, "name suggests a label"), (f"{_TEXT} AND uniq <= 0.9 AND NOT labelled AND distinct <= 6", "label", 2.0, "six levels or fewer"),
+    (f"{_TEXT} AND uniq <= 0.9 AND distinct <= 10", "ordinal code", 1.0, "few levels could be ordered"),
+    (f"{_WHOLE} AND min >= 0 AND max > 1 AND distinct <= 10", "ordinal code", 2.0, "few integer levels"),
+    (f"{_TEXT} AND n > 0 AND date_share = 1", "datetime", 2.0, "parses as a date"),
+    (f"{_UNIT} AND composed", "proportion", 4.0, "rows sum to one with its siblings"), (f"{_UNIT} AND NOT integer", "proportion", 1.5, "lies in 0..1"),
+    (f"{_UNIT} AND NOT integer", "probability", 2.0, "lies in 0..1"),
+    (f"{_UNIT} AND NOT integer AND shape IN ('bimodal', 'bimodal_ends')", "probability", 1.5, "mass at both ends"),
+    (f"{_UNIT} AND NOT integer AND min = 0 AND max = 1", "normalized score", 3.0, "range is exactly 0 to 1"),
+    (f"{_UNIT} AND integer AND distinct <= 2", "count", 1.0, "non-negative integers"), (f"{_WHOLE} AND min >= 0 AND max > 1", "count", 3.0, "non-negative integers"),
+    (f"{_REAL} AND min >= 0 AND max > 1 AND max <= 100", "percent", 2.0, "lies in 0..100"),
+    (f"{_NUMBER} AND min < 0", "continuous", 2.0, "has negative values"), (f"{_REAL} AND max > 1", "continuous", 1.5, "real values above one"),
+    ("kind = 'numeric' AND n = 0", "continuous", 1.0, "no values"),
+    (f"{_NUMBER} AND min < 0", "expression index", 1.5, "negative values of a log ratio"), (f"{_REAL} AND max > 1", "expression index", 1.0, "relative to a reference of one"),
+    (f"{_NUMBER} AND min < 0 AND abs(mean) < 0.3 AND sd > 0.7 AND sd < 1.4", "z-score", 3.0, "mean near 0 and sd near 1"))
+#: fixed values: what leaves a choice open: condition, remark
+OPEN_CHOICES = ((f"{_TEXT} AND uniq <= 0.9 AND distinct <= 10", "nominal or ordinal"), (f"{_WHOLE} AND min >= 0 AND max > 1 AND distinct <= 10", "nominal or ordinal"),
+                (f"{_UNIT} AND integer AND distinct <= 2", "binary code or count"), (f"{_NUMBER} AND min < 0", "negative values rule out several scales"))
+
+
+def facts_table(df: DataFrame, facts: dict[str, dict], composed: Sequence[str] = ()) -> DataFrame:
+    """One row of facts per column, as the rules read them."""
+    get = lambda f, k: None if f.get(k) is None else float(f[k])
+    rows = [(v, f["kind"], f["n"], f["distinct"], f["distinct"] / max(1, f["n"]), get(f, "min"), get(f, "max"), get(f, "mean"), get(f, "sd"), f.get("integer"), get(f, "date_share"), f["shape"],
+             v in composed, bool(re.search(LABEL_HINT, v, re.I))) for v, f in facts.items()]
+    return df.sparkSession.createDataFrame(rows, "column string, kind string, n bigint, distinct bigint, uniq double, min double, max double, mean double, sd double, integer boolean, "
+                                                 "date_share double, shape string, composed boolean, labelled boolean")
+
+
+def score_types(facts: DataFrame) -> DataFrame:
+    """column, type, points, evidence: the signals that hold for each row of facts, added up; a numeric column without any is continuous; names add a weak hint to numbers."""
+    row = lambda type_, points, reason: F.struct(F.lit(type_).alias("type"), F.lit(points).alias("points"), F.lit(reason).alias("reason"))
+    held = F.filter(F.array(*[F.when(F.expr(cond), row(t, p, why)) for cond, t, p, why in SIGNALS]), lambda x: x.isNotNull())
+    held = F.when(F.size(held) > 0, held).when(F.expr("kind = 'numeric'"), F.array(row("continuous", 1.0, "no stronger signal"))).otherwise(held)
+    hints = F.filter(F.array(*[F.when(F.expr(_NUMBER) & F.lower("column").rlike(pattern), row(t, 0.5, "name hint")) for pattern, t in NAME_HINTS]), lambda x: x.isNotNull())
+    one = facts.select("column", F.posexplode(F.concat(held, hints)).alias("i", "s"))
+    return one.groupBy("column", "s.type").agg(F.sum("s.points").alias("points"), F.transform(F.array_sort(F.collect_list(F.struct("i", "s.reason"))), lambda x: x["reason"]).alias("evidence"))
 
 
 def infer_types(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """column, type, rank, evidence, shape, conflicts, needs_confirm: one row per candidate type."""
+    """column, type, rank, evidence, shape, conflicts, needs_confirm: one row per candidate type, ranked with ties sharing a place."""
     facts = column_facts(df)
     cols = list(columns or df.columns)
-    rows = []
-    for v in cols:
-        f = facts[v]
-        members: set[str] = set()
-        if f["kind"] == "numeric" and f["n"] and f["min"] >= 0 and f["max"] <= 1:
-            members = composition_set(df, v, facts)
-        score, why, conflicts = score_types(v, f, v in members)
-        if members and not members <= set(cols):
-            conflicts.append("part of a composition whose other members are not selected")
-        ranks = rank_types(score)
-        top = {k for k, r in ranks if r == 1}
-        second = {k for k, r in ranks if len(ranks) > 1 and r == ranks[1][1]}
-        costly = any({a, b} in COSTLY for a in top for b in second if a != b)
-        confirm = bool(conflicts) or len(top) > 1 or costly
-        rows += [(v, k, r, why[k], f["shape"], conflicts, confirm) for k, r in ranks]
-    return df.sparkSession.createDataFrame(rows, "column string, type string, rank int, evidence array<string>, shape string, conflicts array<string>, needs_confirm boolean")
+    groups = compositions(df, facts)
+    outside = [v for v in cols if any(v in g and not g <= set(cols) for g in groups)]
+    table = facts_table(df, {v: facts[v] for v in cols}, [v for g in groups for v in g])
+    remarks = [F.when(F.expr(cond), F.lit(what)) for cond, what in OPEN_CHOICES]
+    remarks.append(F.when(c("column").isin(*outside) if outside else F.lit(False), F.lit("part of a composition whose other members are not selected")))
+    open_ = table.select("column", "shape", F.filter(F.array(*remarks), lambda x: x.isNotNull()).alias("conflicts"))
+    ranked = score_types(table).withColumn("rank", F.rank().over(Window.partitionBy("column").orderBy(F.round("points", 6).desc())))
+    second = F.min(F.when(c("rank") > 1, c("rank")))
+    places = ranked.groupBy("column").agg(second.alias("second"))
+    tops = ranked.join(places, "column").groupBy("column").agg(F.collect_set(F.when(c("rank") == 1, c("type"))).alias("top"), F.collect_set(F.when(c("rank") == c("second"), c("type"))).alias("next"))
+    costly = F.lit(False)
+    for a, b in (sorted(x) for x in COSTLY):
+        costly = costly | (F.array_contains("top", a) & F.array_contains("next", b)) | (F.array_contains("top", b) & F.array_contains("next", a))
+        costly = costly | (F.array_contains("top", a) & F.array_contains("top", b))
+    return ranked.join(open_, "column").join(tops, "column").select(
+        "column", "type", "rank", "evidence", "shape", "conflicts", ((F.size("conflicts") > 0) | (F.size("top") > 1) | costly).alias("needs_confirm"))
 
 
 # ------------------------------------------------------------------ compositions
@@ -351,37 +317,56 @@ def _sum_facts(df: DataFrame, members: Sequence[str]) -> bool:
     return r["k"] >= max(10, 0.05 * r["n"]) and max(r["one"] or 0, r["hundred"] or 0) > 0.9
 
 
+#: fixed value: variance below which a direction counts as still (a sum within .01 of one)
+STILL = 5e-5
+
+
+def compositions(df: DataFrame, facts: dict[str, dict] | None = None) -> list[set[str]]:
+    """Disjoint sets of numeric columns within 0..1 whose rows close to one.
+
+    One cross-product table serves all columns: rows that close are directions without variance, and in the reduced echelon form of these directions each set
+    is a row of ones. What closes is confirmed on the rows."""
+    facts = facts or column_facts(df)
+    pool = [v for v in df.columns if facts.get(v, {}).get("kind") == "numeric" and facts[v]["n"] and facts[v]["min"] >= -0.01 and facts[v]["max"] <= 1.01]
+    fixed = sorted((v for v in pool if facts[v]["max"] == facts[v]["min"]), key=lambda v: (-facts[v]["max"], v))
+    pool = [v for v in pool if v not in fixed]
+    if len(pool) < 2:
+        return []
+    row = gram(df.select(*[num(v).alias(f"x{i}") for i, v in enumerate(pool)]), [f"x{i}" for i in range(len(pool))]).first()
+    n, _, cross = unpack(row, len(pool))
+    if not n:
+        return []
+    size, direction = np.linalg.eigh(np.nan_to_num(cross / n))
+    null = direction[:, size < STILL].T
+    done = 0
+    for j in range(len(pool)):                                    # reduced echelon form
+        if done == len(null):
+            break
+        k = done + int(np.argmax(np.abs(null[done:, j])))
+        if abs(null[k, j]) < 1e-3:
+            continue
+        null[[done, k]] = null[[k, done]]
+        null[done] /= null[done, j]
+        for i in range(len(null)):
+            if i != done:
+                null[i] -= null[i, j] * null[done]
+        done += 1
+    sets = [{pool[j] for j in np.flatnonzero(np.abs(v - 1) < 0.1)} for v in null[:done] if (np.minimum(np.abs(v), np.abs(v - 1)) < 0.1).all()]
+    for g in sets:                                                # constant columns fill what a still sum leaves open
+        for v in fixed:
+            if 0 < facts[v]["max"] <= 1.01 - sum(facts[m]["mean"] for m in g):
+                g.add(v)
+    return [g for g in sets if len(g) > 1 and _sum_facts(df, sorted(g))]
+
+
 def composition_set(df: DataFrame, name: str, facts: dict[str, dict] | None = None) -> set[str]:
-    """Numeric columns that close to a constant together with ``name``: its prefix family first,
-    else greedy completion, where each step scores every remaining candidate in one aggregation."""
+    """Numeric columns that close to a constant (1 or 100) together with ``name``: those of its name's family if they do, else what `compositions` finds."""
     facts = facts or column_facts(df)
-    nums = [v for v in df.columns if facts.get(v, {}).get("kind") == "numeric"]
-    prefix = re.sub(r"[_\-]?\w?\d*$", "", name)
-    if len(prefix) >= 2:
-        family = [v for v in df.columns if v.startswith(prefix)]
-        if all(v in nums for v in family) and _sum_facts(df, family):
-            return set(family)
-    pool = [v for v in nums if v != name and facts[v]["n"] and facts[v]["min"] >= -0.01 and facts[v]["max"] <= 1.01]
-    if name not in nums or not pool:
-        return set()
-    chosen = [name]
-    for _ in range(len(pool) + 1):
-        total = sum((num(v) for v in chosen), F.lit(0.0))
-        left = [v for v in pool if v not in chosen]
-        aggs = [F.avg(F.abs(1 - total)).alias("gap"), F.count(total).alias("n")]
-        for i, v in enumerate(left):
-            res = 1 - total - num(v)
-            aggs += [F.count(res).alias(f"n{i}"), F.avg(res).alias(f"m{i}"), F.avg((res < -0.01).cast("double")).alias(f"neg{i}")]
-        r = df.agg(*aggs).first()
-        if not r["n"]:
-            return set()
-        if r["gap"] < 0.01 and _sum_facts(df, chosen):
-            return set(chosen)
-        fit = [(r[f"m{i}"], v) for i, v in enumerate(left) if r[f"n{i}"] >= 10 and r[f"neg{i}"] <= 0.01]
-        if not fit:
-            return set()
-        chosen.append(min(fit)[1])
-    return set(chosen) if _sum_facts(df, chosen) else set()
+    stem = re.match(r"[^\d]*[^\d_\-]", name)
+    family = [v for v in df.columns if stem and len(stem[0]) >= 2 and v.startswith(stem[0].rsplit("_", 1)[0])]
+    if name in family and all(facts.get(v, {}).get("kind") == "numeric" for v in family) and _sum_facts(df, family):
+        return set(family)
+    return next((g for g in compositions(df, facts) if name in g), set())
 
 
 def count_set(df: DataFrame, name: str) -> list[str]:

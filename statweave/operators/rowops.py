@@ -175,7 +175,3 @@ def analysis_columns(df: DataFrame) -> list[str]:
 
 def semantic_type_of(df: DataFrame, col: str) -> str | None:
     return (df.schema[col].metadata or {}).get("semantic_type")
-
-
-__all__ = ["apply_ops", "analysis_columns", "both_ways", "exclude_rows", "exclusion_status", "filter_preview",
-           "filter_rows", "outlying_points", "points", "semantic_type_of"]

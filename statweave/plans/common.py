@@ -27,14 +27,34 @@ def sq(c: Column) -> Column:
     return c * c
 
 
+#: fixed values: date layouts of the natural order (groups: year, month, day)
+DATE_ORDERS = ((r"^(\d{4})[-/.](\d{1,2})[-/.](\d{1,2})", (1, 2, 3)), (r"^(\d{1,2})/(\d{1,2})/(\d{4})", (3, 1, 2)), (r"^(\d{1,2})\.(\d{1,2})\.(\d{4})", (3, 2, 1)))
+NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
+
+
 def natural_key(value) -> tuple:
-    """T1 < T2 < T10; plain numbers by size; everything else by digit and letter chunks."""
-    text = str(value)
-    try:
-        return (0, float(text), ())
-    except ValueError:
-        chunks = re.findall(r"\d+|\D+", text)
-        return (1, 0.0, tuple((0, int(c), "") if c.isdigit() else (1, 0, c) for c in chunks))
+    """Numbers by size, then dates by day, then text: T1 < T2 < T10, upper and lower case alike. `natural_order` is the same as a column."""
+    text = str(value).strip()
+    if re.match(NUMBER, text):
+        return (0, float(text), "", text)
+    for pattern, (y, m, d) in DATE_ORDERS:
+        if hit := re.match(pattern, text):
+            return (1, 0.0, f"{hit[y]}-{hit[m]:0>2}-{hit[d]:0>2}" + text[hit.end():], text)
+    chunks = [f"{len(x.lstrip('0')):010d}{x.lstrip('0')}" if x.isdigit() else x.lower() for x in re.findall(r"[0-9]+|[^0-9]+", text)]
+    return (2, 0.0, "".join(chunks), text)
+
+
+def natural_order(col: Column) -> Column:
+    """Sortable struct of a value's natural order: a digit run of any length is its length without leading zeros, then its digits."""
+    text = F.trim(col.cast("string"))
+    number = F.when(text.rlike(NUMBER), text.try_cast("double"))
+    part = lambda pattern, k: F.lpad(F.regexp_extract(text, pattern, k), 2, "0")
+    day = F.coalesce(*[F.when(text.rlike(p), F.concat(F.regexp_extract(text, p, y), F.lit("-"), part(p, m), F.lit("-"), part(p, d), F.regexp_replace(text, p, ""))) for p, (y, m, d) in DATE_ORDERS])
+    bare = lambda x: F.regexp_replace(x, "^0+", "")
+    pieces = F.transform(F.regexp_extract_all(text, F.lit("([0-9]+|[^0-9]+)")), lambda x: F.when(x.rlike("^[0-9]"), F.concat(F.lpad(F.length(bare(x)).cast("string"), 10, "0"), bare(x))).otherwise(F.lower(x)))
+    kind = F.when(number.isNotNull(), 0).when(day.isNotNull(), 1).otherwise(2)
+    return F.when(text.isNotNull(), F.struct(kind.alias("kind"), F.coalesce(number, F.lit(0.0)).alias("number"),
+                                             F.when(kind == 0, "").when(kind == 1, day).otherwise(F.array_join(pieces, "")).alias("text"), text.alias("value")))
 
 
 def levels_of(df: DataFrame, col: str, limit: int = MAX_LEVELS) -> list[str]:

@@ -58,17 +58,23 @@ def sample_blocks(df: DataFrame, order: Sequence[str], n: int = 10_000, blocks:
     The global position comes from per-range counts: rows are range-partitioned by the order
     key and numbered inside each range only."""
     total = df.count()
-    per = n // blocks
     if total <= n:
         return df
+    per = [n // blocks + (b < n % blocks) for b in range(blocks)]
     starts = [total * b // blocks for b in range(blocks)]
     first = order[0]
     src = df.withColumn("_o", F.struct(*order))
-    spread = min(4096, max(1, -(-total // 1_000_000)))
+    spread = max(1, -(-total // 1_000_000))
     kind = dict(df.dtypes)[first]
-    if spread > 1 and kind in ("int", "bigint", "double", "float", "smallint", "tinyint"):
+    if spread > 1:
         from statweave.plans.cumulate import add_bucket, value_cuts
-        src = src.withColumn("_ov", c(first).cast("double"))
+        if kind == "string":                        # the first six bytes, as a number, order as the text does
+            code = F.conv(F.rpad(F.hex(F.substring(F.encode(first, "UTF-8"), 1, 6)), 12, "0"), 16, 10).cast("double")
+        elif kind in ("date", "timestamp", "timestamp_ntz"):
+            code = c(first).cast("timestamp").cast("double")
+        else:
+            code = c(first).cast("double")
+        src = src.withColumn("_ov", code)
         src = add_bucket(src, "_ov", value_cuts(src, "_ov")).drop("_ov")
     else:
         src = src.withColumn("_bucket", F.lit(0.0))
@@ -78,8 +84,8 @@ def sample_blocks(df: DataFrame, order: Sequence[str], n: int = 10_000, blocks:
     pos = src.withColumn("_p", F.row_number().over(Window.partitionBy("_bucket").orderBy("_o")))
     pos = pos.join(F.broadcast(offs), c("_bucket") == c("_b2")).withColumn("_g", c("_p") + c("_off") - 1)
     keep = F.lit(False)
-    for s in starts:
-        keep = keep | c("_g").between(s, s + per - 1)
+    for s, k in zip(starts, per):
+        keep = keep | c("_g").between(s, s + k - 1)
     return pos.where(keep).select(*df.columns)
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from statweave.operators import audit as U, compat, diff, explore, guard, labels, metrics, missing, multiple, profile, robust, rowops
 from statweave.operators.run import run_test
+from statweave.plans.common import natural_key
 from statweave.sources import tables as S
 from statweave.spec import Spec
 
@@ -62,8 +63,11 @@ def test_unknown_condition_keeps_row_in_drop_mode(spark):
 
 def test_natural_order(spark):
     df = spark.createDataFrame([(v,) for v in ("T10", "T2", "T1", "b3")], "v string")
-    assert labels.ordered_levels(df, "v") == ["T1", "T2", "T10", "b3"]
-    assert [r["v"] for r in df.orderBy(labels.order_key(c("v"))).collect()] == ["T1", "T2", "T10", "b3"]
+    assert labels.ordered_levels(df, "v") == ["b3", "T1", "T2", "T10"]
+    assert [r["v"] for r in df.orderBy(labels.order_key(c("v"))).collect()] == ["b3", "T1", "T2", "T10"]
+    mixed = ["3.45", "3.5", "10", "2/1/2023", "12/1/2023", "2/1/2024", "alpha 2", "ALPHA 3", "alpha 10", "x" + "9" * 25, "x1" + "0" * 25]
+    shuffled = spark.createDataFrame([(v,) for v in reversed(mixed)], "v string")
+    assert [r["v"] for r in shuffled.orderBy(labels.order_key(c("v"))).collect()] == mixed == sorted(mixed, key=natural_key)
 
 
 def test_palette_ambiguity(spark):
@@ -106,13 +110,17 @@ def test_semantic_types_on_planted_columns(spark):
     facts = profile.column_facts(spark.createDataFrame(pdf))
     assert facts["visit_date"]["date_share"] == 1.0
     assert profile.composition_set(spark.createDataFrame(pdf), "frac_a") == {"frac_a", "frac_b", "frac_c"}
+    assert {"frac_a", "frac_b", "frac_c"} in profile.compositions(spark.createDataFrame(pdf))
 
 
 def test_structure_and_shape(spark, table):
     _, df = table
     g = {r["column"]: r for r in profile.group_structure(df, ["id", "subject", "arm", "y"]).collect()}
     assert g["id"]["is_identifier"] and g["subject"]["mean_per_group"] == 4 and g["subject"]["kind"] == "subject" and "y" not in g
-    assert profile.shape_of([5, 90, 5, 90, 5], 195, 0) == "bimodal" and profile.shape_of([40, 5, 5, 5, 40], 95, 0) == "bimodal_ends"
+    heights = {"bimodal": [5, 90, 5, 90, 5], "bimodal_ends": [40, 5, 5, 5, 40], "flat": [10, 11, 10, 9], "unimodal": [2, 10, 40, 9, 1], "skewed": [50, 20, 5, 2, 1], "too_few": [3, 1]}
+    bins = spark.createDataFrame([(k, float(i), n) for k, h in heights.items() for i, n in enumerate(h)], "column string, bin double, count bigint")
+    facts = spark.createDataFrame([(k, sum(h), 2.0 if k == "skewed" else 0.0) for k, h in heights.items()], "column string, n bigint, skew double")
+    assert all(r["column"] == r["shape"] for r in profile.shapes(bins, facts).collect())
 
 
 def test_table_diff_refuses_duplicate_keys_but_compares_the_rest(spark):
@@ -200,7 +208,7 @@ def test_bootstrap_band_and_power(spark, table):
     _, df = table
     b = robust.bootstrap_effect(df, Spec(y="y", group="arm"), "T-101", ["id"], reps=60).first()
     assert b["p5"] < b["effect"] < b["p95"] and b["draws"] == 60
-    assert explore.min_r(783) == pytest.approx(0.1, abs=0.002) and explore.n_for_r(0.1) == pytest.approx(783, abs=3)
+    assert spark.range(1).select(explore.least_correlation(F.lit(783)), explore.rows_for_correlation(F.lit(-0.1)), explore.rows_for_correlation(F.lit(0.0))).first()[:] == (pytest.approx(0.1, abs=0.002), pytest.approx(783, abs=3), 0)
 
 
 def test_metrics_small_cases(spark):
@@ -212,3 +220,27 @@ def test_metrics_small_cases(spark):
     p = np.array([3, 2, 1]) / 6
     assert h["shannon"] == pytest.approx(-(p * np.log(p)).sum()) and h["chao1"] == pytest.approx(3 + 1 / 2)
     assert U.auc_power(10, 10) < 0.5 < U.auc_power(200, 200)
+
+
+def test_answers_do_not_depend_on_limits(spark):
+    words = ["k" * n for n in range(1, 260)]
+    palette = spark.createDataFrame([(w, f"c{len(w)}") for w in words], "keyword string, category string")
+    got = {r["label"]: r["category"] for r in labels.palette_match(spark.createDataFrame([(w,) for w in words], "l string"), "l", palette).collect()}
+    assert got == {w: f"c{len(w)}" for w in words}
+    rows = spark.range(1500).select(F.format_string("level%05d", "id").alias("y"), F.rand(1).alias("x"))
+    assert U.code_direction(U.ModelSpec({"train": rows}, "y", positive="level01499")).first()["verdict"] == "pass"
+    lv = labels.label_levels(spark.createDataFrame([("b",)] * 3 + [("a",)] * 3 + [("c",)], "v string"), "v").collect()
+    assert {r["value"]: r["code"] for r in lv} == {"a": 0, "b": 1, "c": 2}
+
+
+def test_block_sample_is_whole(spark):
+    df = spark.range(1000).select("id", F.timestamp_seconds(c("id") * 60).alias("at"), F.format_string("k%06d", "id").alias("name"))
+    for key in ("id", "at", "name"):
+        ids = sorted(r["id"] for r in S.sample_blocks(df, [key], n=100).collect())
+        assert len(ids) == 100 and ids[:34] == list(range(34)) and ids[34:67] == list(range(333, 366)) and ids[67:] == list(range(666, 699))
+
+
+def test_power_transform_searches_as_far_as_it_must(spark):
+    z = np.random.default_rng(4).normal(30, 4, 4000)
+    df = spark.createDataFrame([(float(v) ** 0.2,) for v in np.abs(z)], "v double")
+    assert 3.5 < metrics.power_transform(df, "v", "t")[1] < 8
