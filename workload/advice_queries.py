@@ -41,9 +41,18 @@ def _(t):
     return V.metric_catalogue(t.part.select("p_size", "p_retailprice", "p_brand")).select("metric", "verdict", "columns")
 
 
-@query("entropy_branch")
-def _(t):
-    return V.entropy_branch(t.orders, "o_totalprice").select("column", "picked", "rejected")
+@query("entropy_branch", """with m as (select o_totalprice v from orders where o_totalprice is not null),
+  f as (select count(*)::double n, min(v) lo, max(v) hi, avg(v) a, var_pop(v) s2, stddev_samp(v) sd, avg(v*v*v) m3, avg(v*v*v*v) m4, quantile_cont(v, .75) - quantile_cont(v, .25) iqr from m),
+  g as (select count(*)::double n, avg(ln(v)) a, var_pop(ln(v)) s2, avg(pow(ln(v), 3)) m3 from m where v > 0),
+  z as (select f.n, lo, hi, f.sd/a mean_ratio, f.sd*1.349/iqr iqr_ratio, (f.m3 - 3*a*f.s2 - a*a*a)/pow(f.s2, 1.5) sk, (f.m4 - 4*a*f.m3 + 6*a*a*(f.s2 + a*a) - 3*a*a*a*a)/(f.s2*f.s2) - 3 ku,
+    (select (m3 - 3*a*s2 - a*a*a)/pow(s2, 1.5) from g) lsk from f),
+  l as (select unnest([['SC-ENT-07', 'false'], ['SC-ENT-03', (lo >= 0 and hi <= 1)::varchar], ['SC-ENT-10', 'false'], ['SC-ENT-01', (abs(sk) < .5 and abs(ku) < 1)::varchar],
+    ['SC-ENT-06', (lo > 0 and abs(sk) > 1 and abs(lsk) < .5)::varchar], ['SC-ENT-05', (lo > 0 and abs(mean_ratio - 1) < .2 and lsk < -.7)::varchar], ['SC-ENT-04', (lo > 0 and abs(sk) > 1)::varchar],
+    ['SC-ENT-08', (ku > 3 and iqr_ratio > 5)::varchar], ['SC-ENT-09', (ku > 3)::varchar], ['SC-ENT-11', (n >= 100)::varchar], ['SC-ENT-12', 'true']]) r, generate_subscripts([1,2,3,4,5,6,7,8,9,10,11], 1) i from z),
+  p as (select min(i) k from l where r[2] = 'true')
+  select 'o_totalprice' as column, max(r[1]) filter (i = k) picked, string_agg(r[1], ',' order by i) filter (i < k) rejected from l, p""")
+def _(t):
+    return V.entropy_branch(t.orders, "o_totalprice").select("column", "picked", F.array_join("rejected", ",").alias("rejected"))
 
 
 @query("suggest_columns", """select 'o_orderstatus' as column, count(distinct o_orderstatus) k from orders union all select 'o_orderpriority', count(distinct o_orderpriority) from orders""")

@@ -80,11 +80,11 @@ def _(t):
     return rd(M.reclassification(scored(t), "y", "old", "s", [0.3, 0.6]), 8)
 
 
-@query("sc_cls_17_top_k", """select round(avg(((embedding[1] > embedding[2])::int + (embedding[1] > embedding[3])::int + (embedding[1] > embedding[4])::int >= 2)::int), 8) top2 from embeddings""")
+@query("sc_cls_17_top_k", """select round(avg((len([x for x in embedding if x >= embedding[label + 1]]) <= 5)::int), 8) top5 from embeddings where label is not null""")
 def _(t):
-    s = F.transform(F.slice("embedding", 1, 4), lambda x: x.cast("double"))
-    hit = V.top_k_hit(s, F.array(*[F.lit(i) for i in range(4)]), F.lit(0), 2)
-    return t.embeddings.agg(F.round(F.avg(hit.cast("double")), 8).alias("top2"))
+    s = F.transform("embedding", lambda x: x.cast("double"))
+    hit = V.top_k_hit(s, F.sequence(F.lit(0), F.size("embedding") - 1), c("label"), 5)
+    return t.embeddings.where("label is not null").agg(F.round(F.avg(hit.cast("double")), 8).alias("top5"))
 
 
 # ---------------------------------------------------------------- distances of neighbouring vectors

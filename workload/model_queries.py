@@ -69,14 +69,16 @@ def _(t):
     return R.mixed_interaction(ev, "value", "event_type", "half", "user_id").select("statistic", "p", "effect", "n")
 
 
-@query("t212_cochran_q", """with w as (select user_id, min(h) filter (event_type='click') a, min(h) filter (event_type='purchase') b,
-    min(h) filter (event_type='view') c from (select *, case when value > 50 then '1' else '0' end h from events where value is not null) group by user_id),
-  m as (select (a='1')::int a, (b='1')::int b, (c='1')::int c from w where a is not null and b is not null and c is not null),
-  s as (select count(*) n, sum(a) a, sum(b) b, sum(c) c, sum(a+b+c) t, sum((a+b+c)*(a+b+c)) rr from m)
-  select round(2.0*(3*(a*a+b*b+c*c)-t*t)/(3*t-rr), 6) statistic, round((greatest(a,b,c)-least(a,b,c))/n::double, 6) effect from s""")
+@query("t212_cochran_q", """with w as (select user_id, event_type, min((value > 50)::int) h from events where value is not null group by all),
+  u as (select *, count(*) over (partition by user_id) k, sum(h) over (partition by user_id) r from w),
+  m as (select * from u where k = (select count(distinct event_type) from events where value is not null)),
+  g as (select event_type, sum(h)::double c from m group by 1),
+  s as (select (select count(distinct user_id) from m)::double n, count(*)::double k, sum(c) t, sum(c*c) cc, max(c) - min(c) d from g),
+  x as (select sum(r*r)::double rr from (select distinct user_id, r from m))
+  select round((k-1)*(k*cc-t*t)/(k*t-rr), 6) statistic, round(d/n, 6) effect from s, x""")
 def _(t):
     ev = t.events.where(c("value").isNotNull()).withColumn("h", F.when(c("value") > 50, "1").otherwise("0"))
-    return rd(R.cochran_q(ev, "h", "event_type", "user_id", ["click", "purchase", "view"]))
+    return rd(R.cochran_q(ev, "h", "event_type", "user_id"))
 
 
 @query("c06_sphericity", f"""with {_WIDE}, v as (select unnest([var_samp(a-b), var_samp(a-c), var_samp(a-d), var_samp(a-e), var_samp(b-c),
@@ -87,14 +89,14 @@ def _(t):
 
 
 # ---------------------------------------------------------------- two factors (2 x 2 lets SQL use the contrast form)
-_CELL = """m as (select l_returnflag a, l_linestatus b, count({y})::double n, avg({y}) m, var_samp({y}) v from {src}
-    where l_returnflag in ('A','R') group by all),
+_CELL = """m as (select case when l_returnflag='R' then 'R' else 'A' end a, l_linestatus b, count({y})::double n, avg({y}) m, var_samp({y}) v from {src} group by all),
   q as (select pow(sum(case when (a='A')=(b='F') then m else -m end), 2)/sum(1/n) ss, sum((n-1)*v) w, sum(n) n,
     sum(case when (a='A')=(b='F') then m else -m end) k from m)"""
 
 
 def _ar(t):
-    return t.lineitem.where(c("l_returnflag").isin("A", "R"))
+    """Lines with the flag as returned (R) or not (A)."""
+    return t.lineitem.withColumn("l_returnflag", F.when(c("l_returnflag") == "R", "R").otherwise("A"))
 
 
 @query("t401_two_way_anova", "with " + _CELL.format(y="l_extendedprice", src="lineitem")
@@ -103,7 +105,7 @@ def _(t):
     return rd(I.two_way_anova(_ar(t), "l_extendedprice", "l_returnflag", "l_linestatus"), ef=9)
 
 
-@query("t402_aligned_rank", """with b as (select l_returnflag, l_linestatus, l_extendedprice y from lineitem where l_returnflag in ('A','R')),
+@query("t402_aligned_rank", """with b as (select case when l_returnflag='R' then 'R' else 'A' end l_returnflag, l_linestatus, l_extendedprice y from lineitem),
   al as (select l_returnflag, l_linestatus, round(y - avg(y) over (partition by l_returnflag) - avg(y) over (partition by l_linestatus)
     + avg(y) over (), 9) y from b),
   rk as (select l_returnflag, l_linestatus, rank() over (order by y) + (count(*) over (partition by y)-1)/2.0 r from al), """
@@ -119,8 +121,8 @@ def _(t):
 
 
 # ---------------------------------------------------------------- regressions
-@query("t801_logistic", """with s as (select count(*) filter (l_returnflag='R' and l_linestatus='O')::double a, count(*) filter (l_returnflag='A' and l_linestatus='O')::double b,
-    count(*) filter (l_returnflag='R' and l_linestatus='F')::double c, count(*) filter (l_returnflag='A' and l_linestatus='F')::double d from lineitem)
+@query("t801_logistic", """with s as (select count(*) filter (l_returnflag='R' and l_linestatus='O')::double a, count(*) filter (l_returnflag<>'R' and l_linestatus='O')::double b,
+    count(*) filter (l_returnflag='R' and l_linestatus='F')::double c, count(*) filter (l_returnflag<>'R' and l_linestatus='F')::double d from lineitem)
   select round(ln(a*d/(b*c))/sqrt(1/a+1/b+1/c+1/d), 5) statistic, round(a*d/(b*c), 6) effect from s""")
 def _(t):
     src = _ar(t).withColumn("y", (c("l_returnflag") == "R").cast("int"))
@@ -181,7 +183,7 @@ def follow_up(t):
 
 FU = """fu as (select datediff('day', o_orderdate, l_shipdate) t, (l_returnflag='R')::int d, o_orderstatus g, o_totalprice/100000.0 price
     from lineitem join orders on l_orderkey=o_orderkey where datediff('day', o_orderdate, l_shipdate) > 0),
-  k as (select t, sum(d)::double d, sum(d) filter (g='F')::double d0, count(*) n, count(*) filter (g='F') n0 from fu where g in ('F','O') group by t),
+  k as (select t, sum(d)::double d, sum(d) filter (g='F')::double d0, count(*) n, count(*) filter (g='F') n0 from fu group by t),
   r as (select t, d, coalesce(d0,0) d0, sum(n) over w nr, sum(n0) over w n0 from k window w as (order by t desc))"""
 
 
@@ -190,13 +192,14 @@ def _lr(weight, name):
       from r where d > 0) select round(u*u/v, 6) statistic from s"""
 
 
-def _two_status(t):
-    return follow_up(t).where(c("o_orderstatus").isin("F", "O"))
+def _filled(t):
+    """Orders as filled (F) or not (O)."""
+    return follow_up(t).withColumn("o_orderstatus", F.when(c("o_orderstatus") == "F", "F").otherwise("O"))
 
 
 @query("t901_logrank", _lr("1.0", "logrank"))
 def _(t):
-    return S.logrank(_two_status(t), "days", "o_orderstatus", "event", levels=["F", "O"], with_hr=False).select(
+    return S.logrank(_filled(t), "days", "o_orderstatus", "event", levels=["F", "O"], with_hr=False).select(
         F.round("statistic", 6).alias("statistic"))
 
 
@@ -207,7 +210,7 @@ def _(t):
 
 @query("t902_gehan", _lr("nr::double", "gehan"))
 def _(t):
-    return S.gehan(_two_status(t), "days", "o_orderstatus", "event", levels=["F", "O"], with_hr=False).select(
+    return S.gehan(_filled(t), "days", "o_orderstatus", "event", levels=["F", "O"], with_hr=False).select(
         F.round("statistic", 6).alias("statistic"))
 
 
@@ -228,7 +231,7 @@ def _(t):
   z as (select max(r) filter (g='F') - max(r) filter (g='O') d, sqrt(sum(v)) se from x)
   select round(d/se, 5) statistic, round(d, 5) effect from z""")
 def _(t):
-    return rd(S.rmst(_two_status(t), "days", "o_orderstatus", "event", levels=["F", "O"]), st=5, ef=5)
+    return rd(S.rmst(follow_up(t).where(c("o_orderstatus").isin("F", "O")), "days", "o_orderstatus", "event", levels=["F", "O"]), st=5, ef=5)
 
 
 @query("t807_cox_numeric")

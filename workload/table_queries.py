@@ -20,13 +20,14 @@ def _(t):
 
 
 _TWO = """c as (select l_shipdate < timestamp '1995-06-17' s, l_linestatus, l_returnflag, l_quantity from lineitem),
-  k as (select s, count(*) filter (l_linestatus='F' and l_returnflag='A')::double a, count(*) filter (l_linestatus='F' and l_returnflag='R')::double b,
-    count(*) filter (l_linestatus='O' and l_returnflag='A')::double c, count(*) filter (l_linestatus='O' and l_returnflag='R')::double d
+  k as (select s, count(*) filter (l_linestatus='F' and l_returnflag<>'R')::double a, count(*) filter (l_linestatus='F' and l_returnflag='R')::double b,
+    count(*) filter (l_linestatus='O' and l_returnflag<>'R')::double c, count(*) filter (l_linestatus='O' and l_returnflag='R')::double d
     from c group by s)"""
 
 
 def _ar(t):
-    return t.lineitem.where(F.col("l_returnflag").isin("A", "R")).withColumn(
+    """Lines with the flag as returned (R) or not (A), by period."""
+    return t.lineitem.withColumn("l_returnflag", F.when(F.col("l_returnflag") == "R", "R").otherwise("A")).withColumn(
         "s", F.col("l_shipdate") < F.lit("1995-06-17").cast("timestamp"))
 
 
