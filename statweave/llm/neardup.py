@@ -12,13 +12,13 @@ from pyspark.sql import functions as F
 from statweave.llm.components import connected_components
 from statweave.llm.shared import cut, mix, shingles, table, word_hashes
 
-#: Longs of an odd sketch (512 bits).
-SKETCH = 8
+#: Longs of an odd sketch (1,024 bits), and MinHash samples that it folds; the bands take the first of them.
+SKETCH, SAMPLES = 16, 256
 
 
 def _signatures(bands: int, rows: int, width: int):
     """A function of (sorted shingle hashes): MinHash values folded to band keys, and the odd sketch of all of them."""
-    k = bands * rows
+    k = max(SAMPLES, bands * rows)
     rng = np.random.default_rng(6)
     mul = (rng.integers(0, 1 << 31, k, dtype=np.uint32) << np.uint32(1)) | np.uint32(1)
     add = rng.integers(0, 1 << 32, k, dtype=np.uint32)
@@ -32,7 +32,7 @@ def _signatures(bands: int, rows: int, width: int):
             np.minimum(low, (x[a:a + 2048, None] * mul + add).min(axis=0), out=low)
         wide = low.astype(np.uint64)
         key = band.copy()
-        for v in wide.reshape(bands, rows).T:
+        for v in wide[:bands * rows].reshape(bands, rows).T:
             key = mix(key ^ v) + band
         # the parity bitmap: every sample (place, value) flips one bit
         flips = np.bincount((mix(wide + place) % np.uint64(64 * width)).astype(np.int64), minlength=64 * width) & 1
@@ -89,23 +89,23 @@ def _shingle_sets(docs: DataFrame, wanted: DataFrame, size: int, bits: int) -> D
     return docs.filter(F.col("doc_id").isNotNull()).select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(1 << bits)).alias("cell")).mapInArrow(run, "rep long, set_key binary, hashes array<long>")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of representatives whose sets' intersection is at least percent of the union."""
+def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) of representatives with the sizes of their sets' intersection (common) and union."""
     one = pairs.join(sets.select(F.col("rep").alias("b"), F.col("hashes").alias("right")), "b")
     two = one.join(sets.select(F.col("rep").alias("a"), F.col("hashes").alias("left")), "a")
-    common = F.size(F.array_intersect("left", "right"))
-    return two.select("a", "b", (F.size("left") + F.size("right")).alias("total"), common.alias("common")).filter(
-        F.col("common") * 100 >= (F.col("total") - F.col("common")) * percent).select("a", "b")
+    both = two.select("a", "b", (F.size("left") + F.size("right")).alias("total"), F.size(F.array_intersect("left", "right")).alias("common"))
+    return both.select("a", "b", "common", (F.col("total") - F.col("common")).alias("union"))
 
 
-def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75, bands: int = 32, rows: int = 4, slack: float = 0.22, block: int = 512, bits: int = 24) -> DataFrame:
+def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75, bands: int = 32, rows: int = 4, slack: float = 0.14, block: int = 256, bits: int = 24) -> DataFrame:
     """Documents (doc_id, text) and the components of the links: 100 * |intersection| >= percent * |union| of the sets of `size`-word shingles.
 
     Equal sets collapse to the row with the smallest doc_id first. The others are candidates where they share a band of `rows` MinHash values in one of
-    `bands` buckets (at a similarity of 0.75 a pair is missed with probability 5e-6). Each bucket's members are compared with its best connected member;
-    members that are then still in different components are compared with each other in cells of about `block` rows. Odd sketches
-    (parity bitmaps of the MinHash samples, compared by the population count of their XOR) drop pairs that they put `slack` or more below the threshold
-    (over five standard deviations), sizes drop pairs that can't reach it, and all others are confirmed on the full sets.
+    `bands` buckets (at a similarity of 0.75 a pair is missed with probability 5e-6). Each bucket's best connected member is its centre. A row is compared
+    with the best of its centres first, then with those that are not in its component yet; bucket members that are still in different components are then
+    compared with each other in cells of about `block` rows, on sketches and sets within the join, so that only links leave it. Odd sketches
+    (parity bitmaps of SAMPLES MinHash values, compared by the population count of their XOR) drop pairs that they put `slack` or more below the threshold
+    (more than four standard deviations), sizes drop pairs that can't reach it, and all others are confirmed on the full sets.
 
     Null or empty text, or no words: an empty set, linked with nothing. Rows with a null doc_id are linked with nothing and kept. Rows with the same doc_id
     are judged by their own texts. Other columns are ignored; no rows give no rows. Returns doc_id, n_shingles, component_id, kept."""
@@ -122,31 +122,42 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75, bands: in
     centre = cut(ranked.groupBy("key").agg(F.max("r").alias("r")).select("key", (-F.col("r.minus")).alias("centre")))
     side = lambda name: known.select(F.col("rep").alias(name), F.col("n").alias(f"n_{name}"), F.col("odd").alias(f"odd_{name}"))
     flips = sum((F.bit_count(F.col("odd_a")[i].bitwiseXOR(F.col("odd_b")[i])) for i in range(SKETCH)), F.lit(0))
-    width, samples = 64 * SKETCH, bands * rows
+    width, samples = 64 * SKETCH, max(SAMPLES, bands * rows)
     # popcount at which the estimate 1 + width / (4 * samples) * ln(1 - 2 * popcount / width) is the threshold less the slack
     most = int(width / 2 * (1 - np.exp(-(1 - (percent / 100 - slack)) * 4 * samples / width)))
     likely = (F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent) & (flips <= most)
 
-    stars = members.join(centre, "key").filter("rep <> centre").select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct()
-    stars = cut(stars.join(side("b"), "b").join(side("a"), "a").filter(likely).select("a", "b"))
     sets = _shingle_sets(docs, degree.select("rep"), size, bits).join(known.select("rep", "set_key"), ["rep", "set_key"], "left_semi").dropDuplicates(["rep", "set_key"]).select("rep", "hashes")
     sets = cut(sets)
-    edges = cut(_verified(stars, sets, percent))
+    stars = cut(members.join(centre, "key").filter("rep <> centre").select("centre", "rep").distinct().join(degree.select(F.col("rep").alias("centre"), "degree"), "centre"))
+    first = cut(stars.groupBy("rep").agg(F.max(F.struct("degree", (-F.col("centre")).alias("minus"))).alias("r")).select((-F.col("r.minus")).alias("a"), F.col("rep").alias("b")))
+    sift = lambda pairs: cut(pairs.join(side("b"), "b").join(side("a"), "a").filter(likely).select("a", "b"))
+    links = lambda pairs: pairs.filter(F.col("common") * 100 >= F.col("union") * percent).select("a", "b")
+    edges = cut(links(_compared(sift(first), sets)))
     labels = connected_components(edges)
+    of = lambda name: labels.select(F.col("node").alias(name), F.col("component").alias(f"component_{name}"))
+    apart = stars.select(F.col("centre").alias("a"), F.col("rep").alias("b")).join(first.withColumnRenamed("a", "tested"), "b").filter("a <> tested").select("a", "b")
+    apart = apart.join(of("a"), "a", "left").join(of("b"), "b", "left").filter(F.coalesce("component_a", "a") != F.coalesce("component_b", "b")).select("a", "b")
+    second = sift(apart)
+    if not second.isEmpty():
+        edges = cut(edges.union(links(_compared(second, sets))))
+        labels = connected_components(edges)
 
     placed = members.join(centre, "key").filter("rep <> centre").join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left").select(
         "key", "rep", "members", F.coalesce("component", "rep").alias("component"))
     placed = cut(placed)
     mixed = cut(placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("key"))
     cells = F.greatest(F.lit(1), F.ceil(F.col("members") / block)).cast("int")
-    row = placed.join(mixed, "key", "left_semi").join(known.select(*own), "rep").withColumn("cells", cells).withColumn("cell", F.pmod(F.xxhash64("rep"), F.col("cells")).cast("int"))
+    full = known.select(*own, "set_key").join(sets, "rep")
+    row = placed.join(mixed, "key", "left_semi").join(full, "rep").withColumn("cells", cells).withColumn("cell", F.pmod(F.xxhash64("rep"), F.col("cells")).cast("int"))
     spread = row.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cells") - 1))).select(
-        "key", "rep", "component", "n", "odd", F.least("cell", "other").alias("i"), F.greatest("cell", "other").alias("j"))
-    named = lambda name: spread.select("key", "i", "j", F.col("rep").alias(name), F.col("component").alias(f"component_{name}"), F.col("n").alias(f"n_{name}"), F.col("odd").alias(f"odd_{name}"))
-    rest = named("a").join(named("b"), ["key", "i", "j"]).filter((F.col("a") < F.col("b")) & (F.col("component_a") != F.col("component_b")) & likely).select("a", "b").distinct()
-    more = cut(rest)
+        "key", F.least("cell", "other").alias("i"), F.greatest("cell", "other").alias("j"), "rep", "component", "n", "odd", "hashes")
+    named = lambda name: spread.select("key", "i", "j", *[F.col(x).alias(y) for x, y in (("rep", name), ("component", f"component_{name}"), ("n", f"n_{name}"), ("odd", f"odd_{name}"), ("hashes", f"set_{name}"))])
+    common = F.size(F.array_intersect("set_a", "set_b"))
+    linked = common * 100 >= (F.size("set_a") + F.size("set_b") - common) * percent
+    more = cut(named("a").join(named("b"), ["key", "i", "j"]).filter((F.col("a") < F.col("b")) & (F.col("component_a") != F.col("component_b")) & likely & linked).select("a", "b").distinct())
     if not more.isEmpty():
-        labels = connected_components(edges.union(_verified(more, sets, percent)))
+        labels = connected_components(edges.union(more))
 
     final = classes.select("set_key", "rep").join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left").select("set_key", F.coalesce("component", "rep").alias("component"))
     out = sig.select("doc_id", "n", "set_key", F.col("doc_id").isNull().alias("apart")).join(cut(final), "set_key", "left")
