@@ -32,7 +32,7 @@ def _fit_rows(df, test_id, fits: dict[tuple, Fit], by, labels, first: int, ratio
         est, se, z = f.wald(first)
         p = float(2 * D.norm_sf(abs(z))) if np.isfinite(z) else None
         back = np.exp if ratio_name else (lambda v: v)
-        nums = {"se": se, "loglik": f.loglik, "converged": float(f.converged)}
+        nums = {"se": se, "loglik": f.loglik, "converged": float(f.converged), "gradient": f.gradient}
         for i, name in enumerate(labels[1:], 1):
             e, s, _ = f.wald(first + i)
             nums.update({name: float(back(e)), f"{name}_low": float(back(e - Z975 * s)), f"{name}_high": float(back(e + Z975 * s))})
@@ -225,7 +225,7 @@ def poisson(df, y, x, by=(), alternative="two-sided", dispersion_limit: float =
         nb = _negative_binomial(pick, names, by, {k: (fits[k].theta, over[k]) for k in over})
         for k, f in nb.items():
             if f.converged:
-                fits[k] = Fit(f.theta[:-1], f.cov[:-1, :-1], f.loglik, f.n, f.converged)
+                fits[k] = Fit(f.theta[:-1], f.cov[:-1, :-1], f.loglik, f.n, f.converged, f.gradient)
                 extra[k] |= {"negative_binomial": 1.0, "alpha": float(np.exp(f.theta[-1]))}
     return _fit_rows(df, "T-803", fits, by, labels, 1, "IRR", extra, counts)
 
@@ -390,8 +390,10 @@ def huber(df, y, x, tuning: float = 1.345, max_iter: int = 50, tol: float = 1e-8
             return (med["q0"] or 0.0) / 0.6744897501960817       # normal quartile
 
         scale = scale_of(beta)
+        converged = False
         for _ in range(max_iter):
             if scale == 0:
+                converged = True
                 break
             u = F.abs(resid(beta)) / scale
             w = F.when(u <= tuning, 1.0).otherwise(F.lit(tuning) / u)
@@ -406,12 +408,13 @@ def huber(df, y, x, tuning: float = 1.345, max_iter: int = 50, tol: float = 1e-8
             beta = beta + delta
             scale = scale_of(beta)
             if np.max(np.abs(delta) / np.maximum(np.abs(beta), 1e-8)) < tol:
+                converged = True
                 break
         u = resid(beta) / (scale or 1.0)
         inside = F.abs(u) <= tuning
         psi = F.when(inside, u).otherwise(tuning * F.signum(u))
         facts = data.agg(F.avg(inside.cast("double")), F.sum(sq(psi)), F.sum((tuning / F.greatest(F.abs(u), F.lit(1e-12)) < 0.9).cast("long")),
-                         F.var_pop(inside.cast("double"))).first()
+                         F.var_pop(inside.cast("double")), *[F.avg(psi * v) for v in d]).first()
         mbar, p = facts[0], k + 1
         corr = 1 + p / n * facts[3] / mbar ** 2
         xtx_inv = np.linalg.pinv(s[:k, :k])
@@ -422,6 +425,7 @@ def huber(df, y, x, tuning: float = 1.345, max_iter: int = 50, tol: float = 1e-8
         return result(one, "T-806", statistic=F.lit(z), p=F.lit(float(2 * D.norm_sf(abs(z)))), effect_name=f"slope ({labels[0]})",
                       effect=F.lit(float(beta[1])), ci=(F.lit(float(beta[1] - Z975 * se)), F.lit(float(beta[1] + Z975 * se))),
                       n={"rows": F.lit(n), "down_weighted": F.lit(int(facts[2] or 0))},
-                      numbers={"ols_slope": F.lit(float(first["beta"][0])), "scale": F.lit(float(scale)), "se": F.lit(se)})
+                      numbers={"ols_slope": F.lit(float(first["beta"][0])), "scale": F.lit(float(scale)), "se": F.lit(se),
+                               "converged": F.lit(float(converged)), "gradient": F.lit(float(np.max(np.abs(np.array(facts[4:], float) / np.array([1.0, *np.sqrt(np.maximum(np.diag(s)[:k] / n, 1e-300))])))))})
     finally:
         data.unpersist()

@@ -19,6 +19,7 @@ class Fit:
     loglik: float
     n: int
     converged: bool
+    gradient: float = float("nan")        # largest entry of the mean score where the steps ended
 
     def wald(self, i: int) -> tuple[float, float, float]:
         se = float(np.sqrt(max(self.cov[i, i], 0)))
@@ -87,7 +88,7 @@ def newton(df: DataFrame, by: Sequence[str], start: Callable[[dict], np.ndarray]
                 best[k] = now
                 done = float(abs(g @ delta)) < tol * max(1.0, abs(now)) * 1e-2 or np.max(np.abs(delta)) < 1e-9
                 if done or it == max_iter - 1:
-                    fits[k] = Fit(theta[k] + (delta if done else 0), np.linalg.pinv(-h), now, count[k], bool(done))
+                    fits[k] = Fit(theta[k] + (delta if done else 0), np.linalg.pinv(-h), now, count[k], bool(done), float(np.max(np.abs(g))) / max(1, count[k]))
                 else:
                     step[k] = delta
                     theta[k] = theta[k] + delta

@@ -129,10 +129,19 @@ def _(t):
     return rd(G.logistic(src, "y", "l_linestatus"), st=5)
 
 
-@query("t801_logistic_numeric")
+def stationary(r, *more):
+    """What a likelihood's maximum must show: the steps ended, the mean score is nought, all rows took part."""
+    return r.select(c("numbers")["converged"].alias("converged"), F.abs(F.round(c("numbers")["gradient"], 5)).alias("gradient"), c("n")["rows"].alias("rows"), *more)
+
+
+def at_rest(src, more=""):
+    return f"select 1.0::double converged, 0.0::double gradient, count(*) as rows{more} from {src}"
+
+
+@query("t801_logistic_numeric", at_rest("labels join documents using (doc_id) where quality is not null and n_chars is not null"))
 def _(t):
     src = t.labels.join(t.documents.select("doc_id", "n_chars"), "doc_id").withColumn("k", c("n_chars") / 1000.0)
-    return G.logistic(src, "quality", "k").select("statistic", "p", "effect", "n")
+    return stationary(G.logistic(src, "quality", "k"))
 
 
 @query("t802_ols", """with p as (select l_extendedprice y, l_quantity x from lineitem where l_extendedprice is not null and l_quantity is not null),
@@ -156,20 +165,20 @@ def _(t):
     return rd(G.poisson(src, "n_chars", "g")).select("effect")
 
 
-@query("t804_ordinal_logistic")
+@query("t804_ordinal_logistic", at_rest("lineitem where l_linenumber is not null and l_quantity is not null"))
 def _(t):
-    return G.ordinal(t.lineitem, "l_linenumber", "l_quantity").select("statistic", "p", "effect", "n")
+    return stationary(G.ordinal(t.lineitem, "l_linenumber", "l_quantity"))
 
 
-@query("t805_beta_regression")
+@query("t805_beta_regression", at_rest("lineitem where l_quantity > 0 and l_quantity < 51 and l_discount is not null"))
 def _(t):
     src = t.lineitem.withColumn("share", c("l_quantity") / 51.0)
-    return G.beta_regression(src, "share", "l_discount").select("statistic", "p", "effect", "n")
+    return stationary(G.beta_regression(src, "share", "l_discount"))
 
 
-@query("t806_huber")
+@query("t806_huber", at_rest("lineitem where l_extendedprice is not null and l_quantity is not null", ", round(regr_slope(l_extendedprice, l_quantity), 4) ols_slope"))
 def _(t):
-    return G.huber(t.lineitem, "l_extendedprice", "l_quantity").select("statistic", "p", "effect", "n")
+    return stationary(G.huber(t.lineitem, "l_extendedprice", "l_quantity"), F.round(c("numbers")["ols_slope"], 4).alias("ols_slope"))
 
 
 # ---------------------------------------------------------------- survival: days from order to shipment, event = returned
@@ -234,14 +243,14 @@ def _(t):
     return rd(S.rmst(follow_up(t).where(c("o_orderstatus").isin("F", "O")), "days", "o_orderstatus", "event", levels=["F", "O"]), st=5, ef=5)
 
 
-@query("t807_cox_numeric")
+@query("t807_cox_numeric", f"with {FU} " + at_rest("fu", ", sum(d)::bigint events"))
 def _(t):
-    return S.cox(follow_up(t), "days", "price", "event").select("statistic", "p", "effect", "n")
+    return stationary(S.cox(follow_up(t), "days", "price", "event"), c("n")["events"].alias("events"))
 
 
-@query("t904_cox_groups")
+@query("t904_cox_groups", f"with {FU} " + at_rest("fu", ", sum(d)::bigint events"))
 def _(t):
-    return S.cox(follow_up(t), "days", "o_orderstatus", "event", test_id="T-904").select("statistic", "p", "effect", "n")
+    return stationary(S.cox(follow_up(t), "days", "o_orderstatus", "event", test_id="T-904"), c("n")["events"].alias("events"))
 
 
 @query("c11_proportional_hazards")
