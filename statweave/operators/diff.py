@@ -121,6 +121,7 @@ def column_view_text(a: DataFrame, b: DataFrame, key: str, column: str, column_b
     long = j.select(F.explode(F.array(F.struct(F.lit("a").alias("side"), c("x").alias("level")), F.struct(F.lit("b").alias("side"), c("y").alias("level")))).alias("r")) \
             .select("r.*").where("level is not null")
     t = long.groupBy("level").agg(F.sum((c("side") == "a").cast("long")).alias("n_a"), F.sum((c("side") == "b").cast("long")).alias("n_b"))
-    w = Window.partitionBy(F.lit(0))            # one row per level
-    t = t.select("*", (c("n_a") / F.sum("n_a").over(w)).alias("share_a"), (c("n_b") / F.sum("n_b").over(w)).alias("share_b"))
-    return t.withColumn("tv", F.sum(F.abs(c("share_a") - c("share_b"))).over(w) / 2)
+    total = t.agg(F.sum("n_a").alias("a"), F.sum("n_b").alias("b"))
+    share = lambda side: ratio(c(f"n_{side}"), total.select(side).scalar())
+    t = t.select("*", share("a").alias("share_a"), share("b").alias("share_b"))
+    return t.withColumn("tv", t.agg((F.sum(F.abs(c("share_a") - c("share_b"))) / 2).alias("tv")).scalar())

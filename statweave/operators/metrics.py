@@ -164,12 +164,12 @@ def diversity(df: DataFrame, value: str, by: Sequence[str] = (), weight: str | N
     """Shannon, Simpson, inverse Simpson, Renyi, Hill, richness, Chao1 and Pielou per group."""
     w = F.sum(num(weight)) if weight else F.count(F.lit(1)).cast("double")
     t = df.where(c(value).isNotNull()).groupBy(*by, value).agg(w.alias("n")).where("n > 0")
-    part = Window.partitionBy(*(by or [F.lit(0)]))
-    p = c("n") / c("_t")
-    t = t.withColumn("_t", F.sum("n").over(part))
-    s = t.groupBy(*by).agg((-F.sum(p * F.ln(p))).alias("shannon"), F.sum(sq(p)).alias("_d"), F.sum(F.pow(p, F.lit(alpha))).alias("_a"),
-                           F.sum(F.pow(p, F.lit(q))).alias("_q"), F.count("n").alias("richness"), F.sum((c("n") == 1).cast("double")).alias("_f1"),
-                           F.sum((c("n") == 2).cast("double")).alias("_f2"))
+    # sums of powers of the counts serve all measures, so no task sees all values of a group: p = n / total comes in at the end
+    power = lambda k: F.sum(F.pow(c("n"), F.lit(float(k))))
+    s = t.groupBy(*by).agg(F.sum("n").alias("_t"), F.sum(c("n") * F.ln("n")).alias("_h"), F.sum(sq(c("n"))).alias("_2"), power(alpha).alias("_pa"), power(q).alias("_pq"),
+                           F.count("n").alias("richness"), F.sum((c("n") == 1).cast("double")).alias("_f1"), F.sum((c("n") == 2).cast("double")).alias("_f2"))
+    s = s.select(*by, "richness", "_f1", "_f2", (F.ln("_t") - c("_h") / c("_t")).alias("shannon"), (c("_2") / sq(c("_t"))).alias("_d"),
+                 (c("_pa") / F.pow("_t", F.lit(float(alpha)))).alias("_a"), (c("_pq") / F.pow("_t", F.lit(float(q)))).alias("_q"))
     renyi = F.ln("_a") / (1 - alpha) if alpha != 1 else c("shannon")
     hill = F.pow("_q", F.lit(1 / (1 - q))) if q != 1 else F.exp("shannon")
     chao = c("richness") + F.when(c("_f2") > 0, sq(c("_f1")) / (2 * c("_f2"))).otherwise(c("_f1") * (c("_f1") - 1) / 2)
