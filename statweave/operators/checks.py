@@ -290,13 +290,12 @@ def run_checks(df: DataFrame, spec: Spec, structure: dict[str, str] | None = Non
     return reduce(DataFrame.unionByName, parts)
 
 
-#: fixed values: checks each test leans on
-CHECKS_FOR_TEST = {
-    "T-101": ("C-01", "C-03", "C-05"), "T-102": ("C-01", "C-02", "C-05"), "T-103": ("C-04", "C-05"), "T-104": ("C-05",), "T-105": ("C-05",),
-    "T-111": ("C-01",), "T-112": ("C-03",), "T-121": ("C-01", "C-02", "C-05"), "T-122": ("C-01", "C-05"), "T-123": ("C-04", "C-05"),
-    "T-131": ("C-06",), "T-301": ("C-01", "C-03", "C-08"), "T-302": ("C-05",), "T-801": ("C-07", "C-05"), "T-802": ("C-01", "C-02", "C-07", "C-08"),
-    "T-803": ("C-10",), "T-807": ("C-11",), "T-901": ("C-11",)}
+def checks_of(test_id: str) -> list[str]:
+    """The checks a test leans on, as the rule rows of `advise.TESTS` name them, and independence."""
+    from statweave.operators.advise import TESTS
+    named = next((row[7] for row in TESTS if row[0] == test_id), "")
+    return sorted({*named.split(","), "C-05"} - {""})
 
 
 def checks_for_test(checks: DataFrame, test_id: str) -> DataFrame:
-    return checks.where(c("check").isin(list(CHECKS_FOR_TEST.get(test_id, ("C-05",)))))
+    return checks.where(c("check").isin(checks_of(test_id)))

@@ -36,6 +36,27 @@ def _(t):
     return s.groupBy("group", "k", "min_n").agg(F.count(F.lit(1)).alias("tests"))
 
 
+_KINDS = {"o_totalprice": "continuous", "o_custkey": "rank", "o_shippriority": "code", "days": "survival", "share": "composition", "part": "proportion", "lines": "count"}
+_RULES = ", ".join(f"('{i}', '{q}', {lo}, {hi}, {str(paired).lower()}, '{kinds}', {n}, '{need}')" for i, q, lo, hi, paired, kinds, n, need in V.TESTS)
+
+
+@query("shortlist_every_question", f"""with r(test_id, question, lo, hi, paired, kinds, n_from, need) as (values {_RULES}),
+  o(y, kind) as (values {", ".join(f"('{y}', '{k}')" for y, k in _KINDS.items())}),
+  g as (select 'o_orderstatus' g, count(*) n from orders group by o_orderstatus union all select 'o_orderpriority', count(*) from orders group by o_orderpriority),
+  k as (select g, count(*) k, min(n) m from g group by 1)
+  select question, paired, y, g as "group", test_id, case when not list_contains(string_split(kinds, ','), kind) then 'red' when m < n_from or need <> '' then 'yellow' else 'green' end color
+  from r, o, k where k between lo and hi""")
+def _(t):
+    """Each outcome stands for a column of its kind that is never null."""
+    frame = t.orders.select("o_orderstatus", "o_orderpriority", *[F.lit(1).alias(y) for y in _KINDS])
+    parts = [V.shortlist(frame, q, _KINDS, ["o_orderstatus", "o_orderpriority"], paired=p).select(F.lit(q).alias("question"), F.lit(p).alias("paired"), "y", "group", "test_id", "color")
+             for q in sorted({row[1] for row in V.TESTS}) for p in (False, True)]
+    out = parts[0]
+    for x in parts[1:]:
+        out = out.unionByName(x)
+    return out
+
+
 @query("metric_catalogue")
 def _(t):
     return V.metric_catalogue(t.part.select("p_size", "p_retailprice", "p_brand")).select("metric", "verdict", "columns")
