@@ -4,6 +4,7 @@ from __future__ import annotations
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -33,14 +34,13 @@ def _samples() -> list[list[np.ndarray]]:
     return [[np.stack([np.sort(rng.choice(t, min(t, SAMPLED), replace=False)) for _ in range(TABLES)]) for t in STEPS] for _ in range(WALKS)]
 
 
-def window_keys(words: np.ndarray, starts: np.ndarray, classes: list[int]) -> dict[tuple[int, int], np.ndarray]:
-    """{(walk, class): TABLES x windows of keys} of the windows that begin at `starts`; words: 64-bit symbols, zeros stand behind the last.
+def window_keys(words: np.ndarray, starts: np.ndarray, classes: list[int]) -> Iterator[tuple[tuple[int, int], list[np.ndarray]]]:
+    """((walk, class), keys of the windows for each of TABLES), a walk at a time, of the windows that begin at `starts`; words: 64-bit symbols, zeros stand behind the last.
 
     A walk begins at a window's first word; at every step it writes the word it stands on and moves on or not, by a random bit of (walk, step, word): equal
     words move alike, so two windows with a small edit distance soon write the same again."""
     longest = max(STEPS[c] for c in classes)
     padded = np.concatenate([words, np.zeros(longest + 1, np.uint64)])
-    out = {}
     for walk, sampled in enumerate(_samples()):
         coins = [mix(padded ^ np.uint64(0x5851F42D4C957F2D * (2 * walk + half + 1) & 0xFFFFFFFFFFFFFFFF)) for half in range(2 if longest > 64 else 1)]
         at = starts.copy()
@@ -58,8 +58,7 @@ def window_keys(words: np.ndarray, starts: np.ndarray, classes: list[int]) -> di
                     h = (h ^ symbols[int(t)]) * np.uint64(0x9E3779B97F4A7C15)
                     h ^= h >> np.uint64(29)
                 keys.append(h * np.uint64(0xBF58476D1CE4E5B9))
-            out[walk, c] = np.stack(keys)
-    return out
+            yield (walk, c), keys
 
 
 def best_distance(item: list[int], text: list[int]) -> int:
@@ -107,7 +106,7 @@ def index_items(ids: list, texts: list[str | None]) -> Index:
         starts = np.array([a + o for a, os in zip(heads, offsets) for o in os], dtype=np.int64)
         owner = np.array([i for i, os in zip(members, offsets) for _ in os], dtype=np.int64)
         offset = np.array([o for os in offsets for o in os], dtype=np.int64)
-        for (walk, _), table_ in window_keys(flat, starts, [c]).items():
+        for (walk, _), table_ in window_keys(flat, starts, [c]):
             for j, k in enumerate(table_):
                 order = np.argsort(k, kind="stable")
                 seen = np.zeros(1 << 16, dtype=bool)
@@ -126,7 +125,7 @@ def matches_in(h: np.ndarray, first: np.ndarray, index: Index, percent: int) ->
     sparse, every = np.flatnonzero(within % STRIDE == 0), np.arange(len(h))
     short, long = [c for c in index.classes if c < SHORT], [c for c in index.classes if c >= SHORT]
     found: set[tuple[int, int, int]] = set()
-    tables = [(x, sparse) for x in (window_keys(h, sparse, long).items() if long else ())] + [(x, every) for x in (window_keys(h, every, short).items() if short else ())]
+    tables = chain(((x, sparse) for x in (window_keys(h, sparse, long) if long else ())), ((x, every) for x in (window_keys(h, every, short) if short else ())))
     for ((walk, c), table_), starts in tables:
         for j, k in enumerate(table_):
             keys, owner, offset, seen = index.keys[walk, c, j]
@@ -166,7 +165,7 @@ def _blocks(docs: DataFrame, items: DataFrame, block_chars: int) -> Iterator:
         yield docs.sparkSession.sparkContext.broadcast(index_items(part.column(0).to_pylist(), part.column(1).to_pylist()))
 
 
-def _pieces(batches: Iterator[pa.RecordBatch], rows: int = 1_000) -> Iterator[pa.RecordBatch]:
+def _pieces(batches: Iterator[pa.RecordBatch], rows: int = 200) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for at in range(0, whole.num_rows, rows):
             yield whole.slice(at, rows)

@@ -24,7 +24,7 @@ class ChunkCodec:
     A space between two characters that are no white space always begins a pre-token of this vocabulary's splitting rule, so the ids of the chunks, joined,
     are the ids of the text. Texts with other white space beside a space are split at such spaces only. A full memo takes no more chunks."""
 
-    def __init__(self, ranks_path: str, pattern: str, most: int = 500_000):
+    def __init__(self, ranks_path: str, pattern: str, most: int = 200_000):
         import base64
 
         import tiktoken

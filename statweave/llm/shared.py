@@ -68,7 +68,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 #: Bytes of text that word_hashes looks at together.
-SLICE = 1 << 22
+SLICE = 1 << 20
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
