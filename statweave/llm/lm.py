@@ -152,15 +152,25 @@ class ClassModel:
 def fit(train: DataFrame, clustered: int = 1_024, classes: int = 32, frequent: int = 1 << 18, prior: float = 5.0) -> ClassModel:
     """Counts and classes from all rows of `train` (text; null: empty).
 
-    The `clustered` most frequent words are exchanged among `classes` classes; every other word, known or not, belongs to the class of its shape. The bigram table
-    of these items is bounded by the parameters and comes to the driver. Of `frequent` words the counts are broadcast, those of all others stay in a table.
+    The `clustered` most frequent words (of those whose counts are broadcast) are exchanged among `classes` classes; every other word, known or not, belongs to the class of its shape. The bigram table
+    of these items is bounded by the parameters and comes to the driver. Of the most frequent words, at most
+    `frequent`, the counts are broadcast, those of all others stay in a table.
     Within a shape every known word's count loses a discount d = n1 / (n1 + 2 n2) (words seen once, twice), which is what an unknown word gets."""
     counts = cut(token_counts(train))
     rows = train.count()
     total, types, once, twice = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), F.count_if(F.col("c") == 1), F.count_if(F.col("c") == 2)).first()
-    top = counts.orderBy(F.col("c").desc(), "h").limit(frequent).toArrow()
+    # a count that at most `frequent` words reach, from classes of counts a sixteenth of an octave wide
+    octave = F.floor(F.log2("c") * 16)
+    least, held = None, 0
+    for r in sorted(counts.groupBy(octave.alias("o")).agg(F.count("*").alias("n")).collect(), key=lambda r: -r.o):
+        if (held := held + r.n) > frequent:
+            break
+        least = r.o
+    top = counts.filter(octave >= least if least is not None else F.lit(False)).toArrow()          # at most `frequent` rows
     h = np.asarray(top.column("h"), dtype=np.int64).view(np.uint64)
     c, shape = np.asarray(top.column("c"), dtype=np.int64), np.asarray(top.column("shape"), dtype=np.int64)
+    order = np.lexsort((h, -c))
+    h, c, shape = h[order], c[order], shape[order]
     members = np.sort(h[:clustered])
     table_ = bigram_counts(train, members)
     cls = exchange_classes(table_, len(members), classes)
