@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from statweave.llm.shared import mix, table, word_hashes
 
-#: Doc windows begin at every STRIDE-th word, and an item is indexed from its first STRIDE words on, so a copy meets one window aligned. For the first SHORT
-#: sizes of items windows begin at every word.
+#: Doc windows begin at every STRIDE-th word, and an item is indexed in segments over its whole length, each from STRIDE words on, so what is left of a copy meets
+#: one window aligned. For the first SHORT sizes of items windows begin at every word.
 STRIDE, SHORT = 4, 5
 #: Steps of a walk, by size of the items; a walk of t steps crosses about t / 2 words.
 STEPS = (1, 2, 3, 4, 8, 16, 32, 64, 96)
@@ -28,6 +28,14 @@ def size_class(words: int) -> int:
     return max((k for k, t in enumerate(STEPS) if t <= 2 * words - 6), default=0)
 
 
+def item_starts(words: int) -> list[int]:
+    """The words of an item where its windows begin: runs of STRIDE (one for short items), a walk's way apart, the last run's windows ending about where the item ends."""
+    c = size_class(words)
+    way, run = max(1, STEPS[c] // 2), 1 if c < SHORT else STRIDE
+    last = max(0, words - way - run - 2)
+    return sorted({s + o for s in (*range(0, last, way), last) for o in range(run)})
+
+
 def _samples() -> list[list[np.ndarray]]:
     """[walk][class]: TABLES x SAMPLED steps whose symbols make a key."""
     rng = np.random.default_rng(7)
@@ -102,10 +110,10 @@ def index_items(ids: list, texts: list[str | None]) -> Index:
         gap = np.zeros(STEPS[-1], np.uint64)
         flat = np.concatenate([x for i in members for x in (words[i], gap)])
         heads = np.cumsum([0] + [len(words[i]) + len(gap) for i in members[:-1]])
-        offsets = [range(1 if c < SHORT else STRIDE) for _ in members]
+        offsets = [item_starts(len(words[i])) for i in members]
         starts = np.array([a + o for a, os in zip(heads, offsets) for o in os], dtype=np.int64)
-        owner = np.array([i for i, os in zip(members, offsets) for _ in os], dtype=np.int64)
-        offset = np.array([o for os in offsets for o in os], dtype=np.int64)
+        owner = np.array([i for i, os in zip(members, offsets) for _ in os], dtype=np.int32)
+        offset = np.array([o for os in offsets for o in os], dtype=np.int32)
         for (walk, _), table_ in window_keys(flat, starts, [c]):
             for j, k in enumerate(table_):
                 order = np.argsort(k, kind="stable")
@@ -115,6 +123,20 @@ def index_items(ids: list, texts: list[str | None]) -> Index:
     return Index(ids, words, sorted(groups), keys)
 
 
+def _places(found: set[tuple[int, int, int]], index: Index, percent: int) -> Iterator[tuple[int, int, int, int]]:
+    """(document, item, first place, last place) of the hits: places of an item no further apart than its allowed distance are looked at together."""
+    head = None
+    for d, item, at in sorted(found):
+        if head is not None and head[:2] == (d, item) and at - head[2] <= len(index.words[item]) * (100 - percent) // 100:
+            last = at
+            continue
+        if head is not None:
+            yield (*head, last)
+        head, last = (d, item, at), at
+    if head is not None:
+        yield (*head, last)
+
+
 def matches_in(h: np.ndarray, first: np.ndarray, index: Index, percent: int) -> Iterator[tuple[int, int, int]]:
     """(document, item, distance) of documents whose words are h[first[i]:first[i + 1]] and that hold an item within its allowed distance."""
     n = len(first) - 1
@@ -138,17 +160,17 @@ def matches_in(h: np.ndarray, first: np.ndarray, index: Index, percent: int) ->
     best: dict[tuple[int, int], int] = {}
     tried: dict[tuple[int, int], set[bytes]] = defaultdict(set)
     lists = {item: index.words[item].tolist() for item in {x[1] for x in found}}
-    for d, item, at in sorted(found):
+    for d, item, at, last in _places(found, index, percent):
         w = index.words[item]
         allowed = len(w) * (100 - percent) // 100
-        lo, hi = max(int(first[d]), at - allowed), min(int(first[d + 1]), at + len(w) + allowed)
+        lo, hi = max(int(first[d]), at - allowed), min(int(first[d + 1]), last + len(w) + allowed)
+        if best.get((d, item)) == 0 or (same := h[lo:hi].tobytes()) in tried[d, item]:
+            continue
+        tried[d, item].add(same)
         around = h[lo:hi].tolist()
         held = set(around)
         if sum(x in held for x in lists[item]) < len(w) - allowed:      # every word that is not there costs an edit
             continue
-        if best.get((d, item)) == 0 or (same := h[lo:hi].tobytes()) in tried[d, item]:
-            continue
-        tried[d, item].add(same)
         distance = best_distance(lists[item], around)
         if distance <= allowed and distance < best.get((d, item), allowed + 1):
             best[d, item] = distance
@@ -175,7 +197,7 @@ def contaminated(docs: DataFrame, items: DataFrame, percent: int = 75, block_cha
     """Pairs (doc_id, item_id, distance, item_words) of documents that hold a run of words within (100 - percent) % of an item's words of it, by word edits (case of A-Z aside).
 
     Items (item_id, text) are taken in blocks, each against all documents in one pass. Every document word belongs to windows; keys are made of SAMPLED of a walk's
-    steps, in WALKS x TABLES tables. Of items with a quarter of their words edited 97 % are found (tests/llm), of less edited ones more, of copies all.
+    steps, in WALKS x TABLES tables, of segments over an item's whole length. Of items with a quarter of their words edited 97 % are found (tests/llm), of less edited ones more, of copies all.
     Null or empty texts and items match nothing; repeated rows are found alike; a null doc_id comes out as null; other columns are ignored; no rows give no rows."""
     out = None
     for held in _blocks(docs, items, block_chars):

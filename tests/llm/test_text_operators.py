@@ -271,6 +271,22 @@ def test_decontamination_recall():
     assert hits[0] == total[0] and hits[0.1] >= 0.99 * total[0.1] and hits[0.25] >= 0.9 * total[0.25]
 
 
+def test_decontamination_of_long_items_edited_in_one_place():
+    rng = random.Random(21)
+    from statweave.llm.shared import word_hashes
+    import pyarrow as pa
+    items = [[rng.choice(WORDS) + str(rng.randrange(300)) for _ in range(n)] for n in (18, 34, 50, 100, 150, 200, 201, 202, 203, 350, 500)]
+    index = decontaminate.index_items(list(range(len(items))), [" ".join(x) for x in items])
+    for i, w in enumerate(items):
+        some = len(w) // 4
+        for at in (0, (len(w) - some) // 2, len(w) - some):
+            for put in (some, 0):
+                for before in range(4):
+                    v = w[:at] + [f"edit{k}" for k in range(put)] + w[at + some:]
+                    text = " ".join(["before"] * before + v + ["behind"] * 9)
+                    assert [(x, n) for _, x, n in decontaminate.matches_in(*word_hashes(pa.array([text])), index, 75)] == [(i, some)], (len(w), at, put, before)
+
+
 # personal data ----------------------------------------------------------------------------------------------------------------------------------------------
 
 PLAIN = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
