@@ -363,6 +363,25 @@ def test_toxicity(spark, docs, no_docs):
     assert flat.score.nunique() == 1
 
 
+def test_toxicity_learns_from_all_labelled_rows(spark, monkeypatch):
+    rng = random.Random(16)
+    rows, truth = [], []
+    for i in range(600):
+        w = prose(rng, 60).split(" ")
+        if i % 5 == 0:
+            w[rng.randrange(len(w))] = "gruzzle" if i % 50 == 0 else "vraken"
+        rows.append((i, " ".join(w)))
+        truth.append((i, int(i % 5 == 0)))
+    texts = spark.createDataFrame([*rows, rows[1], rows[0]], "doc_id long, text string")
+    seen = []
+    true_model = toxicity.label_model
+    monkeypatch.setattr(toxicity, "label_model", lambda votes, counts: seen.append((votes, counts)) or true_model(votes, counts))
+    model = toxicity.fit(texts, spark.createDataFrame(truth[:500], "doc_id long, toxic int"), sample_rows=60)
+    assert {"gruzzle", "vraken"} <= model.lexicons.words.keys()
+    votes, counts = seen[0]
+    assert [counts[votes[:, -1] == v].sum() for v in (-1, 0, 1)] == [401, 100, 101]
+
+
 def test_label_model_shrinks_repeated_voters():
     rng = random.Random(12)
     seen = Counter()
