@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from statweave.llm.shared import crc_of_id, cut, table, word_hashes
 
-#: Fixed classes of the words that are not clustered: (kind of the last byte) x (length), known or not.
+#: Fixed classes of the words that are not clustered, unknown or rare: (kind of the last byte) x (length).
 SHAPES = 20
 _KIND = np.full(256, 3, dtype=np.int64)                              # other marks
 _KIND[[*range(65, 91), *range(97, 123), *range(128, 256)]] = 0       # letters and bytes of longer characters
@@ -50,16 +50,22 @@ def token_counts(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "h long, shape int, c long").groupBy("h").agg(F.max("shape").alias("shape"), F.sum("c").alias("c"))
 
 
-def bigram_counts(docs: DataFrame, clustered: np.ndarray) -> np.ndarray:
-    """Counts of (item, item) over all documents. Items: the clustered words (ascending hashes), then the shapes of all others, then the end, which also stands before a text."""
-    m = len(clustered) + SHAPES + 1
-    held = docs.sparkSession.sparkContext.broadcast(clustered)
+def bigram_counts(docs: DataFrame, clustered: np.ndarray, classes: np.ndarray | None = None) -> np.ndarray:
+    """Counts of (item, item) over all documents. Items: the clustered words (ascending hashes), then the shapes of all others, then the end, which also stands before a text.
+    With the items' classes, counts of (class, class)."""
+    m = len(clustered) + SHAPES + 1 if classes is None else int(classes.max()) + 1
+    held = docs.sparkSession.sparkContext.broadcast((clustered, classes))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        clustered, classes = held.value
         total = np.zeros(m * m, np.int64)
-        for batch in batches:
-            cur, prev = _items(*_words(batch, 0), held.value)[:2]
-            total += np.bincount(prev * m + cur, minlength=m * m)
+        for whole in batches:
+            for at in range(0, whole.num_rows, 2_000):
+                cur, prev = _items(*_words(whole.slice(at, 2_000), 0), clustered)[:2]
+                if classes is not None:
+                    cur, prev = classes[cur], classes[prev]
+                pair, c = np.unique(prev * m + cur, return_counts=True)
+                total[pair] += c
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], ["pair", "c"])
 
@@ -69,6 +75,69 @@ def bigram_counts(docs: DataFrame, clustered: np.ndarray) -> np.ndarray:
     return table_.reshape(m, m)
 
 
+def neighbour_counts(docs: DataFrame, clustered: np.ndarray, classes: np.ndarray, chosen: np.ndarray, most: int = 4_000_000) -> DataFrame:
+    """h, places and counts of every chosen word (a bool for each clustered one): how often each class stands before it (places from 0) and behind it (from the number of classes);
+    of a word there are as many lists as parts of the corpus hold it."""
+    k = int(classes.max()) + 1
+    held = docs.sparkSession.sparkContext.broadcast((clustered, classes.astype(np.int32), chosen))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        clustered, classes, chosen = held.value
+        wanted = np.append(chosen, np.zeros(SHAPES + 1, dtype=bool))
+        keys, counts, held_rows = [], [], 0
+
+        def merged() -> tuple[np.ndarray, np.ndarray]:
+            key, at = np.unique(np.concatenate(keys), return_inverse=True)
+            return key, np.bincount(at, weights=np.concatenate(counts), minlength=len(key)).astype(np.int64)
+
+        def lists(key: np.ndarray, c: np.ndarray) -> Iterator[pa.RecordBatch]:
+            word = key // (2 * k)
+            first = np.flatnonzero(np.append(True, word[1:] != word[:-1])) if len(word) else np.zeros(0, np.int64)
+            edges = np.append(first, len(word)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(clustered[word[first]].view(np.int64)), pa.ListArray.from_arrays(pa.array(edges), pa.array((key % (2 * k)).astype(np.int32))),
+                                              pa.ListArray.from_arrays(pa.array(edges), pa.array(c))], ["h", "places", "counts"])
+
+        for whole in batches:
+            for at in range(0, whole.num_rows, 2_000):
+                cur, prev = _items(*_words(whole.slice(at, 2_000), 0), clustered)[:2]
+                behind, before = wanted[prev], wanted[cur]
+                key, c = np.unique(np.concatenate([cur[before] * (2 * k) + classes[prev[before]], prev[behind] * (2 * k) + k + classes[cur[behind]]]), return_counts=True)
+                keys.append(key)
+                counts.append(c)
+                held_rows += len(key)
+                if held_rows > most:
+                    key, c = merged()
+                    keys, counts, held_rows = [key], [c], len(key)
+                    if held_rows > most // 2:
+                        yield from lists(key, c)
+                        keys, counts, held_rows = [], [], 0
+        if keys:
+            yield from lists(*merged())
+
+    return docs.select("text").mapInArrow(run, "h long, places array<int>, counts array<long>").groupBy("h").agg(F.collect_list("places").alias("places"), F.collect_list("counts").alias("counts"))
+
+
+def best_classes(found: DataFrame, t: np.ndarray, classes: int, prior: float) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, classes): for each word of neighbour_counts that of the first `classes` classes in which the bigram likelihood of its neighbours, by the class table t, and its own share are largest."""
+    k = len(t)
+    log = np.log((t + prior * (t.sum(0) + 1) / (t.sum() + k)) / (t.sum(1, keepdims=True) + prior))
+    held = found.sparkSession.sparkContext.broadcast((np.concatenate([log[:, :classes], log[:classes].T]), np.log(t.sum(0)[:classes] + 1)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gain, size = held.value
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1_000):
+                batch = whole.slice(at, 1_000)
+                m = np.zeros((batch.num_rows, 2 * k))
+                for i, (places, counts) in enumerate(zip(batch.column(1), batch.column(2))):
+                    np.add.at(m[i], places.values.flatten().to_numpy(), counts.values.flatten().to_numpy())
+                best = (m @ gain - m.sum(1, keepdims=True) / 2 * size).argmax(1)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(best.astype(np.int32))], ["h", "cls"])
+
+    got = found.mapInArrow(run, "h long, cls int").toArrow()
+    return np.asarray(got.column("h"), dtype=np.int64).view(np.uint64), np.asarray(got.column("cls"), dtype=np.int64)
+
+
 def _items(h: np.ndarray, first: np.ndarray, shape: np.ndarray, clustered: np.ndarray):
     """(item, item before it, document's bounds) of all tokens, each document's end among them."""
     n = len(first) - 1
@@ -133,14 +202,15 @@ def exchange_classes(counts: np.ndarray, words: int, classes: int, sweeps: int =
 
 @dataclass
 class ClassModel:
-    """What scoring needs: sizes bounded by the parameters of fit, but for `counts`, a table of all words."""
-    counts: DataFrame                      # h, shape, c
+    """What scoring needs: sizes bounded by the parameters of fit, but for `counts`, a table of all words, and the words' classes."""
+    counts: DataFrame                      # h, shape, c, cls (null: that of the shape)
     frequent: np.ndarray                   # ascending hashes, at most `frequent` of them
     frequent_counts: np.ndarray
     frequent_emission: np.ndarray          # log10 P(word | class)
-    clustered: np.ndarray                  # ascending hashes
+    clustered: np.ndarray                  # ascending hashes of all words with a class, which grow as the vocabulary does
     classes: np.ndarray                    # of the items
     transition: np.ndarray                 # log10 P(class | class before)
+    class_total: np.ndarray                # tokens by class
     shape_total: np.ndarray                # tokens of the words that are not clustered, by shape
     shape_types: np.ndarray
     discount: float
@@ -149,49 +219,71 @@ class ClassModel:
     ends: int
 
 
-def fit(train: DataFrame, clustered: int = 1_024, classes: int = 32, frequent: int = 1 << 18, prior: float = 5.0) -> ClassModel:
+def fit(train: DataFrame, clustered: int = 1_024, classes: int | None = None, frequent: int = 1 << 18, prior: float = 5.0, least: int = 5, sweeps: int = 2) -> ClassModel:
     """Counts and classes from all rows of `train` (text; null: empty).
 
-    The `clustered` most frequent words (of those whose counts are broadcast) are exchanged among `classes` classes; every other word, known or not, belongs to the class of its shape. The bigram table
-    of these items is bounded by the parameters and comes to the driver. Of the most frequent words, at most
-    `frequent`, the counts are broadcast, those of all others stay in a table.
+    The `clustered` most frequent words are exchanged among the classes on the driver, from their bigram table, which is bounded by the parameters. All other words seen `least` times or more are then
+    exchanged in Spark, `sweeps` times: each goes to its best class by the counts of its neighbours' classes and the table of class bigrams. The number of classes follows these words' number,
+    2 times its cube root, at least 32, where it is not given. Rarer words and unknown ones belong to the class of their shape. Hashes and classes of the words that have one are broadcast;
+    of the most frequent words, at most `frequent`, the counts are too, those of all others stay in a table.
     Within a shape every known word's count loses a discount d = n1 / (n1 + 2 n2) (words seen once, twice), which is what an unknown word gets."""
     counts = cut(token_counts(train))
     rows = train.count()
     total, types, once, twice = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), F.count_if(F.col("c") == 1), F.count_if(F.col("c") == 2)).first()
     # a count that at most `frequent` words reach, from classes of counts a sixteenth of an octave wide
     octave = F.floor(F.log2("c") * 16)
-    least, held = None, 0
+    bottom, held = None, 0
     for r in sorted(counts.groupBy(octave.alias("o")).agg(F.count("*").alias("n")).collect(), key=lambda r: -r.o):
         if (held := held + r.n) > frequent:
             break
-        least = r.o
-    top = counts.filter(octave >= least if least is not None else F.lit(False)).toArrow()          # at most `frequent` rows
+        bottom = r.o
+    top = counts.filter(octave >= bottom if bottom is not None else F.lit(False)).toArrow()          # at most `frequent` rows
     h = np.asarray(top.column("h"), dtype=np.int64).view(np.uint64)
     c, shape = np.asarray(top.column("c"), dtype=np.int64), np.asarray(top.column("shape"), dtype=np.int64)
     order = np.lexsort((h, -c))
     h, c, shape = h[order], c[order], shape[order]
-    members = np.sort(h[:clustered])
-    table_ = bigram_counts(train, members)
-    cls = exchange_classes(table_, len(members), classes)
-    k = int(cls.max()) + 1
+    head = np.sort(np.asarray(counts.orderBy(F.desc("c"), "h").limit(clustered).select("h").toArrow().column("h"), dtype=np.int64).view(np.uint64))
+    often = np.asarray(counts.filter(F.col("c") >= least).select("h").toArrow().column("h"), dtype=np.int64).view(np.uint64)
+    members = np.union1d(head, often)
+    if classes is None:
+        classes = max(32, round(2 * len(members) ** (1 / 3)))
+    table_ = bigram_counts(train, head)
+    first = exchange_classes(table_, len(head), classes)
+    k = classes + SHAPES + 1
     t = np.zeros((k, k))
-    np.add.at(t, (cls[:, None], cls[None, :]), table_)
+    np.add.at(t, (first[:, None], first[None, :]), table_)
+    open_ = ~np.isin(members, head)
+    if open_.any():
+        known, cls = head, first
+        for _ in range(sweeps):
+            # before its first sweep a word counts as its shape where it is a neighbour
+            start = cls if len(known) == len(members) else np.concatenate([np.zeros(len(members), np.int64), classes + np.arange(SHAPES + 1)])
+            if len(known) < len(members):
+                start[np.searchsorted(members, head)] = first[:len(head)]
+                shapes = counts.filter(F.col("c") >= least).select("h", "shape").toArrow()
+                at = _ids(np.asarray(shapes.column("h"), dtype=np.int64).view(np.uint64), members)
+                start[at[open_[at]]] = classes + np.asarray(shapes.column("shape"), dtype=np.int64)[open_[at]]
+            word, best = best_classes(neighbour_counts(train, members, start, open_), t, classes, prior)
+            known, cls = members, start.copy()
+            cls[np.searchsorted(members, word)] = best
+            t = bigram_counts(train, members, cls).astype(np.float64)
+    else:
+        cls = first
     share = (t.sum(0) + 1) / (t.sum() + k)
     transition = np.log10((t + prior * share) / (t.sum(1, keepdims=True) + prior))
+    class_total = t.sum(0)
+    assigned = pa.table({"h": pa.array(members.view(np.int64)), "cls": pa.array(cls[:len(members)].astype(np.int32))})
+    counts = cut(counts.join(train.sparkSession.createDataFrame(assigned, "h long, cls int"), "h", "left"))
     d = once / (once + 2 * twice) if once else 0.5
-    by_shape = counts.groupBy("shape").agg(F.sum("c").alias("c"), F.count("*").alias("n")).collect()
+    by_shape = counts.filter(F.col("cls").isNull()).groupBy("shape").agg(F.sum("c").alias("c"), F.count("*").alias("n")).collect()
     shape_total, shape_types = np.zeros(SHAPES), np.zeros(SHAPES)
     for r in by_shape:
         shape_total[r.shape], shape_types[r.shape] = r.c, r.n
     inside = np.isin(h, members)
-    np.subtract.at(shape_total, shape[inside], c[inside])
-    np.subtract.at(shape_types, shape[inside], 1)
-    class_total = t.sum(0)
     emission = np.where(inside, np.log10(c / np.maximum(class_total[cls[np.searchsorted(members, h) % max(1, len(members))]], 1)) if len(h) else 0.0, 0.0)
     emission[~inside] = np.log10(np.maximum(c[~inside] - d, 1e-9) / np.maximum(shape_total[shape[~inside]], 1))
     order = np.argsort(h)
-    return ClassModel(counts, h[order], c[order], emission[order], members, cls, transition, shape_total, shape_types, d, int(total) + rows, int(types) + (rows > 0), rows)
+    return ClassModel(counts, h[order], c[order], emission[order], members, cls, transition, class_total, shape_total, shape_types, d, int(total) + rows, int(types) + (rows > 0), rows)
 
 
 def score(docs: DataFrame, model: ClassModel, keep: list[str]) -> DataFrame:
@@ -239,9 +331,10 @@ def score(docs: DataFrame, model: ClassModel, keep: list[str]) -> DataFrame:
     scored = cut(scored)
     rare = scored.select(F.col("row.row").alias("id"), F.explode("rare").alias("r")).select("id", "r.*")
     stats = docs.sparkSession.createDataFrame([(s, float(a), float(b)) for s, (a, b) in enumerate(zip(m.shape_total, m.shape_types))], "shape int, total double, types double")
-    found = rare.join(m.counts.select("h", "c"), "h", "left").join(F.broadcast(stats), "shape")
+    sizes = docs.sparkSession.createDataFrame([(k, float(n)) for k, n in enumerate(m.class_total)], "cls int, size double")
+    found = rare.join(m.counts.select("h", "c", "cls"), "h", "left").join(F.broadcast(stats), "shape").join(F.broadcast(sizes), "cls", "left")
     c = F.coalesce(F.col("c"), F.lit(0))
-    chance = F.when(c > 0, (c - m.discount) / F.col("total")).when(F.col("total") > 0, m.discount * F.col("types") / F.col("total")).otherwise(F.lit(1.0))
+    chance = F.when(F.col("cls").isNotNull(), c / F.col("size")).when(c > 0, (c - m.discount) / F.col("total")).when(F.col("total") > 0, m.discount * F.col("types") / F.col("total")).otherwise(F.lit(1.0))
     sums = found.groupBy("id").agg(F.sum(F.when(c > 0, F.col("n")).otherwise(0)).alias("known2"), F.sum(F.col("n") * F.log10((c + 1.0) / size)).alias("base2"), F.sum(F.col("n") * F.log10(chance)).alias("model2"))
     whole = scored.select(F.col("row.row").alias("id"), *[F.col(f"row.{x}").alias(x) for x in keep], "n_tokens", "known", "base", "model").join(sums, "id", "left")
     zero = lambda name: F.coalesce(F.col(name), F.lit(0))

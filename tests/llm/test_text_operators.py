@@ -133,6 +133,27 @@ def test_class_bigrams_sum_to_one_and_beat_unigrams(spark):
     assert held.score.sum() > held.base_score.sum() + 0.2 * held.n_tokens.sum()           # left and right take turns: half of the words are ruled out
 
 
+def test_class_bigrams_cluster_words_beyond_the_head(spark):
+    """Words that take turns, few of them in the head: the others get the class of their side, whether their counts are broadcast or joined."""
+    rng = random.Random(3)
+    left, right = [f"l{i}" for i in range(100)], [f"r{i}" for i in range(100)]
+    rows = [(i, " ".join(x for _ in range(40) for x in (rng.choice(left), rng.choice(right)))) for i in range(120)]
+    train, held = (spark.createDataFrame(x, "doc_id long, text string") for x in (rows[:100], rows[100:]))
+    scores = []
+    for frequent in (1 << 18, 8):
+        model = lm.fit(train, clustered=20, classes=4, frequent=frequent)
+        assert len(model.clustered) == 200 and (model.classes[:200] < 4).all()
+        out = lm.score(held, model, ["doc_id"]).toPandas().set_index("doc_id").sort_index()
+        assert out.score.sum() > out.base_score.sum() + 0.2 * out.n_tokens.sum()
+        scores.append(out.score.to_numpy())
+    assert np.allclose(*scores)
+    one = lm.score(spark.createDataFrame([(k, w) for k, w in enumerate([*left, *right])], "doc_id long, text string"), model, ["doc_id"]).toPandas().set_index("doc_id").sort_index().score
+    cls = [model.classes[lm._ids(lm.word_hashes(lm.pa.array([w]))[0], model.clustered)[0]] for w in [*left, *right]]
+    end = model.classes[-1]
+    for c in set(cls):                                                  # the words of a class share its whole chance
+        assert sum(10 ** (s - model.transition[end, c] - model.transition[c, end]) for s, x in zip(one, cls) if x == c) == pytest.approx(1)
+
+
 def test_exchange_never_lowers_the_likelihood():
     rng = np.random.default_rng(0)
     b = rng.poisson(2, (24, 24))
