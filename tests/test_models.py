@@ -189,3 +189,14 @@ def test_sen_slope_bisection_matches_listing(table):
     cut = A.sen_slope(df.where("id < 60"), "y", "x", 60, 0.0, small=10, steps=8)
     full = A.sen_slope(df.where("id < 60"), "y", "x", 60, 0.0)
     assert abs(full[0] - cut[0]) < 0.5
+
+
+def test_mixed_interaction_query_takes_all_event_types(spark, tmp_path):
+    import workload.model_queries  # noqa: F401
+    from workload.registry import QUERIES
+    rng = np.random.default_rng(4)
+    kinds = ["click", "view", "signup"]
+    rows = [(i, i // 12, kinds[i // 2 % 3], float(rng.normal() + 3 * (i % 2 == 1 and i // 2 % 3 == 2))) for i in range(480)]
+    spark.createDataFrame(rows, "event_id long, user_id long, event_type string, value double").write.parquet(f"{tmp_path}/events.parquet")
+    out = QUERIES["t404_mixed_interaction"](spark, str(tmp_path)).first()
+    assert out.p < 1e-6 and out.n["rows"] == 480                             # only signups differ between the halves

@@ -65,7 +65,7 @@ def _(t):
 
 @query("t404_mixed_interaction")
 def _(t):
-    ev = t.events.where(c("event_type").isin("click", "view")).withColumn("half", (c("event_id") % 2).cast("int"))
+    ev = t.events.where(c("event_type").isNotNull()).withColumn("half", (c("event_id") % 2).cast("int"))
     return R.mixed_interaction(ev, "value", "event_type", "half", "user_id").select("statistic", "p", "effect", "n")
 
 
