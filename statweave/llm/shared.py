@@ -86,8 +86,8 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0]:offsets[-1]], offsets - offsets[0]
 
 
-def word_hashes(column: pa.Array, spans: bool = False):
-    """64-bit hashes of the lower-cased (A-Z) words of every text, words being runs of bytes other than 9-13 and 32.
+def word_hashes(column: pa.Array, spans: bool = False, breaks: np.ndarray = _SPACE, fold: np.ndarray = _LOWER):
+    """64-bit hashes of the words of every text: runs of bytes that are not `breaks` (a boolean per byte value; 9-13 and 32 here), bytes replaced by `fold` (A-Z lower-cased here).
 
     Returns (hashes, first): text i has hashes[first[i]:first[i + 1]]. With spans, also the words' first bytes and ends within the column's bytes.
     Work goes over slices of whole texts of about SLICE bytes, so a longer text is a slice by itself."""
@@ -100,7 +100,7 @@ def word_hashes(column: pa.Array, spans: bool = False):
         lo, hi = offsets[i], offsets[j]
         if hi > lo:
             part = raw[lo:hi]
-            word = ~_SPACE[part]
+            word = ~breaks[part]
             edge = np.flatnonzero(word[1:] != word[:-1]) + 1
             cuts = offsets[i + 1:j] - lo
             cuts = cuts[(cuts > 0) & (cuts < hi - lo)]
@@ -109,7 +109,7 @@ def word_hashes(column: pa.Array, spans: bool = False):
             stops = np.sort(np.concatenate([edge[~word[edge]], np.unique(inner), [hi - lo] if word[-1] else []])).astype(np.int64)
             if len(starts):
                 up, down = _powers(int(hi - lo) + 1)
-                value = _LOWER[part].astype(np.uint64) + np.uint64(1)
+                value = fold[part].astype(np.uint64) + np.uint64(1)
                 value *= up[:len(part)]
                 total = np.zeros(len(part) + 1, np.uint64)
                 np.cumsum(value, dtype=np.uint64, out=total[1:])
