@@ -12,6 +12,7 @@ from statweave.llm.neardup import op6_odd_sketch_near_duplicates
 from statweave.llm.packing import op1_order_preserving_packing
 from statweave.llm.pii import op9_weak_supervision_pii
 from statweave.llm.runs import op12_cover_runs
+from statweave.llm.search import OP11_SQL, op11_max_sketch_search
 from statweave.llm.sharding import op5_lpt_sharding
 from statweave.llm.topk import OP3_SQL, op3_exact_top_k
 from statweave.llm.toxicity import op2_weak_supervision_toxicity
@@ -28,6 +29,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_prefix_target_expansion": op8_prefix_target_expansion,
     "op9_weak_supervision_pii": op9_weak_supervision_pii,
     "op10_transaction_assembly": op10_transaction_assembly,
+    "op11_max_sketch_search": op11_max_sketch_search,
     "op12_cover_runs": op12_cover_runs,
 }
-SQL: dict[str, str] = {"op3_exact_top_k": OP3_SQL, "op8_prefix_target_expansion": OP8_SQL, "op10_transaction_assembly": OP10_SQL}
+SQL: dict[str, str] = {"op3_exact_top_k": OP3_SQL, "op8_prefix_target_expansion": OP8_SQL, "op10_transaction_assembly": OP10_SQL,
+                      "op11_max_sketch_search": OP11_SQL}
