@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from statweave.llm.chat import OP8_SQL, op8_prefix_target_expansion
 from statweave.llm.decontaminate import op7_cgk_decontamination
+from statweave.llm.extract import OP13_SQL, op13_crf_main_text
 from statweave.llm.lm import op4_brown_class_bigrams
 from statweave.llm.neardup import op6_odd_sketch_near_duplicates
 from statweave.llm.packing import op1_order_preserving_packing
@@ -31,6 +32,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_transaction_assembly": op10_transaction_assembly,
     "op11_max_sketch_search": op11_max_sketch_search,
     "op12_cover_runs": op12_cover_runs,
+    "op13_crf_main_text": op13_crf_main_text,
 }
 SQL: dict[str, str] = {"op3_exact_top_k": OP3_SQL, "op8_prefix_target_expansion": OP8_SQL, "op10_transaction_assembly": OP10_SQL,
-                      "op11_max_sketch_search": OP11_SQL}
+                      "op11_max_sketch_search": OP11_SQL, "op13_crf_main_text": OP13_SQL}
