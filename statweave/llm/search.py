@@ -1,7 +1,7 @@
 """Ranked lexical search: a max-sketch of every document bounds its score for a whole block of queries, and exact scores are made in descending order of bounds.
 
 A document's impact of a term rises with the term's occurrences alone (its length is the document's), so the sketch keeps, at each hashed coordinate, the most occurrences
-of any of its terms there. What a query's terms find at their coordinates is never less than the truth; a document is scored exactly only while its bound reaches the k-th
+of any of its terms there; every term has two coordinates. The lesser of what a query's term finds at its two is never less than the truth; a document is scored exactly only while its bound reaches the k-th
 best score so far."""
 from __future__ import annotations
 
@@ -20,19 +20,24 @@ from statweave.llm.shared import cut, table, text_bytes, word_hashes
 #: Terms are runs of ASCII letters and digits and of any character beyond ASCII.
 _BREAKS = np.ones(256, dtype=bool)
 _BREAKS[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
-#: A sketch has at least four coordinates per distinct term; the value MANY stands for that many occurrences or more, whose impact stays below MOST.
-ROOM, MANY, MOST = 4, 255, 1_000_000
+#: A sketch has at least eight coordinates per distinct term; the value MANY stands for that many occurrences or more, whose impact stays below MOST.
+ROOM, MANY, MOST = 8, 255, 1_000_000
 #: Bytes of text hashed together, and bounds held together in a task.
 SLICE_BYTES, BOUNDS = 1 << 20, 1 << 21
 
 
+def _places(terms: np.ndarray, size: int) -> np.ndarray:
+    """The two coordinates of each term in a sketch of this size, a power of two."""
+    return np.stack([terms & np.uint64(size - 1), (terms >> np.uint64(32)) & np.uint64(size - 1)]).astype(np.int64)
+
+
 def _counted(words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct terms ascending, their occurrences, and the sketch."""
     terms, tf = np.unique(words, return_counts=True)
     size = 1 << max(6, (ROOM * len(terms) - 1).bit_length() if len(terms) else 0)
     sketch = np.zeros(size, np.uint8)
     rising = np.argsort(tf, kind="stable")                              # the last of equal coordinates is their maximum
-    sketch[(terms[rising] & np.uint64(size - 1)).astype(np.int64)] = np.minimum(tf[rising], MANY)
+    sketch[_places(terms[rising], size).T.ravel()] = np.repeat(np.minimum(tf[rising], MANY), 2)
     return terms, tf.astype("<u4"), sketch
 
 
@@ -111,6 +116,7 @@ def _search(index: DataFrame, queries: list[np.ndarray], k: int) -> DataFrame:
     starts = np.cumsum([0] + [len(q) for q in lists])[:-1]
     flat = np.concatenate(lists)
     count = np.arange(MANY + 1, dtype=np.int64)
+    places: dict[int, np.ndarray] = {}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best = [_Best(k) for _ in lists]
@@ -128,7 +134,10 @@ def _search(index: DataFrame, queries: list[np.ndarray], k: int) -> DataFrame:
                     impact = 1_000_000_000 * count // (1000 * count + norm[d])
                     impact[MANY] = MOST
                     mine = sketch[s[d]:s[d + 1]]
-                    bound[:, d] = np.add.reduceat((impact[mine[(asked & np.uint64(len(mine) - 1)).astype(np.int64)]] * weight)[flat], starts)
+                    if len(mine) not in places:
+                        places[len(mine)] = _places(asked, len(mine))
+                    one, two = places[len(mine)]
+                    bound[:, d] = np.add.reduceat((impact[np.minimum(mine[one], mine[two])] * weight)[flat], starts)
                 for q, top in enumerate(best):
                     on = np.flatnonzero(bound[q] >= top.least())
                     on = on[np.argsort(-bound[q, on], kind="stable")]
