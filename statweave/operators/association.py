@@ -13,6 +13,7 @@ from statweave.plans.cumulate import cumulate, quantiles, ranked
 from statweave.plans.dominance import concordance, tree
 from statweave.plans.gram import design, gram, per_row, unpack
 from statweave.plans.resample import bootstrap_sums, percentile_ci
+from statweave.plans.slopes import slope_order_statistics
 
 c = F.col
 
@@ -77,46 +78,21 @@ def kendall(df, y, x, by=(), alternative="two-sided", test_id="T-303") -> DataFr
                   numbers={"s": c("s"), "z": c("z"), "tau": c("tau"), "var_s": var})
 
 
-def sen_slope(df: DataFrame, y, x, n: int, var_s: float, small: int = 3000,
-              steps: int = 60) -> tuple[float, float, float]:
-    """Median pairwise slope with its 95 % limits.  Up to ``small`` distinct points the slopes are
-    listed; beyond it the k-th slope is found by bisection on the concordance of y - slope*x."""
+def sen_slope(df: DataFrame, y, x, var_s: float, sample: int = 100_000, listed: int = 2_000_000, seed: int = 0) -> tuple[float, float, float]:
+    """Median pairwise slope with its 95 % limits, the slopes at ranks that follow from ``var_s``; one rule at every size (``plans/slopes.py``)."""
     p = pairs(df, y, x)
-    z = 1.959963984540054
-    half = z * math.sqrt(max(var_s, 0.0))
-    if n <= small:
-        v = p.toPandas().to_numpy(float)
-        dx = v[:, 1][None, :] - v[:, 1][:, None]
-        dy = v[:, 0][None, :] - v[:, 0][:, None]
-        up = np.sort((dy[dx > 0] / dx[dx > 0]))
-        nt = up.size
-        if nt == 0:
-            return float("nan"), float("nan"), float("nan")
-        lo = max(int(round((nt - half) / 2)) - 1, 0)
-        hi = min(int(round((nt + half) / 2)), nt - 1)
-        return float(np.median(up)), float(up[lo]), float(up[hi])
-    box = p.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y"), F.avg("x"), F.avg("y")).first()
-    q = p.select((c("x") - box[4]).alias("x"), (c("y") - box[5]).alias("y")).persist()
-    try:
-        start = q.agg(F.regr_slope("y", "x")).first()[0] or 0.0
-        span = (box[3] - box[2]) / max((box[1] - box[0]) / n, 1e-300)
-
-        def above_share(b):   # S of the residuals falls as the slope grows
-            r = concordance(q.select((c("y") - F.lit(b) * c("x")).alias("y"), "x"), "x", "y").first()
-            return r["con"] - r["dis"]
-
-        def solve(target):
-            lo, hi = start - span, start + span
-            for _ in range(steps):
-                mid = (lo + hi) / 2
-                lo, hi = (mid, hi) if above_share(mid) > target else (lo, mid)
-                if hi - lo <= 1e-9 * max(1.0, abs(mid)):
-                    break
-            return (lo + hi) / 2
-
-        return solve(0.0), solve(half), solve(-half)
-    finally:
-        q.unpersist()
+    box = p.agg(F.avg("x"), F.avg("y"), F.count("x")).first()
+    tied = p.groupBy("x").agg(F.count(F.lit(1)).alias("n")).agg(F.sum((c("n") * (c("n") - 1) / 2).cast("decimal(38,0)"))).first()[0]
+    n = box[2]
+    total = n * (n - 1) // 2 - int(tied or 0)
+    if total == 0:
+        return float("nan"), float("nan"), float("nan")
+    half = 1.959963984540054 * math.sqrt(max(var_s, 0.0))
+    lo = max(int(round((total - half) / 2)) - 1, 0)
+    hi = min(int(round((total + half) / 2)), total - 1)
+    points = p.select((c("x") - F.lit(box[0])).alias("x"), (c("y") - F.lit(box[1])).alias("y"), F.lit(1).alias("n"))
+    a, b, low, high = slope_order_statistics(points, [(total - 1) // 2, total // 2, lo, hi], total, sample, listed, seed)
+    return (a + b) / 2, low, high
 
 
 def mann_kendall(df, y, x, alternative="two-sided", slope: bool = True) -> DataFrame:
@@ -124,7 +100,7 @@ def mann_kendall(df, y, x, alternative="two-sided", slope: bool = True) -> DataF
     if not slope:
         return base
     row = base.first()
-    est, lo, hi = sen_slope(df, y, x, row["n"]["pairs"], row["numbers"]["var_s"])
+    est, lo, hi = sen_slope(df, y, x, row["numbers"]["var_s"])
     one = df.sparkSession.range(1)
     return result(one, "T-503", statistic=F.lit(row["statistic"]), p=F.lit(row["p"]), effect_name="Sen slope",
                   effect=F.lit(est), ci=(F.lit(lo), F.lit(hi)), n={"points": F.lit(row["n"]["pairs"])},

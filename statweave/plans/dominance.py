@@ -15,13 +15,14 @@ from statweave.plans.cumulate import cumulate, value_cuts
 
 
 def tree(df: DataFrame, x: str, y: str, weights: dict[str, Column] | None = None,
-         by: Sequence[str] = ()) -> DataFrame:
+         by: Sequence[str] = (), count: str | None = None) -> DataFrame:
     """Rows per (by, level, node, y): ``l_*`` / ``r_*`` sums of the left and right child with
-    running and total sums of the left child.  ``weights`` are per-point values, default count."""
+    running and total sums of the left child.  ``weights`` are per-point values, default count;
+    ``count`` names a column that tells how often a row counts."""
     by = list(by)
-    pts = (df.select(*by, F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
+    pts = (df.select(*by, F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"), (F.col(count) if count else F.lit(1)).cast("long").alias("n"))
              .where("x is not null and y is not null")
-             .groupBy(*by, "x", "y").agg(F.count(F.lit(1)).alias("n")))
+             .groupBy(*by, "x", "y").agg(F.sum("n").alias("n")))
     axis = cumulate(pts, "x", {"one": F.max(F.lit(1))}, by)
     top = axis.agg(F.max("tot_one")).first()[0] or 1
     depth = max(1, int(top - 1).bit_length())
@@ -40,9 +41,9 @@ def tree(df: DataFrame, x: str, y: str, weights: dict[str, Column] | None = None
     return cumulate(leaf, "y", sums, [*by, "_lvl", "_node"], cuts=value_cuts(pts, "y"))
 
 
-def concordance(df: DataFrame, x: str, y: str, by: Sequence[str] = ()) -> DataFrame:
+def concordance(df: DataFrame, x: str, y: str, by: Sequence[str] = (), count: str | None = None) -> DataFrame:
     """Per stratum: con, dis = pairs ordered alike / unlike (pairs tied in x or y excluded)."""
-    t = tree(df, x, y, by=by)
+    t = tree(df, x, y, by=by, count=count)
     up = F.col("r_n").cast("double") * F.col("cum_l_n")
     down = F.col("r_n").cast("double") * (F.col("tot_l_n") - F.col("cum_l_n") - F.col("l_n"))
     return t.groupBy(*by).agg(F.coalesce(F.sum(up), F.lit(0.0)).alias("con"),

@@ -3,7 +3,9 @@ import math
 import os
 
 import numpy as np
+import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from statweave.operators import association as A, group_tests as G, rank_tests as R, regression as L, repeated as W, survival as S
 from statweave.functions.distributions import lgamma
@@ -183,12 +185,21 @@ def test_one_sided_directions(table):
     assert A.bicor(df, "y", "x", alternative="greater").first()["p"] < 1e-6 < A.bicor(df, "y", "x", alternative="less").first()["p"]
 
 
-@slow
-def test_sen_slope_bisection_matches_listing(table):
-    _, df = table
-    cut = A.sen_slope(df.where("id < 60"), "y", "x", 60, 0.0, small=10, steps=8)
-    full = A.sen_slope(df.where("id < 60"), "y", "x", 60, 0.0)
-    assert abs(full[0] - cut[0]) < 0.5
+@pytest.mark.parametrize("shape", ["gaps", "ties", "line", "flat"])
+def test_sen_slope_by_selection_is_that_of_the_listed_slopes(spark, shape):
+    rng = np.random.default_rng(5)
+    n = 250
+    x, y = {"gaps": (rng.normal(size=n), rng.normal(size=n)), "ties": (rng.integers(0, 12, n) * 1.0, rng.integers(0, 5, n) * 1.0),
+            "line": (np.arange(n) * 1.0, np.arange(n) * 0.3 + 1), "flat": (np.arange(n) * 1.0, (np.arange(n) % 50 == 0) * 1.0)}[shape]
+    dx, dy = x[None, :] - x[:, None], y[None, :] - y[:, None]
+    slopes = np.sort(dy[dx > 0] / dx[dx > 0])
+    var = n * (n - 1) * (2 * n + 5) / 18
+    half = 1.959963984540054 * math.sqrt(var)
+    want = (np.median(slopes), slopes[max(round((slopes.size - half) / 2) - 1, 0)], slopes[min(round((slopes.size + half) / 2), slopes.size - 1)])
+    df = spark.createDataFrame(pd.DataFrame({"x": x, "y": y})).repartition(3)
+    assert A.sen_slope(df, "y", "x", var, sample=3000, listed=4000) == pytest.approx(want, rel=1e-9, abs=1e-12)      # brackets from drawn slopes
+    assert A.sen_slope(df, "y", "x", var) == pytest.approx(want, rel=1e-12, abs=1e-12)                               # listed at once
+    assert all(math.isnan(v) for v in A.sen_slope(df.select(F.lit(1.0).alias("x"), "y"), "y", "x", var))
 
 
 def test_mixed_interaction_query_takes_all_event_types(spark, tmp_path):

@@ -88,6 +88,21 @@ def _(t):
                     F.round(F.col("effect.value") * 1e6, 8).alias("effect"))
 
 
+@query("t503_sen_slope_of_events", """with e as (select epoch(ts)/86400.0 x, value y from events where value is not null and ts is not null),
+  tx as (select sum(n*(n-1)/2.0) a, sum(n*(n-1.0)*(n-2)) b, sum(n*(n-1.0)*(2*n+5)) c from (select count(*) n from e group by x)),
+  ty as (select sum(n*(n-1)/2.0) a, sum(n*(n-1.0)*(n-2)) b, sum(n*(n-1.0)*(2*n+5)) c from (select count(*) n from e group by y)),
+  z as (select count(*)::double n, n*(n-1) m from e),
+  v as (select 1.959963984540054*sqrt((m*(2*n+5)-tx.c-ty.c)/18 + 2*tx.a*ty.a/m + tx.b*ty.b/(9*m*(n-2))) half, m/2-tx.a np from z, tx, ty),
+  k as (select greatest(round_even((np-half)/2, 0)-1, 0) lo, least(round_even((np+half)/2, 0), np-1) hi, floor((np-1)/2) a, floor(np/2) b from v),
+  p as (select (b.y-a.y)/(b.x-a.x) sl from e a join e b on a.x < b.x),
+  s as (select sl, row_number() over (order by sl) - 1 r from p)
+  select round(avg(case when r = a or r = b then sl end), 6) effect, round(max(case when r = lo then sl end), 6) ci_low, round(max(case when r = hi then sl end), 6) ci_high
+  from s, k where r in (a, b, lo, hi)""")
+def _(t):
+    r = A.mann_kendall(t.events.select("value", (F.col("ts").cast("timestamp").cast("double") / 86400.0).alias("day")), "value", "day")
+    return r.select(*[F.round(F.col("effect")[k], 6).alias(n) for k, n in (("value", "effect"), ("ci_low", "ci_low"), ("ci_high", "ci_high"))])
+
+
 @query("t504_trend_ols", """with s as (select regr_slope(value, epoch(ts)/86400.0) b, regr_r2(value, epoch(ts)/86400.0) r2,
     regr_sxx(value, epoch(ts)/86400.0) sxx, regr_syy(value, epoch(ts)/86400.0) syy, count(*) n from events where value is not null)
   select round(b/sqrt(syy*(1-r2)/((n-2)*sxx)), 5) statistic, round(b, 6) effect, round(r2, 7) r2 from s""")
