@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from statweave.functions import distributions as D
 from statweave.plans.common import levels_of, num, ratio, result, sq, two_levels
+from statweave.plans.cumulate import cumulate
 from statweave.plans.moments import group_moments, hedges_g, pair_moments, sums_of_squares
-from statweave.plans.resample import permuted_sums
+from statweave.plans.resample import level_sums, permuted
 
 c = F.col
 
@@ -51,18 +52,25 @@ def student_t(df, y, group, levels=None, by=(), alternative="two-sided"):
     return mean_difference(df, y, group, levels, by, alternative, "T-102", equal_var=True)
 
 
-def permutation_t(df, y, group, key: Sequence[str], levels=None, alternative="two-sided",
-                  reps: int = 2000, seed: int = 0, rows_per_block: int = 50_000) -> DataFrame:
-    """Mean difference against ``reps`` exact relabellings over the whole table."""
+def _relabelled_sums(df: DataFrame, y: str, group: str, levels: Sequence[str], reps: int, seed: int, rows_per_block: int) -> tuple[DataFrame, list[int]]:
+    """(b, s0, s1, ...): the sum of ``y`` in each level under exact relabellings, and the levels' sizes."""
+    found = {r[0]: r[1] for r in df.groupBy(c(group).cast("string")).agg(F.count(F.lit(1))).collect()}
+    sizes = [found.get(v, 0) for v in levels]
+    table = cumulate(df, y, {"n": F.count(F.lit(1))}, lead=True)
+    return permuted(table, y, {(): sizes}, reps, level_sums, [f"s{i}" for i in range(len(levels))], seed=seed, rows=rows_per_block), sizes
+
+
+def permutation_t(df, y, group, key: Sequence[str] = (), levels=None, alternative="two-sided",
+                  reps: int = 2000, seed: int = 0, rows_per_block: int = 20_000) -> DataFrame:
+    """Mean difference against ``reps`` exact relabellings over the whole table; labels are dealt to values, so rows need no key."""
     lv = two_levels(df, group, levels)
-    src = df.where(c(group).cast("string").isin(lv)).select(*key, group, num(y).alias("_v")).dropna()
+    src = df.where(c(group).cast("string").isin(lv)).select(group, num(y).alias("_v")).dropna()
     base = welch_t(src, "_v", group, lv, effect="diff")
-    s = permuted_sums(src, list(key), group, "_v", reps, seed, rows_per_block)
-    per = s.groupBy("b").agg((F.sum(F.when(c("level") == lv[0], c("s") / c("n")))
-                              - F.sum(F.when(c("level") == lv[1], c("s") / c("n")))).alias("d"))
+    s, sizes = _relabelled_sums(src, "_v", group, lv, reps, seed, rows_per_block)
+    per = s.select((c("s0") / sizes[0] - c("s1") / sizes[1]).alias("d"))
     obs = base.first()
-    tol = 1e-12 * max(1.0, abs(obs["effect"]["value"] or 0.0))
     d0 = float(obs["effect"]["value"])
+    tol = 1e-12 * max(1.0, abs(d0))
     tails = per.agg(F.sum((c("d") >= d0 - tol).cast("long")).alias("ge"),
                     F.sum((c("d") <= d0 + tol).cast("long")).alias("le"), F.count("d").alias("k"))
     ge, le = (c("ge") + 1) / (c("k") + 1), (c("le") + 1) / (c("k") + 1)
@@ -124,14 +132,15 @@ def welch_anova(df, y, group, by=(), alternative="two-sided") -> DataFrame:
                   n={"groups": k, "total": c("total")}, numbers={"df1": k - 1, "df2": c("df2")})
 
 
-def permutation_f(df, y, group, key: Sequence[str], reps: int = 999, seed: int = 0,
-                  rows_per_block: int = 50_000) -> DataFrame:
+def permutation_f(df, y, group, key: Sequence[str] = (), reps: int = 999, seed: int = 0,
+                  rows_per_block: int = 20_000) -> DataFrame:
     """One-way F against exact relabellings; only SSB moves, so group sums per replicate do."""
-    src = df.select(*key, group, num(y).alias("_v")).dropna()
+    src = df.select(group, num(y).alias("_v")).dropna()
+    lv = levels_of(src, group)
     obs = anova(src, "_v", group).first()
-    s = permuted_sums(src, list(key), group, "_v", reps, seed, rows_per_block)
+    s, sizes = _relabelled_sums(src, "_v", group, lv, reps, seed, rows_per_block)
     # for a fixed total, F is increasing in sum(s^2 / n)
-    per = s.groupBy("b").agg(F.sum(sq(c("s")) / c("n")).alias("q"))
+    per = s.select(sum((sq(c(f"s{i}")) / n for i, n in enumerate(sizes)), F.lit(0.0)).alias("q"))
     mom = group_moments(src, "_v", group).agg(F.sum(sq(c("n") * c("mean")) / c("n"))).first()[0]
     hits = per.agg(F.sum((c("q") >= mom * (1 - 1e-12)).cast("long")).alias("ge"), F.count("q").alias("k"))
     return result(hits, "T-124", statistic=F.lit(obs["statistic"]), p=(c("ge") + 1) / (c("k") + 1),

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from statweave.functions import distributions as D
 from statweave.plans.common import levels_of, natural_key, num, ratio, result, sq, two_levels
 from statweave.plans.cumulate import count_where, cumulate
-from statweave.plans.resample import permuted_rows
+from statweave.plans.resample import permuted
 
 c = F.col
 
@@ -205,18 +205,20 @@ def _ad_stat(t: DataFrame, k: int, by) -> DataFrame:
                               *[F.max(f"tot_n{i}").alias(f"N{i}") for i in range(k)])
 
 
+def _harmonic(n: float) -> tuple[float, float]:
+    """Sums of 1/i and of 1/i^2 up to n; from 32 on by their asymptotic series, which is exact there to rounding."""
+    if n < 32:
+        i = np.arange(1, int(n) + 1)
+        return float(np.sum(1 / i)), float(np.sum(1 / i ** 2))
+    h = math.log(n) + 0.57721566490153286 + 1 / (2 * n) - 1 / (12 * n ** 2) + 1 / (120 * n ** 4) - 1 / (252 * n ** 6)
+    return h, math.pi ** 2 / 6 - 1 / n + 1 / (2 * n ** 2) - 1 / (6 * n ** 3) + 1 / (30 * n ** 5) - 1 / (42 * n ** 7)
+
+
 def _ad_norm(n: float, sizes: Sequence[float]) -> tuple[float, float]:
-    """Mean and sd of the statistic under the null (Scholz & Stephens 1987)."""
+    """Mean and sd of the statistic under the null (Scholz & Stephens 1987); its double sum over 1 / ((n - i) j) is H2(n) - (2 H(n) - 1/n) / n."""
     k, big_h = len(sizes), sum(1 / v for v in sizes)
-    i = np.arange(1, int(min(n, 2_000_000)))
-    h = float(np.sum(1 / i)) if n <= 2_000_000 else math.log(n) + 0.5772156649
-    if n <= 20_000:
-        inv = 1 / np.arange(1, int(n))
-        tail = np.cumsum(inv[::-1])[::-1]                       # sum_{j>=m} 1/j
-        j = np.arange(1, int(n) - 1)
-        g = float(np.sum(tail[1:] / (n - j)))
-    else:
-        g = math.pi ** 2 / 6                                    # limit of the double sum
+    hn, h2 = _harmonic(n)
+    h, g = hn - 1 / n, h2 - (2 * hn - 1 / n) / n
     a = (4 * g - 6) * (k - 1) + (10 - 6 * g) * big_h
     b = (2 * g - 4) * k ** 2 + 8 * h * k + (2 * g - 14 * h - 4) * big_h - 8 * h + 4 * g - 6
     d = (6 * h + 2 * g - 2) * k ** 2 + (4 * h - 4 * g + 6) * k + (2 * h - 6) * big_h + 4 * h
@@ -225,12 +227,43 @@ def _ad_norm(n: float, sizes: Sequence[float]) -> tuple[float, float]:
     return k - 1, math.sqrt(var)
 
 
+def _relabelled_p(table: DataFrame, s: DataFrame, stat: str, by: list[str], levels: Sequence[str], reps: int, seed: int, terms, scale: Column, slack: float) -> DataFrame:
+    """``s`` with column perm_p: how often ``scale`` of the summed terms reaches the statistic when labels are dealt anew in each stratum."""
+    names = [f"N{i}" for i in range(len(levels))]
+    sizes = {tuple(r[:len(by)]): list(r[len(by):]) for r in s.select(*[c(x).cast("string") for x in by], *names).collect()}
+    per = permuted(table, "_y", sizes, reps, terms, ["t"], by, seed)
+    seen = s.select(*[c(x).cast("string").alias(f"_s{i}") for i, x in enumerate(by)], stat, *names)
+    joined = per.join(F.broadcast(seen), [c(x) == c(f"_s{i}") for i, x in enumerate(by)]) if by else per.crossJoin(F.broadcast(seen))
+    p = joined.groupBy(*by).agg(((F.sum((scale >= c(stat) - slack).cast("long")) + 1) / (F.count("t") + 1)).alias("perm_p"))
+    if not by:
+        return s.withColumn("perm_p", F.lit(p.first()[0]))
+    p = p.select(*[c(x).alias(f"_p{i}") for i, x in enumerate(by)], "perm_p")
+    return s.join(p, [c(x).cast("string") == c(f"_p{i}") for i, x in enumerate(by)], "left").drop(*[f"_p{i}" for i in range(len(by))])
+
+
+def _ad_terms(part: pd.DataFrame, before: np.ndarray, k: np.ndarray, total: np.ndarray) -> np.ndarray:
+    n, ties = part["tot_n"].to_numpy(float), part["n"].to_numpy(float)
+    b = part["cum_n"].to_numpy(float) + ties / 2
+    den = b * (n - b) - n * ties / 4
+    weight = np.divide(ties / n, den, out=np.zeros_like(den), where=den > 0)
+    some = total > 0
+    m = n[:, None, None] * (before[..., some] + k[..., some] / 2) - b[:, None, None] * total[some]
+    return (weight[:, None] * (m ** 2 / total[some]).sum(axis=2)).sum(axis=0)[:, None]
+
+
+def _energy_terms(part: pd.DataFrame, before: np.ndarray, k: np.ndarray, total: np.ndarray) -> np.ndarray:
+    gap = ((before + k) / total) @ np.array([1.0, -1.0])
+    width = np.nan_to_num(part["next_value"].to_numpy(float) - part["v"].to_numpy(float))
+    return (gap ** 2 * width[:, None]).sum(axis=0)[:, None]
+
+
 def anderson_darling(df, y, group, levels=None, by=(), key: Sequence[str] | None = None,
                      permutations: int = 0, seed: int = 0) -> DataFrame:
     """k-sample statistic on the whole table, standardised as usual; p from ``permutations``
     exact relabellings when asked, otherwise left to the critical-value interpolation."""
     lv = [str(v) for v in levels] if levels else levels_of(df, group)
-    s = _ad_stat(k_sample_table(df, y, group, lv, by), len(lv), by)
+    table = k_sample_table(df, y, group, lv, by, lead=bool(permutations))
+    s = _ad_stat(table, len(lv), by)
 
     @F.pandas_udf("struct<z double, p double>")
     def finish(a2: pd.Series, n: pd.Series, sizes: pd.Series) -> pd.DataFrame:
@@ -257,13 +290,8 @@ def anderson_darling(df, y, group, levels=None, by=(), key: Sequence[str] | None
     s = s.withColumn("_f", finish("a2", "N", F.array(*[c(f"N{i}") for i in range(len(lv))])))
     p = c("_f.p")
     if permutations:
-        src = df.select(*key, c(group).cast("string").alias("_g"), num(y).alias("_y")).dropna()
-        reps = permuted_rows(src, list(key), "_g", "_y", permutations, seed)
-        sums = {f"n{i}": count_where("level", v) for i, v in enumerate(lv)}
-        per = _ad_stat(cumulate(reps, "y", {**sums, "n": F.count(F.lit(1))}, ["b"]), len(lv), ["b"])
-        obs = s.first()["a2"]
-        hit, tot = per.agg(F.sum((c("a2") >= obs - 1e-9).cast("long")), F.count("a2")).first()
-        p = F.lit((hit + 1) / (tot + 1))
+        s = _relabelled_p(table, s, "a2", list(by), lv, permutations, seed, _ad_terms, c("t") * (sum(c(f"N{i}") for i in range(len(lv))) - 1) / sum(c(f"N{i}") for i in range(len(lv))), 1e-9)
+        p = c("perm_p")
     groups = sum(((c(f"N{i}") > 0).cast("int") for i in range(len(lv))), F.lit(0))
     return result(s, "T-702", by=by, statistic=c("_f.z"), p=p, n={"groups": groups, "total": c("N")},
                   numbers={"a2": c("a2")})
@@ -277,20 +305,17 @@ def _energy_of(t: DataFrame, by) -> DataFrame:
 
 
 def energy_distance(df, y, group, levels=None, by=(), key: Sequence[str] | None = None,
-                    permutations: int = 0, seed: int = 0) -> DataFrame:
-    """1-D energy distance (twice the squared CDF gap, integrated) and Wasserstein-1; p by exact
-    relabelling when ``permutations`` is set and ``key`` identifies rows."""
+                    permutations: int = 999, seed: int = 0) -> DataFrame:
+    """1-D energy distance (twice the squared CDF gap, integrated) and Wasserstein-1; p by ``permutations`` exact relabellings, none where that is 0. Labels are dealt to values, so
+    rows need no key."""
     lv = two_levels(df, group, levels)
-    s = _energy_of(two_sample_table(df, y, group, lv, by, lead=True), list(by))
+    table = two_sample_table(df, y, group, lv, by, lead=True)
+    s = _energy_of(table, list(by))
     p = None
     if permutations:
-        src = df.select(*key, c(group).cast("string").alias("_g"), num(y).alias("_y")).dropna().where(c("_g").isin(lv))
-        reps = permuted_rows(src, list(key), "_g", "_y", permutations, seed)
-        per = _energy_of(cumulate(reps, "y", {"n1": count_where("level", lv[0]), "n2": count_where("level", lv[1])},
-                                  ["b"], lead=True), ["b"])
-        obs = s.first()["e"]
-        hit, tot = per.agg(F.sum((c("e") >= obs - 1e-12).cast("long")), F.count("e")).first()
-        p = F.lit((hit + 1) / (tot + 1))
+        both = table.select(*by, "_y", (c("n1") + c("n2")).alias("n"), (c("cum_n1") + c("cum_n2")).alias("cum_n"), (c("tot_n1") + c("tot_n2")).alias("tot_n"), "next_value")
+        s = _relabelled_p(both, s.withColumnsRenamed({"N1": "N0", "N2": "N1"}), "e", list(by), lv, permutations, seed, _energy_terms, F.sqrt(2 * c("t")), 1e-12).withColumnsRenamed({"N1": "N2", "N0": "N1"})
+        p = c("perm_p")
     return result(s, "T-703", by=by, statistic=c("e"), p=p, effect_name="energy distance", effect=c("e"),
                   n={lv[0]: c("N1"), lv[1]: c("N2")}, numbers={"wasserstein": c("w1")})
 

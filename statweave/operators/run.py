@@ -55,8 +55,8 @@ RUNNERS: dict[str, Runner] = {
     "T-1006": _plain(T.marginal_vs_conditional), "T-1101": _weighted(G.planned_contrast),
     "T-1104": _weighted(R.pooled_contrast),
     "T-1103": lambda df, s, by: G.helmert(df, s.y, s.group, s.levels, by, s.direction),
-    "T-105": lambda df, s, by: G.permutation_t(df, s.y, s.group, s.options["key"], s.levels, s.direction),
-    "T-124": lambda df, s, by: G.permutation_f(df, s.y, s.group, s.options["key"]),
+    "T-105": lambda df, s, by: G.permutation_t(df, s.y, s.group, s.options.get("key", ()), s.levels, s.direction),
+    "T-124": lambda df, s, by: G.permutation_f(df, s.y, s.group),
     "T-111": _paired(W.paired_t), "T-112": _paired(W.wilcoxon), "T-113": _paired(W.sign_test),
     "T-131": _paired(W.rm_anova), "T-132": _paired(W.friedman), "T-133": _paired(W.mixed_repeated), "T-212": _paired(W.cochran_q),
     "T-311": lambda df, s, by: A.partial_correlation(df, s.y, s.group, s.by, alternative=s.direction),
@@ -65,8 +65,8 @@ RUNNERS: dict[str, Runner] = {
     "T-403": lambda df, s, by: L.interaction_regression(df, s.y, s.group, s.by),
     "T-404": lambda df, s, by: W.mixed_interaction(df, s.y, s.group, s.by, s.subject),
     "T-503": lambda df, s, by: A.mann_kendall(df, s.y, s.group, s.direction),
-    "T-702": lambda df, s, by: R.anderson_darling(df, s.y, s.group, s.levels, by, s.options.get("key"), s.options.get("permutations", 0)),
-    "T-703": lambda df, s, by: R.energy_distance(df, s.y, s.group, s.levels, by, s.options.get("key"), s.options.get("permutations", 0)),
+    "T-702": lambda df, s, by: R.anderson_darling(df, s.y, s.group, s.levels, by, permutations=s.options.get("permutations", 0)),
+    "T-703": lambda df, s, by: R.energy_distance(df, s.y, s.group, s.levels, by, permutations=s.options.get("permutations", 999)),
     "T-801": _plain(L.logistic), "T-802": _plain(L.ols), "T-803": _plain(L.poisson), "T-804": _plain(L.ordinal), "T-805": _plain(L.beta_regression),
     "T-806": lambda df, s, by: L.huber(df, s.y, s.group),
     "T-807": lambda df, s, by: S.cox(df, s.y, s.group, s.event, by), "T-904": lambda df, s, by: S.cox(df, s.y, s.group, s.event, by, test_id="T-904"),

@@ -4,12 +4,13 @@ Bootstrap: every row draws a Poisson(1) multiplicity per replicate from a hash o
 replicate, seed); each partition reduces to one row of weighted sums per (stratum, replicate),
 so nothing is exploded or cross joined and the answer does not depend on partitioning.
 
-Permutation: labels are dealt exactly (group sizes kept).  The deal is split over key-hash
-blocks by a multivariate hypergeometric draw, and inside a block rows stream through in key
-order, so block size never has to fit in memory.
+Permutation: labels are dealt exactly (group sizes kept).  A seeded binary tree splits the deal
+over value buckets by hypergeometric draws, each task walks to its own buckets, and only sums per
+replicate leave it.
 """
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -71,85 +72,122 @@ def percentile_ci(reps: DataFrame, value, by: Sequence[str] = ()) -> DataFrame:
                                  F.percentile(value, 0.975).alias("ci_high"))
 
 
-def _deal(df: DataFrame, key: Sequence[str], group: str, cols: Sequence[str], reps: int, seed: int,
-          emit: Callable, schema: str, rows_per_block: int) -> DataFrame:
-    labelled = df.select(F.xxhash64(F.lit(seed), *key).alias("_h"),
-                         F.col(group).cast("string").alias("_g"),
-                         *[F.col(c).cast("double") for c in cols]).dropna()
-    sizes = {r["_g"]: r["n"] for r in labelled.groupBy("_g").agg(F.count(F.lit(1)).alias("n")).collect()}
-    levels = sorted(sizes)
-    total = sum(sizes.values())
-    nb = int(min(4096, max(1, total // rows_per_block)))
-    src = labelled.withColumn("_blk", F.pmod("_h", F.lit(nb)).cast("int")).drop("_g")
-    counts = {r["_blk"]: r["n"] for r in src.groupBy("_blk").agg(F.count(F.lit(1)).alias("n")).collect()}
-    blocks = sorted(counts)
-    rng = np.random.default_rng(seed)
-    block_n = np.array([counts[b] for b in blocks], dtype=np.int64)
-    # deal[b, block, level]: how many labels of each level land in each block
-    deal = np.zeros((reps, len(blocks), len(levels)), dtype=np.int64)
-    for b in range(reps):
-        left = block_n.copy()
-        for g, lv in enumerate(levels[:-1]):
-            deal[b, :, g] = rng.multivariate_hypergeometric(left, sizes[lv], method="marginals")
-            left = left - deal[b, :, g]
-        deal[b, :, -1] = left
-    where = {b: i for i, b in enumerate(blocks)}
+# ------------------------------------------------------------------ exact relabelling
+def _hypergeometric(rng: np.random.Generator, good: np.ndarray, bad: np.ndarray, draws) -> np.ndarray:
+    """Marked items among `draws` of good + bad, elementwise. Populations that numpy's sampler refuses (1e9 and more) are drawn from the normal law with the same mean and variance."""
+    n = good + bad
+    if np.max(n, initial=0) < 1_000_000_000:
+        return rng.hypergeometric(good, bad, draws)
+    d = np.broadcast_to(np.asarray(draws, float), n.shape)
+    share = good / np.maximum(n, 1)
+    sd = np.sqrt(np.maximum(d * share * (1 - share) * (n - d) / np.maximum(n - 1, 1), 0))
+    return np.clip(np.rint(d * share + sd * rng.standard_normal(n.shape)), np.maximum(0, d - bad), np.minimum(d, good)).astype(np.int64)
+
+
+def _share_out(rng: np.random.Generator, left: np.ndarray, draws: int) -> np.ndarray:
+    """(reps, levels): labels of each level among `draws` rows taken from those left."""
+    out = np.zeros_like(left)
+    need = np.full(len(left), draws, dtype=np.int64)
+    rest = left.sum(axis=1)
+    for g in range(left.shape[1] - 1):
+        rest = rest - left[:, g]
+        out[:, g] = _hypergeometric(rng, left[:, g], rest, need)
+        need = need - out[:, g]
+    out[:, -1] = need
+    return out
+
+
+def _at_bucket(counts: np.ndarray, target: int, sizes: np.ndarray, reps: int, seed: Sequence[int]) -> tuple[np.ndarray, np.ndarray]:
+    """(labels in the buckets before, labels in the bucket), each (reps, levels): the way from the root of a binary tree over the buckets to one leaf. A node's draw depends on
+    the seed and the node alone, so every task finds the same deal for the part it needs."""
+    lo, hi = 0, len(counts)
+    total = np.concatenate([[0], np.cumsum(counts)])
+    here = np.repeat(sizes[None, :], reps, axis=0).astype(np.int64)
+    before = np.zeros_like(here)
+    while hi - lo > 1:
+        mid = (lo + hi) // 2
+        left = _share_out(np.random.default_rng([*seed, 1, lo, hi]), here, int(total[mid] - total[lo]))
+        if target < mid:
+            here, hi = left, mid
+        else:
+            before, here, lo = before + left, here - left, mid
+    return before, here
+
+
+def _even_cuts(table: DataFrame, value: str, rows: int) -> list[float]:
+    """Cut points for buckets of about this many rows, from the values with the smallest hashes (at most 64 per bucket): the same however the table is partitioned."""
+    want = min(4096, -(-table.count() // rows))
+    if want <= 1:
+        return []
+    drawn = sorted(r[0] for r in table.select(value).distinct().orderBy(F.xxhash64(value), value).limit(64 * want).collect())
+    return sorted({drawn[len(drawn) * i // want] for i in range(1, want)})
+
+
+def permuted(table: DataFrame, value: str, sizes: dict[tuple, Sequence[int]], reps: int, terms: Callable, names: Sequence[str],
+             by: Sequence[str] = (), seed: int = 0, rows: int = 20_000) -> DataFrame:
+    """(by, _rep, names): a statistic that is a sum over distinct values, under ``reps`` exact relabellings of each stratum.
+
+    ``table`` is a ``cumulate`` table with one row per (by, value): n rows in all, cum_n, tot_n and next_value. ``sizes`` has the rows of each level per stratum (its key as text).
+    Rows of one value are alike, so a relabelling deals label counts to values: a splitting tree deals them to value buckets, a task draws those of its buckets, and inside a bucket
+    each value draws from what is left. Only the sums of each bucket and replicate leave a task. ``terms(part, before, k, total)`` gives (reps, names) for a run of values: part has
+    the columns, before (values, reps, levels) the labels below each value, k those at it."""
+    by = list(by)
+    from statweave.plans.cumulate import add_bucket
+    cols = [*[F.col(c).cast("string").alias(c) for c in by], F.col(value).alias("v"), "n", "cum_n", "tot_n", "next_value"]
+    src = add_bucket(table.select(*cols), "v", _even_cuts(table, value, rows)).withColumn("_bucket", F.col("_bucket").cast("int"))
+    cells: dict[tuple, dict[int, int]] = {}
+    for r in src.groupBy(*by, "_bucket").agg(F.sum("n").alias("n")).collect():
+        cells.setdefault(tuple(r[c] for c in by), {})[r["_bucket"]] = r["n"]
+    order = {k: sorted(v) for k, v in cells.items()}
+    levels = max((len(v) for v in sizes.values()), default=1)
+    chunk = max(8, (1 << 20) // (reps * levels))
+    out_cols = [*by, "_rep", *names]
+    schema = ", ".join([f"`{x}` string" for x in by] + ["_rep int"] + [f"`{x}` double" for x in names])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        state: dict = {"blk": None}
+        cell, total = None, None
         for pdf in batches:
-            for blk, part in pdf.groupby("_blk", sort=False):
-                if blk != state["blk"]:
-                    state = {"blk": blk, "left": deal[:, where[blk], :].copy(),
-                             "rng": np.random.default_rng([seed, int(blk)])}
-                for lo in range(0, len(part), 512):
-                    piece = part.iloc[lo:lo + 512]
-                    m = len(piece)
-                    label = np.full((m, reps), len(levels) - 1, dtype=np.int16)
-                    order = np.argsort(state["rng"].random((m, reps)), axis=0)
-                    # rows take labels in random order; label counts follow a hypergeometric draw
-                    start = np.zeros(reps, dtype=np.int64)
-                    avail = np.full(reps, m)
-                    for g in range(len(levels) - 1):
-                        rest = state["left"][:, g + 1:].sum(axis=1)
-                        take = state["rng"].hypergeometric(state["left"][:, g], rest, avail)
-                        rank = np.empty_like(order)
-                        np.put_along_axis(rank, order, np.arange(m)[:, None], axis=0)
-                        hit = (rank >= start) & (rank < start + take)
-                        label[hit] = g
-                        state["left"][:, g] -= take
-                        start, avail = start + take, avail - take
-                    state["left"][:, -1] -= avail
-                    yield emit(piece, label, levels)
-
-    return (src.repartition(max(1, nb), "_blk").sortWithinPartitions("_blk", "_h", *cols)
-               .mapInPandas(run, schema))
-
-
-def permuted_sums(df: DataFrame, key: Sequence[str], group: str, y: str, reps: int, seed: int = 0,
-                  rows_per_block: int = 50_000) -> DataFrame:
-    """(b, level) -> n, sum of ``y`` under ``reps`` exact relabellings."""
-    def emit(piece, label, levels):
-        v = piece[y].to_numpy(float)
-        frames = []
-        for g, lv in enumerate(levels):
-            mask = label == g
-            frames.append(pd.DataFrame({"b": np.arange(mask.shape[1]), "level": lv,
-                                        "n": mask.sum(axis=0).astype(float), "s": v @ mask}))
-        return pd.concat(frames)
-
-    out = _deal(df, key, group, [y], reps, seed, emit, "b long, level string, n double, s double",
-                rows_per_block)
-    return out.groupBy("b", "level").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
-
-
-def permuted_rows(df: DataFrame, key: Sequence[str], group: str, y: str, reps: int, seed: int = 0,
-                  rows_per_block: int = 50_000) -> DataFrame:
-    """(b, y, level, n): relabelled rows for statistics that need order; feed to ``cumulate``
-    with ``by=['b']``."""
-    def emit(piece, label, levels):
-        m, r = label.shape
-        return pd.DataFrame({"b": np.repeat(np.arange(r), m), "y": np.tile(piece[y].to_numpy(float), r),
-                             "level": np.array(levels, dtype=object)[label.T.ravel()]})
-
-    return _deal(df, key, group, [y], reps, seed, emit, "b long, y double, level string", rows_per_block)
+            for start in range(0, len(pdf), chunk):
+                piece = pdf.iloc[start:start + chunk]
+                for key, part in piece.groupby([*by, "_bucket"], sort=False):
+                    if key != cell:
+                        if cell is not None:
+                            yield done(cell, total)
+                        cell, stratum = key, tuple(key[:-1])
+                        mark = [seed, zlib.crc32("\x00".join(map(str, stratum)).encode())]
+                        deal = np.array([cells[stratum][x] for x in order[stratum]], dtype=np.int64)
+                        place = order[stratum].index(key[-1])
+                        before, left = _at_bucket(deal, place, np.asarray(sizes[stratum], dtype=np.int64), reps, mark)
+                        rng, tied = (np.random.default_rng([*mark, kind, place]) for kind in (2, 3))
+                        total = np.zeros((reps, len(names)))
+                    count = part["n"].to_numpy()
+                    k = np.zeros((len(part), reps, left.shape[1]), dtype=np.int64)
+                    u, rep = rng.random((len(part), reps)), np.arange(reps)
+                    for i, n in enumerate(count):
+                        if n == 1:
+                            edges = np.cumsum(left, axis=1)
+                            level = (u[i][:, None] * edges[:, -1:] >= edges[:, :-1]).sum(axis=1)
+                            k[i, rep, level] = 1
+                        else:
+                            k[i] = _share_out(tied, left, int(n))
+                        left = left - k[i]
+                    total += terms(part, before[None] + np.cumsum(k, axis=0) - k, k, np.asarray(sizes[stratum], float))
+                    before = before + k.sum(axis=0)
+        if cell is not None:
+            yield done(cell, total)
+
+    def done(cell: tuple, total: np.ndarray) -> pd.DataFrame:
+        out = pd.DataFrame(total, columns=list(names))
+        out.insert(0, "_rep", np.arange(reps))
+        for x, v in reversed(list(zip(by, cell))):
+            out.insert(0, x, v)
+        return out[out_cols]
+
+    parts = max(1, sum(map(len, cells.values())))
+    rows_in = src.repartition(min(parts, 4096), *by, "_bucket").sortWithinPartitions(*by, "_bucket", "v")
+    return rows_in.mapInPandas(run, schema).groupBy(*by, "_rep").agg(*[F.sum(x).alias(x) for x in names])
+
+
+def level_sums(part: pd.DataFrame, before: np.ndarray, k: np.ndarray, total: np.ndarray) -> np.ndarray:
+    """Sum of the values that fall to each level."""
+    return np.einsum("i,irl->rl", part["v"].to_numpy(float), k)

@@ -9,7 +9,7 @@ from statweave.operators.metrics import mmd, quantile_normalise, spacing_entropy
 from statweave.plans.cumulate import column_quantiles, cumulate, quantiles, ranked
 from statweave.plans.dominance import concordance
 from statweave.plans.neighbours import knn, nan_knn_mean
-from statweave.plans.resample import bootstrap_sums, permuted_sums
+from statweave.plans.resample import _at_bucket, bootstrap_sums, level_sums, permuted
 
 
 def test_cumulate_many_buckets(spark, table, buckets):
@@ -101,7 +101,7 @@ def test_nan_knn_mean(spark):
     x = r.normal(size=(80, 3))
     x[r.random((80, 3)) < 0.2] = np.nan
     df = spark.createDataFrame([(i, *[None if np.isnan(a) else float(a) for a in row]) for i, row in enumerate(x)], "id long, a double, b double, c double")
-    got = nan_knn_mean(df, "id", ["a", "b", "c"], 5, block=16).toPandas().set_index("id")
+    got = nan_knn_mean(df, "id", ["s0", "s1", "s2"], 5, block=16).toPandas().set_index("id")
     for i in range(80):
         for j, col in enumerate("abc"):
             if not np.isnan(x[i, j]):
@@ -150,10 +150,27 @@ def test_bootstrap_is_seeded_and_layout_free(spark, table, parts):
     assert m.std() == pytest.approx(pdf.y.std() / 20, rel=0.25)
 
 
-def test_permutations_keep_group_sizes(spark, table):
+@pytest.mark.parametrize("value", ["y", "tied"])
+def test_relabellings_keep_level_sizes_and_have_the_exact_moments(spark, table, value):
     pdf, df = table
-    p = permuted_sums(df, ["id"], "dose", "y", 50, rows_per_block=60).toPandas()
-    sizes = pdf.groupby("dose").size().to_dict()
-    assert all(r.n == sizes[int(r.level)] for r in p.itertuples())
-    assert np.allclose(p.groupby("b").s.sum(), pdf.y.sum())
-    assert p.s.nunique() > 100
+    t = cumulate(df, value, {"n": F.count(F.lit(1))}, lead=True)
+    sizes = pdf.groupby("dose").size().tolist()
+    n = permuted(t, value, {(): sizes}, 60, lambda part, before, k, total: k.sum(axis=0), ["s0", "s1", "s2"], rows=30).toPandas()
+    assert len(n) == 60 and (n[["s0", "s1", "s2"]].to_numpy() == sizes).all()
+    sums = permuted(t, value, {(): sizes}, 3000, level_sums, ["s0", "s1", "s2"], rows=30).toPandas().sort_values("_rep")
+    x, big = pdf[value].to_numpy(float), len(pdf)
+    assert np.allclose(sums[["s0", "s1", "s2"]].sum(axis=1), x.sum())
+    for col, m in zip(["s0", "s1", "s2"], sizes):
+        var = m * (big - m) / (big - 1) * x.var()
+        assert abs(sums[col].mean() - m * x.mean()) < 5 * np.sqrt(var / 3000) and sums[col].var() == pytest.approx(var, rel=0.15)
+    again = permuted(cumulate(df.repartition(3), value, {"n": F.count(F.lit(1))}, lead=True), value, {(): sizes}, 3000, level_sums, ["s0", "s1", "s2"], rows=30).toPandas().sort_values("_rep")
+    assert np.allclose(sums[["s0", "s1", "s2"]], again[["s0", "s1", "s2"]])
+
+
+def test_splitting_tree_deals_every_bucket_its_rows():
+    counts, sizes = np.array([5, 1, 40, 7, 900]), np.array([300, 3, 650])
+    parts = [_at_bucket(counts, i, sizes, 50, [9]) for i in range(5)]
+    assert all((here.sum(axis=1) == n).all() for (_, here), n in zip(parts, counts)) and (sum(here for _, here in parts) == sizes).all()
+    assert all((parts[i + 1][0] == parts[i][0] + parts[i][1]).all() for i in range(4)) and (parts[0][0] == 0).all()
+    big = _at_bucket(np.array([3, 4]) * 10 ** 9, 0, np.array([2, 5]) * 10 ** 9, 200, [1])[1]
+    assert (big.sum(axis=1) == 3 * 10 ** 9).all() and abs(big[:, 0].mean() / (6 / 7 * 10 ** 9) - 1) < 1e-4

@@ -1,6 +1,5 @@
 """Iterative fits: the reported optimum is checked against the likelihood written out in numpy."""
 import math
-import os
 
 import numpy as np
 import pandas as pd
@@ -11,9 +10,6 @@ from statweave.operators import association as A, group_tests as G, rank_tests a
 from statweave.functions.distributions import lgamma
 
 
-slow = pytest.mark.skipif(not os.environ.get("SLOW_TESTS"), reason="many Spark jobs; set SLOW_TESTS=1")
-
-
 def _is_maximum(fn, theta, step=1e-3):
     best = fn(np.array(theta))
     for i in range(len(theta)):
@@ -158,22 +154,57 @@ def test_mixed_model_matches_dense_likelihood(table):
 
 def test_permutation_p_agrees_with_welch(table):
     _, df = table
-    p = G.permutation_t(df, "y", "arm", ["id"], reps=400, rows_per_block=64).first()["p"]
+    p = G.permutation_t(df, "y", "arm", reps=2000, rows_per_block=64).first()["p"]
     w = G.welch_t(df, "y", "arm").first()["p"]
-    assert abs(p - w) < 0.05
-    same = G.permutation_t(df.repartition(3), "y", "arm", ["id"], reps=400, rows_per_block=64).first()["p"]
-    assert same == pytest.approx(p)
-    assert G.permutation_f(df, "y", "dose", ["id"], reps=200).first()["p"] > 0.01
+    assert abs(p - w) < 0.03
+    same = G.permutation_t(df.repartition(3), "y", "arm", reps=2000, rows_per_block=64).first()["p"]
+    assert same == p
+    f = G.permutation_f(df, "y", "dose", reps=2000).first()["p"]
+    assert abs(f - G.anova(df, "y", "dose").first()["p"]) < 0.05
 
 
-@slow
-def test_rank_permutation_tests(table):
-    _, df = table
-    e = R.energy_distance(df.where("dose < 2"), "y", "dose", key=["id"], permutations=60).first()
-    assert 0.01 < e["p"] <= 1
-    a = R.anderson_darling(df, "x", "arm", key=["id"], permutations=60).first()
-    b = R.anderson_darling(df, "x", "arm").first()
-    assert abs(a["p"] - min(b["p"], 0.25)) < 0.8
+def _relabelled(values, labels, stat, reps=3000):
+    rng = np.random.default_rng(3)
+    seen = stat(values, labels)
+    return (sum(stat(values, rng.permutation(labels)) >= seen - 1e-12 for _ in range(reps)) + 1) / (reps + 1)
+
+
+def _energy(v, g):
+    x = np.sort(v)
+    a, b = (np.searchsorted(np.sort(v[g == k]), x, side="right") / (g == k).sum() for k in (0, 1))
+    return np.sqrt(2 * np.sum((a - b)[:-1] ** 2 * np.diff(x)))
+
+
+@pytest.mark.parametrize("column", ["y", "tied"])
+def test_rank_permutation_tests(table, buckets, column):
+    pdf, df = table
+    two = pdf[pdf.dose < 2]
+    want = _relabelled(two[column].to_numpy(float), two.dose.to_numpy(), _energy)
+    e = R.energy_distance(df.where("dose < 2"), column, "dose").first()
+    assert abs(e["p"] - want) < 5 * math.sqrt(want * (1 - want) * (1 / 999 + 1 / 3000)) + 0.002
+    assert e["p"] == R.energy_distance(df.where("dose < 2").repartition(7), column, "dose").first()["p"]
+    assert R.energy_distance(df.where("dose < 2"), column, "dose", permutations=0).first()["p"] is None
+    a = R.anderson_darling(df, column, "arm", permutations=999).first()["p"]
+    b = R.anderson_darling(df, column, "arm").first()["p"]
+    assert abs(a - b) < 0.04 if a < 0.25 else b == pytest.approx(0.25)                    # the published table ends at 0.25
+
+
+def test_permutation_p_per_stratum(table):
+    pdf, df = table
+    rows = {r["dose"]: r["p"] for r in R.energy_distance(df, "y", "arm", by=["dose"]).collect()}
+    assert sorted(rows) == [0, 1, 2]
+    for d, p in rows.items():
+        part = pdf[pdf.dose == d]
+        want = _relabelled(part.y.to_numpy(float), (part.arm == "B").to_numpy().astype(int), _energy, 2000)
+        assert abs(p - want) < 5 * math.sqrt(want * (1 - want) * (1 / 999 + 1 / 2000)) + 0.003
+
+
+def test_anderson_darling_null_moments_at_every_size():
+    for n in (6, 31, 32, 33, 500):
+        i = np.arange(1, n)
+        g = sum(1 / ((n - a) * b) for a in range(1, n - 1) for b in range(a + 1, n))
+        h, h2 = R._harmonic(float(n))
+        assert h - 1 / n == pytest.approx(np.sum(1 / i), rel=1e-13) and h2 - (2 * h - 1 / n) / n == pytest.approx(g, rel=1e-12)
 
 
 def test_one_sided_directions(table):

@@ -161,7 +161,7 @@ def _(t):
   select round(sum(abs(fa-fb)*g), 4) wasserstein, round(max(abs(fa-fb)), 8) ks from w""")
 def _(t):
     from statweave.operators.regression import _paste
-    w = R.energy_distance(t.orders, "o_totalprice", "o_orderstatus", ["F", "O"]).select(F.round(c("numbers")["wasserstein"], 4).alias("wasserstein"))
+    w = R.energy_distance(t.orders, "o_totalprice", "o_orderstatus", ["F", "O"], permutations=0).select(F.round(c("numbers")["wasserstein"], 4).alias("wasserstein"))
     k = R.ks_two_sample(t.orders, "o_totalprice", "o_orderstatus", ["F", "O"]).select(F.round("statistic", 8).alias("ks"))
     return _paste(w, k)
 
