@@ -10,7 +10,7 @@ from statweave.functions import distributions as D
 from statweave.functions.vectors import total, vec
 from statweave.plans.common import MAX_LEVELS, cut_lineage, ratio, sq
 from statweave.plans.moments import group_moments, sums_of_squares
-from statweave.plans.neighbours import knn
+from statweave.plans.neighbours import knn, knn_forest
 
 c = F.col
 
@@ -44,15 +44,20 @@ def silhouette(df: DataFrame, vector: str, label: str) -> DataFrame:
     return silhouette_rows(df, vector, label).agg(F.avg("silhouette").alias("silhouette"), F.avg(1 - F.abs("silhouette")).alias("asw_batch"))
 
 
-def neighbour_labels(df: DataFrame, key: str, vector: str, label: str, k: int) -> DataFrame:
-    """(qid, own label, neighbour label, count) over the exact kNN table."""
-    n = knn(df, key, vector, k)
+def neighbours(df: DataFrame, key: str, vector: str, k: int, exact: bool = False) -> DataFrame:
+    """The kNN table: from the forest, or exact by the block join."""
+    return knn(df, key, vector, k) if exact else knn_forest(df, key, vector, k)
+
+
+def neighbour_labels(df: DataFrame, key: str, vector: str, label: str, k: int, exact: bool = False) -> DataFrame:
+    """(qid, own label, neighbour label, count) over the kNN table."""
+    n = neighbours(df, key, vector, k, exact)
     lab = df.select(c(key).cast("long").alias("_id"), c(label).cast("string").alias("_lab"))
     j = n.join(lab, c("did") == c("_id")).select("qid", c("_lab").alias("other"))
     return j.groupBy("qid", "other").agg(F.count(F.lit(1)).cast("double").alias("o"))
 
 
-def mixing(df: DataFrame, key: str, vector: str, label: str, k: int = 15, alpha: float = 0.05) -> DataFrame:
+def mixing(df: DataFrame, key: str, vector: str, label: str, k: int = 15, alpha: float = 0.05, exact: bool = False) -> DataFrame:
     """kBET acceptance, LISI (inverse Simpson of neighbours) and normalised neighbour entropy."""
     share = df.where(c(label).isNotNull()).groupBy(c(label).cast("string").alias("l")).agg(F.count(F.lit(1)).cast("double").alias("n"))
     rows = share.limit(MAX_LEVELS + 1).collect()
@@ -61,7 +66,7 @@ def mixing(df: DataFrame, key: str, vector: str, label: str, k: int = 15, alpha:
     tot, m = sum(r["n"] for r in rows), len(rows)
     crit = float(D.bisect(lambda v: -D.chi2_sf(v, m - 1), np.array(-alpha), np.array(0.0), np.array(10.0 * m + 100)))
     p_of = F.create_map(*[x for r in rows for x in (F.lit(r["l"]), F.lit(r["n"] / tot))])
-    t = neighbour_labels(df, key, vector, label, k)
+    t = neighbour_labels(df, key, vector, label, k, exact)
     p = c("o") / c("_k")
     q = t.groupBy("qid").agg(F.sum("o").alias("_k"), F.collect_list(F.struct("other", "o")).alias("_o")).select("qid", "_k", F.explode("_o").alias("r")).select("qid", "_k", "r.*")
     e = c("_k") * p_of[c("other")]
@@ -101,10 +106,10 @@ def connected_components(vertices: DataFrame, edges: DataFrame, max_iter: int =
     raise RuntimeError(f"components still moving after {max_iter} rounds")
 
 
-def graph_connectivity(df: DataFrame, key: str, vector: str, label: str, k: int = 15) -> DataFrame:
+def graph_connectivity(df: DataFrame, key: str, vector: str, label: str, k: int = 15, exact: bool = False) -> DataFrame:
     """Mean over labels of the largest connected share of the label's own kNN graph."""
     lab = df.where(c(label).isNotNull()).select(c(key).cast("long").alias("id"), c(label).cast("string").alias("l"))
-    n = knn(df, key, vector, k)
+    n = neighbours(df, key, vector, k, exact)
     l2 = lab.select(c("id").alias("_j"), c("l").alias("_m"))
     same = n.join(lab, c("qid") == c("id")).join(l2, c("did") == c("_j")).where(c("l") == c("_m")).select(c("qid").alias("a"), c("did").alias("b"))
     roots = connected_components(lab.select("id"), same)

@@ -8,7 +8,7 @@ from statweave.operators import association as A, rank_tests as R
 from statweave.operators.metrics import mmd, quantile_normalise, spacing_entropy
 from statweave.plans.cumulate import column_quantiles, cumulate, quantiles, ranked
 from statweave.plans.dominance import concordance
-from statweave.plans.neighbours import knn, nan_knn_mean
+from statweave.plans.neighbours import knn, knn_forest, knn_recall, nan_knn_mean
 from statweave.plans.resample import _at_bucket, bootstrap_sums, level_sums, permuted
 
 
@@ -101,7 +101,7 @@ def test_nan_knn_mean(spark):
     x = r.normal(size=(80, 3))
     x[r.random((80, 3)) < 0.2] = np.nan
     df = spark.createDataFrame([(i, *[None if np.isnan(a) else float(a) for a in row]) for i, row in enumerate(x)], "id long, a double, b double, c double")
-    got = nan_knn_mean(df, "id", ["s0", "s1", "s2"], 5, block=16).toPandas().set_index("id")
+    got = nan_knn_mean(df, "id", ["a", "b", "c"], 5, block=16).toPandas().set_index("id")
     for i in range(80):
         for j, col in enumerate("abc"):
             if not np.isnan(x[i, j]):
@@ -174,3 +174,20 @@ def test_splitting_tree_deals_every_bucket_its_rows():
     assert all((parts[i + 1][0] == parts[i][0] + parts[i][1]).all() for i in range(4)) and (parts[0][0] == 0).all()
     big = _at_bucket(np.array([3, 4]) * 10 ** 9, 0, np.array([2, 5]) * 10 ** 9, 200, [1])[1]
     assert (big.sum(axis=1) == 3 * 10 ** 9).all() and abs(big[:, 0].mean() / (6 / 7 * 10 ** 9) - 1) < 1e-4
+
+
+def test_forest_of_hyperplanes_finds_the_nearest(spark):
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(40, 16)) * 2
+    x = np.concatenate([centres[rng.integers(0, 40, 2400)] + rng.normal(size=(2400, 16)) * 0.6, np.ones((500, 16)), rng.normal(size=(100, 16))])     # a third are clusters' edges and copies
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)] + [(9_000, None), (None, [0.0] * 16)], "id long, v array<double>").repartition(4)
+    got = knn_forest(df, "id", "v", 5, trees=10, leaf=150, task_rows=300, sample=1000)
+    one = got.toPandas().sort_values(["qid", "rank"])
+    again = knn_forest(df.repartition(3), "id", "v", 5, trees=10, leaf=150, task_rows=300, sample=1000).toPandas().sort_values(["qid", "rank"])
+    assert one.reset_index(drop=True).equals(again.reset_index(drop=True)) and set(one.groupby("qid").size()) == {5}
+    assert np.allclose(one.dist, np.sqrt(((x[one.qid] - x[one.did]) ** 2).sum(1))) and (one.qid != one.did).all()
+    r = knn_recall(df, "id", "v", got, 5, df.where("id % 20 = 0")).first()
+    assert r["queries"] == 150 and r["recall"] >= 0.9
+    small = df.where("id < 140")
+    exact = knn(small, "id", "v", 5).toPandas().sort_values(["qid", "rank"])[["qid", "did"]].to_numpy()
+    assert (knn_forest(small, "id", "v", 5, leaf=150).toPandas().sort_values(["qid", "rank"])[["qid", "did"]].to_numpy() == exact).all()

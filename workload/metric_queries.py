@@ -249,9 +249,26 @@ def _(t):
     return rd(N.mixing(t.embeddings, "vec_id", "embedding", "label", 15), 6, skip=("kbet_accept",))
 
 
-@query("sc_be_03_kbet")
+_NEAR = """d as (select a.vec_id qid, b.vec_id did, list_distance(a.embedding::double[], b.embedding::double[]) d from embeddings a join embeddings b on a.vec_id <> b.vec_id),
+  r as (select qid, did, row_number() over (partition by qid order by d, did) r from d), k as (select qid, did from r where r <= 15)"""
+
+
+@query("sc_be_03_kbet", f"""with {_NEAR}, p as (select label l, count(*)/(sum(count(*)) over ())::double p from embeddings group by 1),
+  crit(df, q) as (values (1, 3.841458820694124), (2, 5.991464547107979), (3, 7.814727903251179), (4, 9.487729036781154), (5, 11.070497693516351), (6, 12.591587243743977), (7, 14.067140449340169),
+    (8, 15.507313055865453), (9, 16.918977604620448), (10, 18.307038053275146), (11, 19.67513757268249), (12, 21.02606981748307), (13, 22.362032494826934), (14, 23.684791304840576), (15, 24.99579013972863)),
+  o as (select qid, e.label l, count(*) o from k join embeddings e on e.vec_id = k.did group by 1, 2),
+  x as (select v.vec_id, sum(pow(coalesce(o, 0) - 15*p, 2)/(15*p)) x2 from embeddings v cross join p left join o on o.qid = v.vec_id and o.l = p.l group by 1)
+  select round(avg((x2 <= (select q from crit where df = (select count(*) - 1 from p)))::int), 8) kbet_accept from x""")
+def _(t):
+    return N.mixing(t.embeddings, "vec_id", "embedding", "label", 15).select(F.round("kbet_accept", 8).alias("kbet_accept"))
+
+
+@query("knn_forest_recall", "select count(*) filter (vec_id % 10 = 0) queries, true found from embeddings where embedding is not null")
 def _(t):
-    return N.mixing(t.embeddings, "vec_id", "embedding", "label", 15).select("kbet_accept")
+    from statweave.plans.neighbours import knn_forest, knn_recall
+    found = knn_forest(t.embeddings, "vec_id", "embedding", 5, leaf=128)
+    r = knn_recall(t.embeddings, "vec_id", "embedding", found, 5, t.embeddings.where("vec_id % 10 = 0 and embedding is not null"))
+    return r.select("queries", (c("recall") >= 0.9).alias("found"))
 
 
 @query("knn_table", """with d as (select a.vec_id qid, b.vec_id did, list_distance(a.embedding::double[], b.embedding::double[]) d from embeddings a join embeddings b on a.vec_id <> b.vec_id),
@@ -266,9 +283,13 @@ def _(t):
     return N.pc_regression(t.embeddings, "embedding", "label", 10)
 
 
-@query("sc_be_08_connectivity")
+@query("sc_be_08_connectivity", f"""with recursive {_NEAR}, e as (select qid a, did b from k join embeddings x on x.vec_id = qid join embeddings y on y.vec_id = did where x.label = y.label),
+  u as (select a, b from e union select b, a from e), reach(id, root) as (select vec_id, vec_id from embeddings where label is not null union select u.b, reach.root from reach join u on u.a = reach.id),
+  c as (select v.label, min(root) root from reach join embeddings v on v.vec_id = reach.id group by reach.id, v.label), s as (select label, root, count(*) n from c group by 1, 2),
+  l as (select label, max(n)/sum(n)::double share from s group by 1)
+  select round(avg(share), 8) connectivity, count(*) labels from l""")
 def _(t):
-    return N.graph_connectivity(t.embeddings, "vec_id", "embedding", "label", 15)
+    return N.graph_connectivity(t.embeddings, "vec_id", "embedding", "label", 15).select(F.round("connectivity", 8).alias("connectivity"), "labels")
 
 
 # ---------------------------------------------------------------- normalisation
