@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import NumericType
 
 from statweave.operators.profile import distinct_counts
 from statweave.plans.common import num
 from statweave.plans.cumulate import cumulate
+from statweave.plans.resample import permuted
 
 c = F.col
 
@@ -22,58 +24,56 @@ def ladder(total: int, steps: int = 10, start: int = 100) -> list[int]:
     return sorted({int(start * step ** i + 1e-9) for i in range(steps - 1)} | {total})
 
 
-def subsamples(df: DataFrame, key: Sequence[str], sizes: Sequence[int], repeats: int, seed: int = 0) -> DataFrame:
-    """Rows tagged with repeat ``_r`` and size ``_n``: exactly the ``_n`` rows with the smallest hash of
-    that repeat, so larger samples contain smaller ones.  Hashes are uniform, hence equal-width buckets
-    rank them without a sketch."""
-    top = max(sizes)
-    b = df.withColumn("_r", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
-    b = b.withColumn("_u", F.pmod(F.xxhash64(F.lit(seed), "_r", *key), F.lit(1 << 52)).cast("double"))
-    b = b.withColumn("_slot", F.floor(c("_u") / float(1 << 42)))                      # 1024 slots
-    rank = cumulate(b.select("_r", "_u", "_slot"), "_u", {"m": F.count(F.lit(1))}, ["_r"], bucket="_slot").where(c("cum_m") < top)
-    rank = rank.select(c("_r").alias("_rr"), c("_u").alias("_ru"), c("cum_m").alias("_rank"))
-    j = b.join(rank, (c("_r") == c("_rr")) & (c("_u") == c("_ru")))
-    fits = F.filter(F.array(*[F.lit(int(s)) for s in sizes]), lambda s: s > c("_rank"))
-    return j.withColumn("_n", F.explode(fits)).drop("_u", "_slot", "_rr", "_ru", "_rank")
+def _ks_terms(part, before, k, total):
+    """Largest gap of each rung's steps to the whole's, just before a value and at it."""
+    size, n, cum = np.cumsum(total)[:-1], part["n"].to_numpy(float), part["cum_n"].to_numpy(float)
+    at, whole = np.cumsum(before + k, axis=2)[..., :-1] / size, part["tot_n"].to_numpy(float)
+    pre = np.cumsum(before, axis=2)[..., :-1] / size
+    gap = np.maximum(np.abs(at - ((cum + n) / whole)[:, None, None]), np.abs(pre - (cum / whole)[:, None, None]))
+    return gap.max(axis=0)
 
 
-def distance_curve(df: DataFrame, column: str, key: Sequence[str], repeats: int = 20, sizes: Sequence[int] | None = None,
-                   metric: str | None = None, seed: int = 0) -> DataFrame:
-    """(n) -> mean, smallest and largest distance to the whole: ``ks`` or ``wasserstein`` for numbers,
-    ``tv`` for categories."""
+def _wasserstein_terms(part, before, k, total):
+    whole = (part["cum_n"].to_numpy(float) + part["n"].to_numpy(float)) / part["tot_n"].to_numpy(float)
+    width = np.nan_to_num(part["next_value"].to_numpy(float) - part["v"].to_numpy(float))
+    gap = np.abs(np.cumsum(before + k, axis=2)[..., :-1] / np.cumsum(total)[:-1] - whole[:, None, None])
+    return np.einsum("i,irl->rl", width, gap)
+
+
+def _tv_terms(part, before, k, total):
+    """Shares on both sides sum to one, so the positive gaps alone make up half the absolute ones."""
+    share = part["n"].to_numpy(float) / part["tot_n"].to_numpy(float)
+    return np.maximum(np.cumsum(k, axis=2)[..., :-1] / np.cumsum(total)[:-1] - share[:, None, None], 0).sum(axis=0)
+
+
+def distances(df: DataFrame, column: str, repeats: int = 20, sizes: Sequence[int] | None = None, metric: str | None = None, seed: int = 0) -> DataFrame:
+    """(n, r, metric, d): distance of subsample r of n rows to the whole, ``ks`` or ``wasserstein`` for numbers, ``tv`` for categories; larger samples of a repeat contain smaller ones.
+
+    A repeat is a relabelling whose labels are the rungs of the ladder, dealt to values by ``permuted``: no row is copied, and a task's bucket of values holds all repeats at once.
+    Sizes that reach the table's are left out."""
     numeric = isinstance(df.schema[column].dataType, NumericType)
     metric = metric or ("ks" if numeric else "tv")
-    val = num(column) if metric != "tv" else c(column).cast("string")
-    src = df.select(*key, val.alias("v")).where("v is not null")
-    total = src.count()
-    sizes = [s for s in (sizes or ladder(total)) if s < total]
-    sub = subsamples(src, key, sizes, repeats, seed)
-    grp = ["_n", "_r"]
-    if metric == "tv":
-        full = src.groupBy("v").agg((F.count(F.lit(1)) / F.lit(total)).alias("q"))
-        k = sub.groupBy(*grp, "v").agg(F.count(F.lit(1)).alias("k"))
-        # shares on both sides sum to one, so the positive gaps alone make up half the absolute ones
-        d = k.join(full, "v").groupBy(*grp).agg(F.sum(F.greatest(F.lit(0.0), c("k") / c("_n") - c("q"))).alias("d"))
-    elif metric == "ks":
-        full = cumulate(src, "v", {"f": F.count(F.lit(1))}).select(c("v").alias("_fv"), "f", "cum_f")
-        k = cumulate(sub, "v", {"k": F.count(F.lit(1))}, grp)
-        j = k.join(full, c("v") == c("_fv"))
-        # both step functions move at a sub-sample value: look just before it and at it
-        at = F.abs((c("cum_k") + c("k")) / c("tot_k") - (c("cum_f") + c("f")) / float(total))
-        pre = F.abs(c("cum_k") / c("tot_k") - c("cum_f") / float(total))
-        d = j.groupBy(*grp).agg(F.max(F.greatest(at, pre)).alias("d"))
-    elif metric == "wasserstein":
-        axis = src.groupBy("v").agg(F.count(F.lit(1)).alias("f"))
-        each = axis.withColumn("_n", F.explode(F.array(*[F.lit(int(s)) for s in sizes]))).withColumn("_r", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
-        both = each.select(*grp, "v", "f", F.lit(0).cast("long").alias("k")).unionByName(
-            sub.groupBy(*grp, "v").agg(F.count(F.lit(1)).alias("k")).select(*grp, "v", F.lit(0).cast("long").alias("f"), "k"))
-        t = cumulate(both, "v", {"f": F.sum("f"), "k": F.sum("k")}, grp, lead=True)
-        gap = F.abs((c("cum_k") + c("k")) / c("tot_k") - (c("cum_f") + c("f")) / c("tot_f"))
-        d = t.groupBy(*grp).agg(F.sum(gap * F.coalesce(c("next_value") - c("v"), F.lit(0.0))).alias("d"))
-    else:
+    terms = {"ks": _ks_terms, "wasserstein": _wasserstein_terms, "tv": _tv_terms}.get(metric)
+    if terms is None:
         raise ValueError(f"unknown metric {metric!r}")
-    return d.groupBy(c("_n").alias("n")).agg(F.lit(metric).alias("metric"), F.avg("d").alias("mean"), F.min("d").alias("lo"), F.max("d").alias("hi"),
-                                             F.percentile("d", 0.95).alias("p95"))
+    # the order of categories does not matter: their hashes are the axis
+    src = df.select((F.xxhash64(c(column).cast("string")).cast("double") if metric == "tv" else num(column)).alias("v"), c(column).isNotNull().alias("_ok")).where("_ok and v is not null").select("v")
+    total = src.count()
+    sizes = sorted({int(s) for s in (sizes or ladder(total)) if 0 < s < total})
+    if not sizes:
+        return df.sparkSession.createDataFrame([], "n int, r int, metric string, d double")
+    table = cumulate(src, "v", {"n": F.count(F.lit(1))}, lead=True)
+    rungs = [b - a for a, b in zip([0, *sizes], [*sizes, total])]
+    names = [str(s) for s in sizes]
+    out = permuted(table, "v", {(): rungs}, repeats, terms, names, seed=seed, how="max" if metric == "ks" else "sum")
+    return out.unpivot("_rep", [f"`{x}`" for x in names], "n", "d").select(c("n").cast("int").alias("n"), c("_rep").alias("r"), F.lit(metric).alias("metric"), "d")
+
+
+def distance_curve(df: DataFrame, column: str, key: Sequence[str] = (), repeats: int = 20, sizes: Sequence[int] | None = None,
+                   metric: str | None = None, seed: int = 0) -> DataFrame:
+    """(n) -> mean, smallest and largest distance to the whole. Subsamples are dealt to values, so rows need no key."""
+    return distances(df, column, repeats, sizes, metric, seed).groupBy("n", "metric").agg(
+        F.avg("d").alias("mean"), F.min("d").alias("lo"), F.max("d").alias("hi"), F.percentile("d", 0.95).alias("p95"))
 
 
 def enough_rows(curve: DataFrame, threshold: float) -> DataFrame:

@@ -124,8 +124,8 @@ def _even_cuts(table: DataFrame, value: str, rows: int) -> list[float]:
 
 
 def permuted(table: DataFrame, value: str, sizes: dict[tuple, Sequence[int]], reps: int, terms: Callable, names: Sequence[str],
-             by: Sequence[str] = (), seed: int = 0, rows: int = 20_000) -> DataFrame:
-    """(by, _rep, names): a statistic that is a sum over distinct values, under ``reps`` exact relabellings of each stratum.
+             by: Sequence[str] = (), seed: int = 0, rows: int = 20_000, how: str = "sum") -> DataFrame:
+    """(by, _rep, names): statistics that are a sum (or with ``how`` "max" the largest) over distinct values, under ``reps`` exact relabellings of each stratum.
 
     ``table`` is a ``cumulate`` table with one row per (by, value): n rows in all, cum_n, tot_n and next_value. ``sizes`` has the rows of each level per stratum (its key as text).
     Rows of one value are alike, so a relabelling deals label counts to values: a splitting tree deals them to value buckets, a task draws those of its buckets, and inside a bucket
@@ -171,7 +171,8 @@ def permuted(table: DataFrame, value: str, sizes: dict[tuple, Sequence[int]], re
                         else:
                             k[i] = _share_out(tied, left, int(n))
                         left = left - k[i]
-                    total += terms(part, before[None] + np.cumsum(k, axis=0) - k, k, np.asarray(sizes[stratum], float))
+                    more = terms(part, before[None] + np.cumsum(k, axis=0) - k, k, np.asarray(sizes[stratum], float))
+                    total = total + more if how == "sum" else np.maximum(total, more)
                     before = before + k.sum(axis=0)
         if cell is not None:
             yield done(cell, total)
@@ -185,7 +186,7 @@ def permuted(table: DataFrame, value: str, sizes: dict[tuple, Sequence[int]], re
 
     parts = max(1, sum(map(len, cells.values())))
     rows_in = src.repartition(min(parts, 4096), *by, "_bucket").sortWithinPartitions(*by, "_bucket", "v")
-    return rows_in.mapInPandas(run, schema).groupBy(*by, "_rep").agg(*[F.sum(x).alias(x) for x in names])
+    return rows_in.mapInPandas(run, schema).groupBy(*by, "_rep").agg(*[getattr(F, how)(x).alias(x) for x in names])
 
 
 def level_sums(part: pd.DataFrame, before: np.ndarray, k: np.ndarray, total: np.ndarray) -> np.ndarray:

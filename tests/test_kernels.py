@@ -191,3 +191,22 @@ def test_forest_of_hyperplanes_finds_the_nearest(spark):
     small = df.where("id < 140")
     exact = knn(small, "id", "v", 5).toPandas().sort_values(["qid", "rank"])[["qid", "did"]].to_numpy()
     assert (knn_forest(small, "id", "v", 5, leaf=150).toPandas().sort_values(["qid", "rank"])[["qid", "did"]].to_numpy() == exact).all()
+
+
+@pytest.mark.parametrize("metric", ["ks", "wasserstein", "tv"])
+def test_subsample_distances_of_all_rows_but_one(spark, metric):
+    """With one row left out each distance is one of a few known numbers, and all of them show."""
+    from statweave.operators import represent as P
+    x = np.array([1.0, 1.0, 1.0, 2.0, 2.0, 4.0, 7.0, 7.0, 7.0, 11.0])
+    df = spark.createDataFrame([(float(v),) for v in x] + [(None,)], "v double").repartition(3)
+    grid = np.unique(x)
+    ecdf = lambda s: np.searchsorted(np.sort(s), grid, side="right") / len(s)
+    want = set()
+    for i in range(len(x)):
+        gap = np.abs(ecdf(np.delete(x, i)) - ecdf(x))
+        share = np.array([(np.delete(x, i) == g).mean() - (x == g).mean() for g in grid])
+        want.add(round({"ks": gap.max(), "wasserstein": float(np.sum(gap[:-1] * np.diff(grid))), "tv": np.abs(share).sum() / 2}[metric], 9))
+    got = P.distances(df, "v", 200, [3, 9, 10, 50], metric).toPandas()
+    assert sorted(got.n.unique()) == [3, 9] and got.groupby("n").r.nunique().tolist() == [200, 200]
+    assert set(got[got.n == 9].d.round(9)) == want and got[got.n == 3].d.mean() > got[got.n == 9].d.mean()
+    assert P.distance_curve(df.where("v is null"), "v", metric=metric).count() == 0

@@ -1,8 +1,11 @@
 """Choosing, exploring and shaking: compatibility, shortlists, scans, robustness, representativeness."""
+import math
+
 from pyspark.sql import functions as F
 
 from statweave.operators import advise as V, compat as C, explore as E, represent as P, robust as B
 from statweave.operators.run import run_test
+from statweave.plans.cumulate import cumulate
 from statweave.spec import Spec
 from workload.registry import query
 
@@ -173,19 +176,35 @@ def _(t):
     return r.select(F.round("statistic", 6).alias("statistic"))
 
 
-@query("t1201_representative_ks")
+_LADDER = "z as (select count(*)::double total from orders), n as (select distinct floor(100*pow(total/100, i/9.0) + 1e-9)::int n from z, range(9) g(i) where total > 100)"
+
+
+def _near(curve, total, scale, low, high):
+    """Is the mean distance within these multiples of what sampling theory says: scale x sqrt((1 - n / total) / n)?"""
+    want = F.lit(scale) * F.sqrt((1 - F.col("n") / total) / F.col("n"))
+    return curve.select("n", "metric", (F.col("mean").between(low * want, high * want) & (F.col("lo") <= F.col("mean")) & (F.col("mean") <= F.col("hi"))).alias("as_theory"))
+
+
+@query("t1201_representative_ks", f"with {_LADDER} select n, 'ks' metric, true as_theory from n")
 def _(t):
-    return P.distance_curve(t.orders, "o_totalprice", ["o_orderkey"], repeats=10)
+    return _near(P.distance_curve(t.orders, "o_totalprice"), t.orders.count(), 0.8687, 0.6, 1.5)          # mean of the Kolmogorov law
 
 
-@query("t1202_representative_tv")
+@query("t1202_representative_tv", f"with {_LADDER} select n, 'tv' metric, true as_theory from n")
 def _(t):
-    return P.distance_curve(t.orders, "o_orderpriority", ["o_orderkey"], repeats=10)
+    total = t.orders.count()
+    share = t.orders.groupBy("o_orderpriority").agg((F.count(F.lit(1)) / total).alias("q"))
+    scale = share.agg(F.sum(F.sqrt(F.col("q") * (1 - F.col("q"))))).first()[0] * (2 / math.pi) ** 0.5 / 2      # mean absolute deviations of shares
+    return _near(P.distance_curve(t.orders, "o_orderpriority"), total, scale, 0.5, 1.7)
 
 
-@query("t1203_representative_wasserstein")
+@query("t1203_representative_wasserstein", f"with {_LADDER} select n, 'wasserstein' metric, true as_theory from n")
 def _(t):
-    return P.distance_curve(t.orders, "o_totalprice", ["o_orderkey"], repeats=3, metric="wasserstein")
+    total = t.orders.count()
+    steps = cumulate(t.orders, "o_totalprice", {"n": F.count(F.lit(1))}, lead=True)
+    f = (F.col("cum_n") + F.col("n")) / F.col("tot_n")
+    scale = steps.agg(F.sum(F.sqrt(F.greatest(F.lit(0.0), f * (1 - f))) * (F.col("next_value") - F.col("o_totalprice")))).first()[0] * (2 / math.pi) ** 0.5
+    return _near(P.distance_curve(t.orders, "o_totalprice", metric="wasserstein"), total, scale, 0.5, 1.9)
 
 
 @query("t1204_picked_vs_rest")
