@@ -3,9 +3,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from statweave.plans.common import levels_of, natural_order, ratio
+from statweave.plans.order import numbered
 
 c = F.col
 
@@ -13,15 +14,10 @@ c = F.col
 def label_levels(df: DataFrame, col: str) -> DataFrame:
     """value, n, ratio and a default code by frequency (ties by value).
 
-    Levels are numbered inside frequency classes; a class's offset is the number of levels in larger ones, so no task sees all levels."""
+    Levels are numbered by ranges of (n, value), so no task sees all levels, or all that occur once."""
     counts = df.select(c(col).cast("string").alias("value")).where("value is not null").groupBy("value").agg(F.count(F.lit(1)).alias("n"))
-    sizes = counts.groupBy("n").agg(F.count(F.lit(1)).alias("levels"))                      # about sqrt(2 x rows) classes at most
-    larger = Window.partitionBy(F.lit(0)).orderBy(c("n").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    ahead = sizes.select(c("n").alias("_n"), F.coalesce(F.sum("levels").over(larger), F.lit(0)).alias("_ahead"))
     total = counts.agg(F.sum("n").alias("t")).scalar()
-    place = F.row_number().over(Window.partitionBy("n").orderBy("value"))
-    return counts.withColumn("_k", place).join(ahead, c("n") == c("_n")).select(
-        "value", "n", ratio(c("n"), total).alias("ratio"), (c("_k") - 1 + c("_ahead")).cast("int").alias("code"))
+    return numbered(counts, [c("n").desc(), c("value")]).select("value", "n", ratio(c("n"), total).alias("ratio"), c("_g").cast("int").alias("code"))
 
 
 def label_code(col: str, mapping: dict[str, str]) -> Column:

@@ -3,11 +3,14 @@ from __future__ import annotations
 
 import json
 from collections.abc import Sequence
+from functools import reduce
 from pathlib import PurePosixPath
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
+from statweave.plans.order import block_ranges, numbered
+
 
 c = F.col
 FORMATS = {".csv": ("csv", ","), ".tsv": ("csv", "\t"), ".parquet": ("parquet", None)}
@@ -52,41 +55,32 @@ def estimate_rows(spark: SparkSession, path: str, probe: int = 200) -> int:
 
 
 def sample_blocks(df: DataFrame, order: Sequence[str], n: int = 10_000, blocks: int = 3) -> DataFrame:
-    """``n`` rows from ``blocks`` equally spaced runs of the ordered table (front, middle, back), so
-    a table sorted by batch is not judged by its head.
-
-    The global position comes from per-range counts: rows are range-partitioned by the order
-    key and numbered inside each range only."""
+    """Exactly ``n`` rows (all of a smaller table) from ``blocks`` equally spaced runs of the ordered table (front, middle, back), so a table sorted by batch is not judged by its head."""
     total = df.count()
     if total <= n:
         return df
-    per = [n // blocks + (b < n % blocks) for b in range(blocks)]
-    starts = [total * b // blocks for b in range(blocks)]
-    first = order[0]
-    src = df.withColumn("_o", F.struct(*order))
-    spread = max(1, -(-total // 1_000_000))
-    kind = dict(df.dtypes)[first]
-    if spread > 1:
-        from statweave.plans.cumulate import add_bucket, value_cuts
-        if kind == "string":                        # the first six bytes, as a number, order as the text does
-            code = F.conv(F.rpad(F.hex(F.substring(F.encode(first, "UTF-8"), 1, 6)), 12, "0"), 16, 10).cast("double")
-        elif kind in ("date", "timestamp", "timestamp_ntz"):
-            code = c(first).cast("timestamp").cast("double")
-        else:
-            code = c(first).cast("double")
-        src = src.withColumn("_ov", code)
-        src = add_bucket(src, "_ov", value_cuts(src, "_ov")).drop("_ov")
-    else:
-        src = src.withColumn("_bucket", F.lit(0.0))
-    counts = src.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_c"))
-    offs = counts.select(c("_bucket").alias("_b2"), F.coalesce(F.sum("_c").over(
-        Window.partitionBy(F.lit(0)).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"))
-    pos = src.withColumn("_p", F.row_number().over(Window.partitionBy("_bucket").orderBy("_o")))
-    pos = pos.join(F.broadcast(offs), c("_bucket") == c("_b2")).withColumn("_g", c("_p") + c("_off") - 1)
-    keep = F.lit(False)
-    for s, k in zip(starts, per):
-        keep = keep | c("_g").between(s, s + k - 1)
-    return pos.where(keep).select(*df.columns)
+    pos = numbered(df, [c(v) for v in order], total)
+    return pos.where(_within("_g", block_ranges(total, n, blocks))).select(*df.columns)
+
+
+def _within(col: str, ranges: Sequence[tuple[int, int]]):
+    return reduce(lambda a, b: a | b, [c(col).between(lo, hi) for lo, hi in ranges], F.lit(False))
+
+
+def sample_rows(spark: SparkSession, path: str, n: int = 10_000, blocks: int = 3, columns: Sequence[str] | None = None) -> DataFrame:
+    """As ``sample_blocks``, in the order of the rows in the files of a parquet table: rows are known by their place in their file, so nothing is sorted or shuffled."""
+    fmt, _ = _format(path)
+    if fmt != "parquet":
+        raise ValueError("rows of text tables have no place of their own: read the table and use sample_blocks")
+    df = read_table(spark, path)
+    sizes = df.groupBy(c("_metadata.file_path").alias("f")).agg(F.count(F.lit(1)).alias("n")).orderBy("f").collect()       # a row per file
+    offsets, total = [], 0
+    for r in sizes:
+        offsets.append((r["f"], total))
+        total += r["n"]
+    src = df.select("*", c("_metadata.file_path").alias("_f"), c("_metadata.row_index").alias("_i"))
+    src = src.join(F.broadcast(spark.createDataFrame(offsets, "_f2 string, _off long")), c("_f") == c("_f2")).withColumn("_g", c("_i") + c("_off"))
+    return src.where(_within("_g", block_ranges(total, n, blocks))).select(*(columns or df.columns))
 
 
 def hash_sample(df: DataFrame, key: Sequence[str], fraction: float, seed: int = 0) -> DataFrame:

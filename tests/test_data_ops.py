@@ -240,6 +240,33 @@ def test_block_sample_is_whole(spark):
         assert len(ids) == 100 and ids[:34] == list(range(34)) and ids[34:67] == list(range(333, 366)) and ids[67:] == list(range(666, 699))
 
 
+def test_block_sample_has_exactly_n_rows(spark, buckets, tmp_path):
+    from statweave.plans.order import block_ranges
+    for total in (7, 100, 10_001):
+        for blocks in (1, 2, 3, 4, 5):
+            for n in {1, 2, total // 2, total - 2, total - 1, total, total + 5}:
+                rows = [i for lo, hi in block_ranges(total, n, blocks) for i in range(lo, hi + 1)]
+                assert len(rows) == len(set(rows)) == min(n, total) and 0 <= min(rows) and max(rows) < total
+    df = spark.range(301).select("id", F.timestamp_seconds(c("id") * 60).alias("at"), F.format_string("one long beginning of all keys %06d", "id").alias("name"), F.lit("same").alias("one")).repartition(5)
+    for key in ("id", "at", "name", "one"):
+        for blocks in (2, 3, 4, 5):
+            ids = [r["id"] for r in S.sample_blocks(df, [key], n=300, blocks=blocks).collect()]
+            assert len(ids) == len(set(ids)) == 300
+    df.write.parquet(f"{tmp_path}/t.parquet")
+    back = spark.read.parquet(f"{tmp_path}/t.parquet")
+    order = [r["id"] for r in back.select("id", "_metadata.file_path", "_metadata.row_index").orderBy("file_path", "row_index").collect()]
+    got = {r["id"] for r in S.sample_rows(spark, f"{tmp_path}/t.parquet", n=30, columns=["id"]).collect()}
+    assert got == set(order[:10] + order[100:110] + order[200:210]) and S.sample_rows(spark, f"{tmp_path}/t.parquet", n=300, blocks=4).count() == 300
+    with pytest.raises(ValueError):
+        S.sample_rows(spark, "t.csv")
+
+
+def test_label_levels_that_all_occur_once(spark, buckets):
+    rows = spark.range(500).select(F.format_string("level %05d", "id").alias("v")).union(spark.createDataFrame([("often",)] * 3 + [(None,)], "v string")).repartition(4)
+    codes = {r["value"]: (r["code"], r["n"]) for r in labels.label_levels(rows, "v").collect()}
+    assert codes == {"often": (0, 3)} | {f"level {i:05d}": (i + 1, 1) for i in range(500)}
+
+
 def test_power_transform_searches_as_far_as_it_must(spark):
     z = np.random.default_rng(4).normal(30, 4, 4000)
     df = spark.createDataFrame([(float(v) ** 0.2,) for v in np.abs(z)], "v double")

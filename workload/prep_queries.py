@@ -33,6 +33,18 @@ def _(t):
     return S.sample_blocks(t.orders.select("o_orderkey", "o_totalprice"), ["o_orderkey"], n=900)
 
 
+@query("sample_rows_near_all", """with o as (select o_orderkey, row_number() over (order by o_orderpriority, o_orderkey) - 1 i, count(*) over () n from orders)
+  select o_orderkey from o where i <> n - 1""")                                   # all rows but one in two runs, by a text key with few values
+def _(t):
+    return S.sample_blocks(t.orders.select("o_orderkey", "o_orderpriority"), ["o_orderpriority", "o_orderkey"], n=t.orders.count() - 1, blocks=2).select("o_orderkey")
+
+
+@query("sample_rows_of_file", """with o as (select o_orderkey, o_totalprice, row_number() over () - 1 i, count(*) over () n from orders)
+  select o_orderkey, o_totalprice from o where (i >= 0 and i < 300) or (i >= n // 3 and i < n // 3 + 300) or (i >= n * 2 // 3 and i < n * 2 // 3 + 300)""")
+def _(t):
+    return S.sample_rows(t.spark, f"{t.dir}/orders.parquet", n=900, columns=["o_orderkey", "o_totalprice"])
+
+
 @query("transpose", """with g as (select o_orderpriority k, count(*) n, sum(o_custkey) s from orders group by 1),
   l as (select k, 'n' as column, n::varchar v from g union all select k, 's', s::varchar from g)
   select "column", max(v) filter (k='1-URGENT') "1-URGENT", max(v) filter (k='2-HIGH') "2-HIGH", max(v) filter (k='3-MEDIUM') "3-MEDIUM",
