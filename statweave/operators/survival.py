@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from statweave.functions import distributions as D
 from statweave.operators.regression import _fit_rows, _paste
 from statweave.plans.common import levels_of, num, ratio, result, sq
-from statweave.plans.cumulate import cumulate, value_cuts
+from statweave.plans.cumulate import add_bucket, cumulate, value_cuts
 from statweave.plans.gram import design, per_row
 from statweave.plans.newton import Fit, newton, with_theta
 
@@ -154,8 +154,8 @@ def rmst(df, time, group, event=None, by=(), alternative="two-sided", levels=Non
 
 
 # ------------------------------------------------------------------ Cox model
-def _risk_sums(rows: DataFrame, names, th, by, cuts) -> DataFrame:
-    """Per time: event sums and the risk-set sums of exp(xb) times 1, x, xx."""
+def _risk_sums(rows: DataFrame, names, th, by, cuts=None) -> DataFrame:
+    """Per time: event sums and the risk-set sums of exp(xb) times 1, x, xx. Rows laid out by ``_time_bucket`` stay where they are."""
     k = len(names)
     xb = sum((t * c(v) for t, v in zip(th, names)), F.lit(0.0))
     r = rows.withColumn("_xb", xb).withColumn("_e", F.exp("_xb") * c("w"))
@@ -165,7 +165,8 @@ def _risk_sums(rows: DataFrame, names, th, by, cuts) -> DataFrame:
         sums[f"d{i}"] = F.sum(c("d") * c(names[i]))
         for j in range(i, k):
             sums[f"s{i}_{j}"] = F.sum(c("_e") * c(names[i]) * c(names[j]))
-    t = cumulate(r, "t", sums, by, cuts=cuts)
+    laid_out = "_time_bucket" in rows.columns
+    t = cumulate(r, "t", sums, by, cuts=cuts, bucket="_time_bucket" if laid_out else None, laid_out=laid_out)
     risk = {m: c(f"tot_{m}") - c(f"cum_{m}") for m in sums if m.startswith("s")}
     return t.select(*by, "t", *[m for m in sums if m.startswith("d")], *[v.alias(m) for m, v in risk.items()]).where("d > 0")
 
@@ -186,11 +187,14 @@ def cox_fits(df, time, x, event=None, by=(), levels=None) -> tuple[dict[tuple, F
     else:
         labels = list(xs)
         rows = rows.groupBy(*by, "t", *names).agg(F.count(F.lit(1)).cast("double").alias("w"), F.sum("d").alias("d"))
+    # laid out once by time bucket: each Newton step scans the buckets in place and shares a row per bucket
     cuts = value_cuts(rows, "t")
+    spread = max(len(cuts) + 1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) if by else 1)
+    rows = add_bucket(rows.withColumns({v: c(v).cast("string") for v in by}), "t", cuts, "_time_bucket").withColumn("_time_bucket", c("_time_bucket").cast("int")).repartition(spread, *by, "_time_bucket")
     k = len(names)
 
     def totals(r, th):
-        t = _risk_sums(r, names, th, by, cuts)
+        t = _risk_sums(r, names, th, by)
         aggs = [F.sum(c("dx") - c("d") * F.ln("s")).alias("ll")]
         aggs += [F.sum(c(f"d{i}") - c("d") * c(f"s{i}") / c("s")).alias(f"g{i}") for i in range(k)]
         aggs += [F.sum(-c("d") * (c(f"s{i}_{j}") / c("s") - c(f"s{i}") * c(f"s{j}") / sq(c("s")))).alias(f"h{i}_{j}")

@@ -46,10 +46,11 @@ def add_bucket(df: DataFrame, value: str, cuts: Sequence[float], out: str = "_bu
 
 def cumulate(df: DataFrame, value: str, sums: dict[str, Column], by: Sequence[str] = (),
              cuts: Sequence[float] | None = None, lead: bool = False,
-             bucket: str | None = None) -> DataFrame:
+             bucket: str | None = None, laid_out: bool = False) -> DataFrame:
     """One row per (by, distinct value): each sum, its exclusive running total ``cum_*`` and the
     stratum total ``tot_*``; ``next_value`` too when ``lead`` is set.  ``bucket`` names a column
-    that is already a monotone function of the value inside each stratum."""
+    that is already a monotone function of the value inside each stratum; with ``laid_out`` the rows
+    are partitioned by (by, bucket) as well, and nothing but a row per bucket moves."""
     by = list(by)
     src = df.where(F.col(value).isNotNull())
     if cuts is None and bucket is None:
@@ -82,7 +83,7 @@ def cumulate(df: DataFrame, value: str, sums: dict[str, Column], by: Sequence[st
     e = edge.select(*[F.col(c).alias(f"_e_{c}") for c in by + ["_bucket"]],
                     *[c for c in edge.columns if c not in by + ["_bucket"]])
     cond = [run[c].eqNullSafe(e[f"_e_{c}"]) for c in by + ["_bucket"]]
-    out = run.join(e, cond)
+    out = run.join(F.broadcast(e) if laid_out else e, cond)
     cols = [*by, value, *names, *[(F.col(f"cum_{k}") + F.col(f"_off_{k}")).alias(f"cum_{k}") for k in names],
             *[f"tot_{k}" for k in names]]
     if lead:

@@ -138,10 +138,19 @@ def at_rest(src, more=""):
     return f"select 1.0::double converged, 0.0::double gradient, count(*) as rows{more} from {src}"
 
 
-@query("t801_logistic_numeric", at_rest("labels join documents using (doc_id) where quality is not null and n_chars is not null"))
+#: Newton's steps in SQL, from the likelihood's definition: the estimate itself is compared, not only that a score is nought.
+_LOGIT_STEPS = """with recursive rows_ as (select quality::double y, n_chars/1000.0 x from labels join documents using (doc_id) where quality is not null and n_chars is not null),
+  it(i, a, b) as (select 0, 0.0::double, 0.0::double union all
+    select i + 1, a + (h11*g0 - h01*g1)/(h00*h11 - h01*h01), b + (h00*g1 - h01*g0)/(h00*h11 - h01*h01) from (
+      select i, a, b, sum(y-p) g0, sum((y-p)*x) g1, sum(p*(1-p)) h00, sum(p*(1-p)*x) h01, sum(p*(1-p)*x*x) h11
+      from (select it.i, it.a, it.b, y, x, 1/(1+exp(-(it.a+it.b*x))) p from it, rows_ where it.i < 20) group by i, a, b))
+  select 1.0::double converged, 0.0::double gradient, (select count(*) from rows_) as rows, round(exp(b), 6) effect from it where i = 20"""
+
+
+@query("t801_logistic_numeric", _LOGIT_STEPS)
 def _(t):
     src = t.labels.join(t.documents.select("doc_id", "n_chars"), "doc_id").withColumn("k", c("n_chars") / 1000.0)
-    return stationary(G.logistic(src, "quality", "k"))
+    return stationary(G.logistic(src, "quality", "k"), F.round(c("effect.value"), 6).alias("effect"))
 
 
 @query("t802_ols", """with p as (select l_extendedprice y, l_quantity x from lineitem where l_extendedprice is not null and l_quantity is not null),
@@ -243,9 +252,17 @@ def _(t):
     return rd(S.rmst(follow_up(t).where(c("o_orderstatus").isin("F", "O")), "days", "o_orderstatus", "event", levels=["F", "O"]), st=5, ef=5)
 
 
-@query("t807_cox_numeric", f"with {FU} " + at_rest("fu", ", sum(d)::bigint events"))
+_COX_STEPS = f"""with recursive {FU}, it(i, b) as (select 0, 0.0::double union all
+    select i + 1, b + sum(d*(x - r1/r0))/sum(d*(r2/r0 - r1*r1/(r0*r0))) from (
+      select i, b, d, x, sum(e) over w r0, sum(e*x) over w r1, sum(e*x*x) over w r2
+      from (select it.i, it.b, t, d, price x, exp(it.b*price) e from it, fu where it.i < 12)
+      window w as (order by t desc range between unbounded preceding and current row)) group by i, b)
+  select 1.0::double converged, 0.0::double gradient, (select count(*) from fu) as rows, (select sum(d)::bigint from fu) events, round(exp(b), 6) effect from it where i = 12"""
+
+
+@query("t807_cox_numeric", _COX_STEPS)
 def _(t):
-    return stationary(S.cox(follow_up(t), "days", "price", "event"), c("n")["events"].alias("events"))
+    return stationary(S.cox(follow_up(t), "days", "price", "event"), c("n")["events"].alias("events"), F.round(c("effect.value"), 6).alias("effect"))
 
 
 @query("t904_cox_groups", f"with {FU} " + at_rest("fu", ", sum(d)::bigint events"))
