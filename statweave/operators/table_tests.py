@@ -8,26 +8,29 @@ from pyspark.sql import DataFrame, Window, functions as F
 from statweave.functions import distributions as D
 from statweave.operators.rank_tests import level_scores
 from statweave.plans.common import levels_of, num, ratio, result, sq, two_levels
-from statweave.plans.contingency import crosstab, with_margins
+from statweave.plans.contingency import crosstab, observed, shape, with_margins
 
 c = F.col
 
 
 def _summary(df, y, group, by) -> DataFrame:
     """Per stratum: chi2, Yates chi2, G, table shape, total, and the four cells when 2x2."""
-    g = with_margins(crosstab(df.dropna(subset=list(by)) if by else df, y, group, by), by)
-    o, e = c("o").cast("double"), c("e")
-    part = Window.partitionBy(*(by or [F.lit(0)]))
-    g = g.select("*", F.dense_rank().over(part.orderBy("a")).alias("_i"),
-                 F.dense_rank().over(part.orderBy("b")).alias("_j"))
-    cell = lambda i, j: F.sum(F.when((c("_i") == i) & (c("_j") == j), c("o")))
-    step = F.least(F.lit(0.5), F.abs(o - e))
+    by = list(by)
+    cells = crosstab(df.dropna(subset=by) if by else df, y, group, by)
+    size = shape(cells, by)
+    g = observed(cells, by)
+    g = g.join(size, by) if by else g.crossJoin(F.broadcast(size))
+    o, e = c("o").cast("double"), c("row_n").cast("double") * c("col_n") / c("n")
+    cell = lambda a, b: F.coalesce(F.sum(F.when((c("a") == c(f"a_{a}")) & (c("b") == c(f"b_{b}")), c("o"))), F.lit(0))
     s = g.groupBy(*by).agg(
-        F.sum(ratio(sq(o - e), e)).alias("pearson"), F.sum(ratio(sq(F.abs(o - e) - step), e)).alias("yates"),
-        F.sum(F.when(o > 0, 2 * o * F.ln(o / e))).alias("g"), F.max("_r").alias("r"), F.max("_c").alias("k"),
-        F.max("n").alias("n"), F.sum((e < 5).cast("long")).alias("small"),
-        F.max(F.abs(o / c("col_n") - c("row_n") / c("n"))).alias("gap"),
-        cell(1, 1).alias("a"), cell(1, 2).alias("b"), cell(2, 1).alias("c"), cell(2, 2).alias("d"))
+        F.sum(sq(o) / e).alias("_q"), F.sum(2 * o * F.ln(o / e)).alias("g"), *[F.max(k).alias(k) for k in ("n", "r", "k", "small")],
+        F.greatest(F.max(F.abs(o / c("col_n") - c("row_n") / c("n"))), F.max("bare")).alias("gap"),
+        cell("first", "first").alias("a"), cell("first", "last").alias("b"), cell("last", "first").alias("c"), cell("last", "last").alias("d"))
+    # sum of (o - e)^2 / e over all cells, empty ones too, is sum of o^2 / e less n; in a 2x2 table all |o - e| are equal
+    apart = F.abs(c("a").cast("double") * c("d") - c("b").cast("double") * c("c")) / c("n")
+    sides = (c("a") + c("b")).cast("double") * (c("c") + c("d")) * (c("a") + c("c")) * (c("b") + c("d"))
+    s = s.select("*", F.greatest(F.lit(0.0), c("_q") - c("n")).alias("pearson"),
+                 F.coalesce(ratio(sq(apart - F.least(F.lit(0.5), apart)) * F.pow(c("n").cast("double"), F.lit(3.0)), sides), F.lit(0.0)).alias("yates"))
     two = (c("r") == 2) & (c("k") == 2)
     df_ = (c("r") - 1) * (c("k") - 1)
     return s.select("*", two.alias("two"), df_.alias("df"),

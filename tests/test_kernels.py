@@ -210,3 +210,26 @@ def test_subsample_distances_of_all_rows_but_one(spark, metric):
     assert sorted(got.n.unique()) == [3, 9] and got.groupby("n").r.nunique().tolist() == [200, 200]
     assert set(got[got.n == 9].d.round(9)) == want and got[got.n == 3].d.mean() > got[got.n == 9].d.mean()
     assert P.distance_curve(df.where("v is null"), "v", metric=metric).count() == 0
+
+
+def test_contingency_from_observed_cells(spark):
+    from statweave.operators import table_tests as T
+    rng = np.random.default_rng(6)
+    rows = [("wide", f"a{rng.zipf(1.5) % 30}", f"b{rng.zipf(1.4) % 40}") for _ in range(400)] + [("two", "x", "p")] * 9 + [("two", "y", "q")] * 4 + [("two", "x", "q")] * 3 + [("hole", "x", "p")] * 5 + [("hole", "y", "q")] * 7 + [("hole", None, "q"), (None, "x", "p")]
+    df = spark.createDataFrame(rows, "s string, y string, g string")
+    got = {r["s"]: r for r in T._summary(df, "y", "g", ["s"]).collect()}
+    assert set(got) == {"wide", "two", "hole"}
+    for s, r in got.items():
+        t = pd.crosstab(pd.Series([y for k, y, g in rows if k == s and y]), pd.Series([g for k, y, g in rows if k == s and y]))
+        o = t.to_numpy(float)
+        e = o.sum(1, keepdims=True) * o.sum(0, keepdims=True) / o.sum()
+        d = np.abs(o - e)
+        assert r["pearson"] == pytest.approx((d ** 2 / e).sum()) and r["g"] == pytest.approx(2 * (o[o > 0] * np.log(o[o > 0] / e[o > 0])).sum())
+        assert (r["r"], r["k"], r["n"], r["small"]) == (*o.shape, o.sum(), (e < 5).sum())
+        assert r["gap"] == pytest.approx(np.abs(o / o.sum(0) - o.sum(1, keepdims=True) / o.sum()).max())
+        if o.shape == (2, 2):
+            assert r["yates"] == pytest.approx(((d - np.minimum(0.5, d)) ** 2 / e).sum()) and [r[v] for v in "abcd"] == o.ravel().tolist()
+    one = T._summary(df.where("s = 'wide'"), "y", "g", []).first()
+    assert one["pearson"] == pytest.approx(got["wide"]["pearson"]) and one["small"] == got["wide"]["small"]
+    plan = T._summary(df, "y", "g", [])._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan
