@@ -3,11 +3,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import NumericType
 
-from statweave.plans.common import num, ratio
+from statweave.plans.common import cut_lineage, num, ratio
 from statweave.plans.cumulate import quantiles
 
 c = F.col
@@ -30,9 +31,12 @@ def _differs(a: Column, b: Column) -> Column:
 
 def compare(a: DataFrame, b: DataFrame, key: Sequence[str] | str, columns: Sequence[str] | None = None,
             pairs: dict[str, str] | None = None) -> TableDiff:
-    """Full outer join on the key with null-safe cell comparison.  ``pairs`` links a column of ``a``
-    to its renamed twin in ``b``.  Keys occurring more than once have no unique partner: they are
-    listed, and only uniquely keyed rows have their cells compared."""
+    """Null-safe cell comparison of rows that share a key.  ``pairs`` links a column of ``a`` to its
+    renamed twin in ``b``.  Keys occurring more than once have no unique partner: they are listed, and
+    only uniquely keyed rows have their cells compared.  A null key matches nothing.
+
+    Both tables go through one grouped union: per key the rows of each side and what changed, written
+    once; all parts of the answer read that."""
     key = [key] if isinstance(key, str) else list(key)
     for k in key:
         if k not in a.columns or k not in b.columns:
@@ -42,27 +46,32 @@ def compare(a: DataFrame, b: DataFrame, key: Sequence[str] | str, columns: Seque
     mapped = {x: y for x, y in mapped.items() if y in b.columns}
     clean = lambda df, v: num(v) if dict(df.dtypes)[v] in ("double", "float") else c(v)
     names = list(mapped)
-    ak = a.select(*[c(k).cast("string").alias(f"k{i}") for i, k in enumerate(key)], *[clean(a, x).alias(f"a{i}") for i, x in enumerate(names)])
-    bk = b.select(*[c(k).cast("string").alias(f"k{i}") for i, k in enumerate(key)], *[clean(b, mapped[x]).alias(f"b{i}") for i, x in enumerate(names)])
     ks = [f"k{i}" for i in range(len(key))]
     back = lambda df: df.withColumnsRenamed(dict(zip(ks, key)))
-    dup_a = ak.groupBy(*ks).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*ks, F.lit("a").alias("side"), "n")
-    dup_b = bk.groupBy(*ks).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*ks, F.lit("b").alias("side"), "n")
-    dups = dup_a.unionByName(dup_b)
-    twice = dups.select(*ks).distinct()
-    only_b = bk.select(*ks).distinct().join(ak.select(*ks).distinct(), ks, "left_anti").withColumn("side", F.lit("b"))
-    only_a = ak.select(*ks).distinct().join(bk.select(*ks).distinct(), ks, "left_anti").withColumn("side", F.lit("a"))
-    rows = only_a.unionByName(only_b)
-    left, right = ak.join(twice, ks, "left_anti"), bk.join(twice, ks, "left_anti")
-    both = left.join(right, ks)
-    flags = [_differs(c(f"a{i}"), c(f"b{i}")) for i in range(len(names))]
+
+    def side(df: DataFrame, s: str, cols: Sequence[str]) -> DataFrame:
+        cells = F.struct(F.lit(0).alias("_"), *[clean(df, x).alias(f"v{i}") for i, x in enumerate(cols)])
+        keys = df.select(*[c(k).cast("string").alias(f"k{i}") for i, k in enumerate(key)], cells.alias(f"r{s}"))
+        lone = reduce(lambda x, y: x | y, [c(k).isNull() for k in ks])
+        return keys.select(*ks, F.when(lone, s).otherwise("").alias("_lone"), F.lit(s).alias("_s"), f"r{s}").withColumn(f"n{s}", F.lit(1))
+
+    union = side(a, "a", names).unionByName(side(b, "b", [mapped[x] for x in names]), allowMissingColumns=True)
+    grouped = union.groupBy(*ks, "_lone").agg(F.count("na").alias("n_a"), F.count("nb").alias("n_b"), F.first("ra", ignorenulls=True).alias("ra"), F.first("rb", ignorenulls=True).alias("rb"))
+    flags = [_differs(c(f"ra.v{i}"), c(f"rb.v{i}")) for i in range(len(names))]
     numeric = [isinstance(a.schema[x].dataType, NumericType) and isinstance(b.schema[mapped[x]].dataType, NumericType) for x in names]
+    nothing = F.expr("cast(array() as array<struct<column:string,`from`:string,to:string,gap:double>>)")
     changed = F.array_compact(F.array(*[F.when(f, F.struct(
-        F.lit(x).alias("column"), c(f"a{i}").cast("string").alias("from"), c(f"b{i}").cast("string").alias("to"),
-        (F.abs(c(f"a{i}").cast("double") - c(f"b{i}").cast("double")) if numeric[i] else F.lit(None).cast("double")).alias("gap")))
-        for i, (x, f) in enumerate(zip(names, flags))])) if names else F.expr("cast(array() as array<struct<column:string,`from`:string,to:string,gap:double>>)")
-    cells = both.select(*ks, F.explode(changed).alias("r")).select(*ks, "r.*")
-    size = both.agg(F.count(F.lit(1)).alias("n"), *[F.coalesce(F.sum(f.cast("long")), F.lit(0)).alias(f"d{i}") for i, f in enumerate(flags)])
+        F.lit(x).alias("column"), c(f"ra.v{i}").cast("string").alias("from"), c(f"rb.v{i}").cast("string").alias("to"),
+        (F.abs(c(f"ra.v{i}").cast("double") - c(f"rb.v{i}").cast("double")) if numeric[i] else F.lit(None).cast("double")).alias("gap")))
+        for i, (x, f) in enumerate(zip(names, flags))])) if names else nothing
+    pair = (c("n_a") == 1) & (c("n_b") == 1)
+    keys = cut_lineage(grouped.select(*ks, "n_a", "n_b", F.when(pair, changed).otherwise(nothing).alias("changed")))
+    several = F.filter(F.array(F.struct(F.lit("a").alias("side"), c("n_a").alias("n")), F.struct(F.lit("b").alias("side"), c("n_b").alias("n"))), lambda r: r["n"] > 1)
+    dups = keys.select(*ks, F.explode(several).alias("r")).select(*ks, "r.side", "r.n")
+    rows = keys.where("n_a = 0 or n_b = 0").select(*ks, F.when(c("n_b") == 0, "a").otherwise("b").alias("side"))
+    cells = keys.select(*ks, F.explode("changed").alias("r")).select(*ks, "r.*")
+    size = keys.agg(F.sum(pair.cast("long")).alias("n"), *[F.coalesce(F.sum(F.array_contains(c("changed.column"), x).cast("long")), F.lit(0)).alias(f"d{i}") for i, x in enumerate(names)])
+    size = size.withColumn("n", F.coalesce("n", F.lit(0)))
     spark = a.sparkSession
     per = size.select("n", F.explode(F.array(*[F.struct(F.lit(x).alias("column"), F.lit(mapped[x]).alias("column_b"), c(f"d{i}").alias("n_diff"))
                                                for i, x in enumerate(names)])).alias("r")).select("n", "r.*") if names else None
