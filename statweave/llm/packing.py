@@ -24,7 +24,7 @@ class ChunkCodec:
     A space between two characters that are no white space always begins a pre-token of this vocabulary's splitting rule, so the ids of the chunks, joined,
     are the ids of the text. Texts with other white space beside a space are split at such spaces only. A full memo takes no more chunks."""
 
-    def __init__(self, ranks_path: str, pattern: str, most: int = 200_000):
+    def __init__(self, ranks_path: str, pattern: str, most: int = 100_000):
         import base64
 
         import tiktoken
@@ -118,16 +118,6 @@ class ChunkCodec:
         return ids, tokens, np.flatnonzero(ends) + 1
 
 
-_CODECS: dict[tuple[str, str], ChunkCodec] = {}
-
-
-def codec_for(ranks_path: str, pattern: str) -> ChunkCodec:
-    """One codec in each Python worker, so that tasks go on with its memo."""
-    if (ranks_path, pattern) not in _CODECS:
-        _CODECS[ranks_path, pattern] = ChunkCodec(ranks_path, pattern)
-    return _CODECS[ranks_path, pattern]
-
-
 def slices(text: str) -> Iterator[tuple[bool, str]]:
     """(is it the text's beginning, part): parts of about a million characters that may be encoded apart. The space between two belongs to the second and is left out."""
     at, begins = 0, True
@@ -264,7 +254,7 @@ def pack_documents(docs: DataFrame, ranks_path: str, pattern: str, window: int =
     Null text counts as empty: the document is its end token alone. Null and repeated doc_id are rows like others. Other columns are ignored; no rows give no rows.
     Returns one row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset (and ids)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = codec_for(ranks_path, pattern)
+        codec = ChunkCodec(ranks_path, pattern)                    # its memo ends with the task
         stream = _Stream(window, sentence_penalty, hard_penalty, keep_ids, TaskContext.get().partitionId())
         tail = np.array([end_id], dtype=np.uint32)
 
