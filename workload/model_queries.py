@@ -221,9 +221,14 @@ def _(t):
         F.round("statistic", 6).alias("statistic"))
 
 
-@query("t901_logrank_three_groups_with_hr")
+@query("t901_logrank_three_groups_with_hr", f"""with {FU}, m as (select t, sum(d)::double d, sum(d) filter (g='F')::double df, sum(d) filter (g='O')::double d_o, count(*) n, count(*) filter (g='F') nf, count(*) filter (g='O') n_o from fu group by t),
+  q as (select t, d, coalesce(df, 0) df, coalesce(d_o, 0) d_o, sum(n) over w n, sum(nf) over w nf, sum(n_o) over w n_o from m window w as (order by t desc)),
+  s as (select sum(df-d*nf/n) u1, sum(d_o-d*n_o/n) u2, sum(v*nf/n*(1-nf/n)) v11, sum(v*n_o/n*(1-n_o/n)) v22, -sum(v*nf/n*n_o/n) v12
+    from (select *, case when n > 1 then d*(n-d)/(n-1) else 0 end v from q where d > 0))
+  select round((u1*u1*v22 - 2*u1*u2*v12 + u2*u2*v11)/(v11*v22 - v12*v12), 6) statistic, (select sum(d) from m)::bigint events from s""")
 def _(t):
-    return S.logrank(follow_up(t), "days", "o_orderstatus", "event").select("statistic", "p", "effect", "n")
+    r = S.logrank(follow_up(t), "days", "o_orderstatus", "event")
+    return r.select(F.round("statistic", 6).alias("statistic"), F.aggregate(F.map_values(F.map_filter("n", lambda k, v: k == "events")), F.lit(0).cast("long"), lambda a, x: a + x).alias("events"))
 
 
 @query("t902_gehan", _lr("nr::double", "gehan"))
@@ -270,9 +275,17 @@ def _(t):
     return stationary(S.cox(follow_up(t), "days", "o_orderstatus", "event", test_id="T-904"), c("n")["events"].alias("events"))
 
 
-@query("c11_proportional_hazards")
+_RESIDUALS = _COX_STEPS[:_COX_STEPS.rindex("  select 1.0::double")].rstrip() + """,
+  z as (select t, d, price x, exp(b*price) e from fu, it where i = 12),
+  m as (select t, d, x, sum(e*x) over w / sum(e) over w xbar from z window w as (order by t desc range between unbounded preceding and current row)),
+  v as (select x - xbar res, rank() over (order by t) + (count(*) over (partition by t) - 1)/2.0 rk from m where d = 1)
+  select round(count(*)*pow(corr(res, rk), 2), 5) statistic, round(corr(res, rk), 6) effect, count(*) events from v"""
+
+
+@query("c11_proportional_hazards", _RESIDUALS)
 def _(t):
-    return S.proportional_hazards(follow_up(t), "days", "price", "event").select("statistic", "p", "effect", "n")
+    r = S.proportional_hazards(follow_up(t), "days", "price", "event")
+    return r.select(F.round("statistic", 5).alias("statistic"), F.round(c("effect.value"), 6).alias("effect"), c("n")["events"].alias("events"))
 
 
 @query("sc_cls_15_c_index", f"""with {FU}, a as (select t, d, price, count(*) n from fu group by all),

@@ -10,9 +10,11 @@ c = F.col
 
 
 # ---------------------------------------------------------------- sources
-@query("open_meta")
+@query("open_meta", """with d as (select * from (describe select * from lineitem)), p as (select column_name, column_type, row_number() over () - 1 i from d)
+  select 'parquet' format, i::int "position", column_name "column", case when column_type = 'BIGINT' then 'bigint' when column_type = 'INTEGER' then 'int' when column_type = 'DOUBLE' then 'double'
+    when column_type = 'VARCHAR' then 'string' else 'time' end dtype, (select count(*) from lineitem) n_rows from p""")
 def _(t):
-    return S.open_meta(t.spark, f"{t.dir}/lineitem.parquet")
+    return S.open_meta(t.spark, f"{t.dir}/lineitem.parquet").withColumn("dtype", F.when(c("dtype").startswith("timestamp"), "time").otherwise(c("dtype")))
 
 
 @query("profile_columns", """with p as (
@@ -59,9 +61,12 @@ def _(t):
     return S.transpose_cost(t.orders)
 
 
-@query("table_fingerprint")
+@query("table_fingerprint", """select count(*) n_rows, true reordered_equal, false changed_equal from orders""")
 def _(t):
-    return S.fingerprint(t.orders)
+    own, other = S.fingerprint(t.orders), S.fingerprint(t.orders.repartition(7, "o_custkey").sort(c("o_totalprice").desc()))
+    changed = S.fingerprint(t.orders.withColumn("o_orderstatus", F.when(c("o_orderkey") == t.orders.agg(F.min("o_orderkey")).scalar(), "?").otherwise(c("o_orderstatus"))))
+    same = lambda d, name: (c("hash_sum") == d.select("hash_sum").scalar()).alias(name)
+    return own.select("n_rows", same(other, "reordered_equal"), same(changed, "changed_equal"))
 
 
 @query("compose_summary", """select count(*) n_rows, 6 n_selected, 5 n_analysis, 1 n_held, 2 n_numeric, 2 n_categorical, 1 n_datetime,
@@ -138,11 +143,15 @@ def _(t):
     return O.exclusion_status(t.orders, "o_custkey", _excluded(t)).withColumn("ratio", F.round("ratio", 8))
 
 
-@query("both_ways")
+@query("both_ways", """with x as (select 'all' rows_used, * from orders union all select 'after exclusion', * from orders where o_custkey not in (select c_custkey from customer where c_acctbal < -900)),
+  s as (select rows_used, avg(o_totalprice) filter (o_orderstatus = 'F') m1, var_samp(o_totalprice) filter (o_orderstatus = 'F') v1, count(*) filter (o_orderstatus = 'F') n1,
+    avg(o_totalprice) filter (o_orderstatus = 'O') m2, var_samp(o_totalprice) filter (o_orderstatus = 'O') v2, count(*) filter (o_orderstatus = 'O') n2 from x group by 1),
+  z as (select rows_used, (m1-m2)/sqrt(v1/n1+v2/n2) t from s)
+  select rows_used, round(t, 6) statistic, (select bool_or(abs(t) > 1.96) <> bool_and(abs(t) > 1.96) from z) flips from z""")
 def _(t):
     from statweave.spec import Spec
-    return O.both_ways(t.orders, Spec(y="o_totalprice", group="o_orderstatus", levels=("F", "O")), "T-101", "o_custkey", _excluded(t)).select(
-        "rows_used", "statistic", "p", "flips")
+    r = O.both_ways(t.orders, Spec(y="o_totalprice", group="o_orderstatus", levels=("F", "O")), "T-101", "o_custkey", _excluded(t))
+    return r.select("rows_used", F.round("statistic", 6).alias("statistic"), "flips")
 
 
 @query("outlying_points", """with f as (select l_returnflag g, quantile_cont(l_extendedprice, 0.25) a, quantile_cont(l_extendedprice, 0.75) b from
@@ -360,9 +369,16 @@ def _(t):
     return P.repeat_candidates(t.orders, ["o_orderkey", "o_custkey"])
 
 
-@query("impute_knn")
+@query("impute_knn", """with s as (select s_suppkey k, case when s_suppkey % 6 <> 0 then s_acctbal end a, s_nationkey::double b, case when s_suppkey % 4 <> 0 then s_acctbal * 2 end d from supplier),
+  p as (select x.k, y.a ya, y.d yd, x.a xa, x.d xd, (coalesce(pow(x.a-y.a, 2), 0) + pow(x.b-y.b, 2) + coalesce(pow(x.d-y.d, 2), 0)) * 3
+      / (1 + case when x.a is not null and y.a is not null then 1 else 0 end + case when x.d is not null and y.d is not null then 1 else 0 end) dist
+    from s x join s y on x.k <> y.k where x.a is null or x.d is null),
+  fa as (select k, avg(ya) v from (select *, row_number() over (partition by k order by dist, ya) r from p where xa is null and ya is not null) where r <= 5 group by k),
+  fd as (select k, avg(yd) v from (select *, row_number() over (partition by k order by dist, yd) r from p where xd is null and yd is not null) where r <= 5 group by k),
+  f as (select coalesce(s.a, fa.v) a, coalesce(s.d, fd.v) d from s left join fa using (k) left join fd using (k))
+  select count(a) a, count(d) d, round(avg(a), 6) mean_a, round(avg(d), 6) mean_d from f""")
 def _(t):
     s = t.supplier.select("s_suppkey", F.when(c("s_suppkey") % 6 != 0, c("s_acctbal")).alias("a"), c("s_nationkey").cast("double").alias("b"),
                           F.when(c("s_suppkey") % 4 != 0, c("s_acctbal") * 2).alias("d"))
     f = M.impute(s, "knn", ["a", "b", "d"], key="s_suppkey")
-    return f.agg(F.count("a").alias("a"), F.count("d").alias("d"), F.avg("a").alias("mean_a"))
+    return f.agg(F.count("a").alias("a"), F.count("d").alias("d"), F.round(F.avg("a"), 6).alias("mean_a"), F.round(F.avg("d"), 6).alias("mean_d"))
