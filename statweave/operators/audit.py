@@ -322,14 +322,16 @@ def roc_pr(df: DataFrame, score: str = "s", label: str = "y", by: Sequence[str]
 
 
 def auc_power(n_pos: int, n_neg: int, ref: float = 0.7, alpha: float = 0.05) -> float:
-    """Power to tell an AUC of ``ref`` from one half (Hanley-McNeil variances)."""
-    if n_pos < 2 or n_neg < 2:
+    """Power to tell an AUC of ``ref`` from one half, both with their variance after Hanley and McNeil (1982)."""
+    if min(n_pos, n_neg) < 2:
         return 0.0
-    q1, q2 = ref / (2 - ref), 2 * ref * ref / (1 + ref)
-    v1 = (ref * (1 - ref) + (n_pos - 1) * (q1 - ref ** 2) + (n_neg - 1) * (q2 - ref ** 2)) / (n_pos * n_neg)
-    v0 = (n_pos + n_neg + 1) / (12 * n_pos * n_neg)
-    z = float(D.norm_ppf(np.array([1 - alpha / 2]))[0])
-    return float(D.norm_sf((z * math.sqrt(v0) - abs(ref - 0.5)) / math.sqrt(v1))) if v1 > 0 else 0.0
+
+    def sd(auc: float) -> float:
+        above_two_negatives, below_two_positives = auc / (2 - auc) - auc ** 2, 2 * auc ** 2 / (1 + auc) - auc ** 2      # covariances of pairs that share one case
+        return math.sqrt((auc * (1 - auc) + (n_pos - 1) * above_two_negatives + (n_neg - 1) * below_two_positives) / n_pos / n_neg)
+
+    critical = float(D.norm_ppf(np.array([1 - alpha / 2]))[0]) * sd(0.5)
+    return float(D.norm_sf((critical - abs(ref - 0.5)) / sd(ref)))
 
 
 def metric_pair(spec: ModelSpec, role: str = "test") -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql.types import NumericType
 
 from statweave.functions import distributions as D
 from statweave.operators.profile import kind_of
-from statweave.plans.common import num, ratio, sq, two_levels
+from statweave.plans.common import cut_lineage, num, ratio, sq, two_levels
 from statweave.plans.cumulate import chunked_agg, column_quantiles
 from statweave.plans.moments import pair_moments
 
@@ -250,7 +250,7 @@ def run_guard(df: DataFrame, types: dict[str, str], group: str | None = None, me
         parts.append(retention_funnel(steps))
     flagged = flag_lost(before, df, key) if before is not None and key else None
     if flagged is not None:
-        flagged = flagged.persist()
+        flagged = cut_lineage(flagged)                                # read by every check of GR-03
         parts.append(biased_loss(flagged, [*([group] if group else []), *meta]))
         if group:
             parts.append(loss_by_group(flagged, group))

@@ -370,15 +370,22 @@ def composition_set(df: DataFrame, name: str, facts: dict[str, dict] | None = No
 
 
 def count_set(df: DataFrame, name: str) -> list[str]:
-    """Non-negative integer columns that form a count composition with ``name``."""
-    facts = column_facts(df)
-    ints = [v for v, f in facts.items() if f["kind"] == "numeric" and f["n"] and f["integer"] and f["min"] >= 0]
-    prefix = re.sub(r"[_\-]?\w?\d*$", "", name)
-    family = [v for v in ints if len(prefix) >= 2 and v.startswith(prefix)]
-    for cand in (family, ints):
-        if len(cand) >= 2 and name in cand:
-            return sorted(cand)
-    raise ValueError(f"{name!r} does not belong to a set of count columns")
+    """Columns whose counts make up a sample together with ``name``: whole numbers from 0 on, with a row total that varies (a constant one is a closed composition, not counts).
+
+    They are the columns that share a word of their names with ``name``, the word that most of them share; without such a word, all count columns. Two aggregations over the table."""
+    numbers = [f.name for f in df.schema.fields if isinstance(f.dataType, NumericType)]
+    whole = df.agg(*[F.coalesce(F.bool_and((num(v) >= 0) & (num(v) == F.floor(num(v)))), F.lit(False)).alias(v) for v in numbers]).first().asDict() if numbers else {}
+    counts = [v for v in numbers if whole[v]]
+    words = {v: re.findall(r"[^\W\d_]{2,}", v.lower()) for v in counts}
+    held = {w: [v for v in counts if w in words[v]] for w in words.get(name, ())}
+    members = max(held.values(), key=len, default=[])
+    members = members if len(members) > 1 else counts
+    if name not in counts or len(members) < 2:
+        raise ValueError(f"{name!r} does not belong to a set of count columns")
+    total = sum((F.coalesce(num(v), F.lit(0.0)) for v in members), F.lit(0.0))
+    if df.agg((F.min(total) == F.max(total)).alias("closed")).first()["closed"]:
+        raise ValueError(f"the columns with {name!r} have one total in all rows: a composition, not counts")
+    return sorted(members)
 
 
 # ------------------------------------------------------------------ group structure

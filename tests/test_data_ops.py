@@ -271,3 +271,13 @@ def test_power_transform_searches_as_far_as_it_must(spark):
     z = np.random.default_rng(4).normal(30, 4, 4000)
     df = spark.createDataFrame([(float(v) ** 0.2,) for v in np.abs(z)], "v double")
     assert 3.5 < metrics.power_transform(df, "v", "t")[1] < 8
+
+
+def test_count_set_by_shared_words_and_varying_totals(spark):
+    df = spark.createDataFrame([(1, 4, 0.5, 7, 3, 7, "x"), (2, 0, 0.25, 7, 2, 8, "y"), (9, 1, 1.0, 7, 8, 2, "z"), (None, 3, 1.0, 7, 5, 5, "z")],
+                               "cell_T int, cell_B int, cell_share double, plate int, left_side int, right_side int, name string")
+    assert profile.count_set(df, "cell_T") == ["cell_B", "cell_T"]
+    assert profile.count_set(df, "plate") == ["cell_B", "cell_T", "left_side", "plate", "right_side"]      # no shared word
+    for name in ("cell_share", "name", "left_side"):                                                       # no counts, no number, a constant total
+        with pytest.raises(ValueError):
+            profile.count_set(df if name != "left_side" else df.where("left_side + right_side = 10"), name)

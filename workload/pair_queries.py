@@ -151,3 +151,15 @@ def _(t):
 def _(t):
     r = A.lins_ccc(_remeasured(t), "y", "x")
     return r.select(F.round("effect.value", 8).alias("effect"), F.round(F.col("numbers")["bias_factor"], 8).alias("bias_factor"))
+
+
+@query("conditional_rates", """with n as (select count(*)::double n from orders), y as (select o_orderstatus y, count(*) k from orders group by 1), z as (select o_orderpriority z, count(*) k from orders group by 1),
+  o as (select o_orderstatus y, o_orderpriority z, count(*) o from orders group by 1, 2)
+  select y.y, z.z, round(y.k/n, 8) marginal, round(coalesce(o, 0)/z.k::double, 8) conditional from y cross join z cross join n left join o on o.y = y.y and o.z = z.z""")
+def _(t):
+    from statweave.operators import table_tests as T
+    return rd_rates(T.conditional_rates(t.orders, "o_orderstatus", "o_orderpriority"))
+
+
+def rd_rates(r):
+    return r.select("y", "z", F.round("marginal", 8).alias("marginal"), F.round("conditional", 8).alias("conditional"))

@@ -382,3 +382,28 @@ def _(t):
                           F.when(c("s_suppkey") % 4 != 0, c("s_acctbal") * 2).alias("d"))
     f = M.impute(s, "knn", ["a", "b", "d"], key="s_suppkey")
     return f.agg(F.count("a").alias("a"), F.count("d").alias("d"), F.round(F.avg("a"), 6).alias("mean_a"), F.round(F.avg("d"), 6).alias("mean_d"))
+
+
+# ---------------------------------------------------------------- reports and reuse
+@query("impute_report", """with h as (select case when s_suppkey % 6 <> 0 then s_acctbal end a, case when s_suppkey % 40 <> 0 then 0.5 end u from supplier)
+  select 'a' as column, count(*) - count(a) n_filled, 0 n_remaining, round((count(*) - count(a))/count(*), 8) ratio_filled, 'mean fill on more than 10 % missing' warning from h union all
+  select 'u', count(*) - count(u), 0, round((count(*) - count(u))/count(*), 8), null from h""")
+def _(t):
+    h = t.supplier.select(F.when(c("s_suppkey") % 6 != 0, c("s_acctbal")).alias("a"), F.when(c("s_suppkey") % 40 != 0, F.lit(0.5)).alias("u"))
+    return M.impute_report(h, M.impute(h, "mean", ["a", "u"]), ["a", "u"], "mean").withColumn("ratio_filled", F.round("ratio_filled", 8))
+
+
+@query("formula_reuse", """select o_orderkey, round(ln((o_totalprice + 1)/(o_custkey + 1)), 8) one, round(ln((o_custkey + 1)/(o_totalprice + 1)), 8) two, 'log-scale' kind from orders""")
+def _(t):
+    both = t.orders.select("o_orderkey", *[V.typed(V.bind(V.alr, a=x, b=y, eps=1.0), n, "log") for n, x, y in (("one", "o_totalprice", "o_custkey"), ("two", "o_custkey", "o_totalprice"))])
+    kinds = {f.metadata["semantic_type"] for f in both.schema.fields if f.metadata}
+    return both.select("o_orderkey", F.round("one", 8).alias("one"), F.round("two", 8).alias("two"), F.lit("|".join(sorted(kinds))).alias("kind"))
+
+
+@query("count_set", """with l as (select l_linenumber lines_seen, floor(l_quantity) lines_sold, l_tax lines_rate, l_partkey part from lineitem)
+  select 'lines_seen' as column from l having min(lines_seen) >= 0 and bool_and(lines_seen = floor(lines_seen)) union all
+  select 'lines_sold' from l having min(lines_sold) >= 0 and bool_and(lines_sold = floor(lines_sold)) union all
+  select 'lines_rate' from l having min(lines_rate) >= 0 and bool_and(lines_rate = floor(lines_rate))""")
+def _(t):
+    rows = t.lineitem.select(c("l_linenumber").alias("lines_seen"), F.floor("l_quantity").alias("lines_sold"), c("l_tax").alias("lines_rate"), c("l_partkey").alias("part"))
+    return t.spark.createDataFrame([(v,) for v in P.count_set(rows, "lines_sold")], "column string")
