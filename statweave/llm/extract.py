@@ -170,7 +170,7 @@ def text_features(block: Block, number: int, count: int, title: str, words_known
         out.append(f"last:{count - number}")
     if title and (text == title or title.startswith(text) or text.startswith(title)):
         out += ["title", "title:" + own]
-    for sign in "©|·»›→":
+    for sign in "©|·»›→" if link else "©":
         if sign in text:
             out.append(f"sign:{sign}:{link}")
     if len(words) <= 32:
@@ -206,8 +206,11 @@ def fit(pages: Iterable[tuple[str, str]], rounds: int = 200, rate: float = 0.1,
         blocks, title = leaf_blocks(page)
         if blocks:
             read.append((blocks, title, label_blocks(blocks, text)))
-    seen = Counter(w for blocks, _, labels in read for b, y in zip(blocks, labels) if not y for w in {w.strip(".,!?:;()").lower() for w in b.text.split(" ")})
-    words = frozenset(w for w, c in seen.items() if c >= 20)
+    seen = [Counter(), Counter()]                                    # blocks of the rest and of articles that hold a word
+    for blocks, _, labels in read:
+        for b, y in zip(blocks, labels):
+            seen[y].update({w.strip(".,!?:;()").lower() for w in b.text.split(" ")})
+    words = frozenset(w for w, c in seen[0].items() if c >= 20 and c > 3 * seen[1][w])
     lists = [[path_features(b.path) + text_features(b, i, len(blocks), title, words) for i, b in enumerate(blocks)] for blocks, title, _ in read]
     count = Counter(f for page in lists for block in page for f in block)
     number = {f: i for i, f in enumerate(sorted(f for f, c in count.items() if c >= least))}

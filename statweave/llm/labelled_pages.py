@@ -116,6 +116,10 @@ class _Page:
         rng = self.rng
         if part == "comments":
             return self.comments()
+        if part in ("advert", "notice") and rng.random() < 0.25:      # a single named element
+            text = rng.choice(PHRASES[part].split("|")) if rng.random() < 0.3 else self.prose(2)
+            self.out.append(f"<{(t := rng.choice(('p', 'p', 'div', 'aside')))}{self.name(part)}>{html.escape(text)}</{t}>")
+            return None
         end = self.open(part, "ul" if part == "share" and rng.random() < 0.3 else "div")
         if part == "menu":
             self.links(part, rng.randint(2, 9))
@@ -248,7 +252,7 @@ class _Page:
         return ("\n" if rng.random() < 0.4 else "").join(self.out), "\n\n".join(self.main)
 
 
-def labelled_pages(count: int = 1_200, seed: int = 13) -> Iterator[tuple[str, str]]:
+def labelled_pages(count: int = 1_800, seed: int = 13) -> Iterator[tuple[str, str]]:
     """Pages and their main texts, always the same for one seed."""
     rng = random.Random(seed)
     for _ in range(count):
