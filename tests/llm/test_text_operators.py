@@ -414,3 +414,22 @@ def test_label_model_shrinks_repeated_voters():
     table = sorted(seen.items())
     model = toxicity.label_model(np.array([v for v, _ in table]), np.array([float(n) for _, n in table]))
     assert max(model.weight[:3]) < 0.5 < model.weight[3] and abs(model.prior - 0.3) < 0.05
+
+
+def test_least_shingles_of_a_batch_are_those_of_each_text():
+    from statweave.llm.shared import shingles
+    rng = np.random.default_rng(0)
+    for _ in range(100):
+        sizes = rng.integers(0, 12, rng.integers(1, 9))
+        h, first = rng.integers(0, 2 ** 63, sizes.sum()).astype(np.uint64), np.concatenate([[0], np.cumsum(sizes)])
+        want = [int(shingles(h[a:b])[0]) if b > a else 0 for a, b in zip(first, first[1:])]
+        assert all(toxicity._least_shingles(h, first, words=w).tolist() == want for w in (1, 7, 1000))
+
+
+def test_votes_and_features_of_a_text():
+    reader = toxicity.Reader(toxicity.Lexicons(words={"grob": 2}, prefixes={"schm*": 5}, features={"grob": 0, "schm*": 1, "haus": 2}), most=3)
+    text = "GROB grob! Schmutzig!! HAUS XYZ ABC DEF idiot"
+    votes, features = reader.read(text)
+    assert votes == [1, 0, 1, 0, 0, 1, 0, 1, 0, 1, 1, 1, 1, 0] and features[:3] == [0, 1, 2]
+    assert votes == reader.votes(text) and features == reader.features(text) and len(votes) == len(toxicity.VOTERS) - 1
+    assert reader.votes(None) == [0] * 13 + [-1] and reader.features(None) == []
