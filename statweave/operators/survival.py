@@ -187,14 +187,16 @@ def cox_fits(df, time, x, event=None, by=(), levels=None) -> tuple[dict[tuple, F
     else:
         labels = list(xs)
         rows = rows.groupBy(*by, "t", *names).agg(F.count(F.lit(1)).cast("double").alias("w"), F.sum("d").alias("d"))
-    # laid out once by time bucket: each Newton step scans the buckets in place and shares a row per bucket
+    # more than one bucket of rows is laid out once by time: each Newton step scans the buckets in place and shares a row per bucket
     cuts = value_cuts(rows, "t")
-    spread = max(len(cuts) + 1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) if by else 1)
-    rows = add_bucket(rows.withColumns({v: c(v).cast("string") for v in by}), "t", cuts, "_time_bucket").withColumn("_time_bucket", c("_time_bucket").cast("int")).repartition(spread, *by, "_time_bucket")
+    if cuts:
+        spread = max(len(cuts) + 1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) if by else 1)
+        rows = rows.withColumns({v: c(v).cast("string") for v in by})
+        rows = add_bucket(rows, "t", cuts, "_time_bucket").withColumn("_time_bucket", c("_time_bucket").cast("int")).repartition(spread, *by, "_time_bucket")
     k = len(names)
 
     def totals(r, th):
-        t = _risk_sums(r, names, th, by)
+        t = _risk_sums(r, names, th, by, cuts)
         aggs = [F.sum(c("dx") - c("d") * F.ln("s")).alias("ll")]
         aggs += [F.sum(c(f"d{i}") - c("d") * c(f"s{i}") / c("s")).alias(f"g{i}") for i in range(k)]
         aggs += [F.sum(-c("d") * (c(f"s{i}_{j}") / c("s") - c(f"s{i}") * c(f"s{j}") / sq(c("s")))).alias(f"h{i}_{j}")
